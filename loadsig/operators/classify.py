@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadsig.operators.profiles import DAY
-from loadsig.session import cut_lineage
+from loadsig.session import cut_lineage, materialise
 
 # Features of a day in order, and the limits of the tree and split.
 FEATURES = ["Temperature", "Solar_Irradiation", "Holiday", "DATE_day_year", "DATE_day_week", "DATE_weekday"]
@@ -177,9 +177,10 @@ def fit_tree(days: DataFrame, max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LE
     Nodes are numbered like a heap: 1 is the root, 2i and 2i+1 the days at or
     below and above the threshold of node i.
     """
+    days = materialise(days.select("building_id", *FEATURES, "cluster"), "training-days")
     if n_classes is None:
         n_classes = int(days.agg(F.max("cluster")).first()[0]) + 1
-    rows = days.select("building_id", *FEATURES, "cluster").withColumn("node", F.lit(1))
+    rows = days.withColumn("node", F.lit(1))
     levels = []
     for depth in range(max_depth + 1):
         nodes = node_table(rows, n_classes)
@@ -222,12 +223,18 @@ def predict_day_type(days: DataFrame, tree: DataFrame, max_depth: int = MAX_DEPT
     trees = tree.groupBy("building_id").agg(
         F.map_from_entries(F.collect_list(F.struct("node", node))).alias("_tree")
     )
-    here = F.element_at("_tree", F.col("_node"))
-    above = (_feature_value(here["feature"]) > here["threshold"]).cast("int")
-    out = days.join(trees, "building_id").withColumn("_node", F.lit(1))
-    for _ in range(max_depth):
-        out = out.withColumn("_node", F.when(here["is_leaf"], F.col("_node")).otherwise(F.col("_node") * 2 + above))
-    return out.withColumn(name, here["prediction"]).drop("_tree", "_node")
+
+    def step(node: Column, _) -> Column:
+        here = F.element_at("_tree", node)
+        above = (_feature_value(here["feature"]) > here["threshold"]).cast("int")
+        return F.when(here["is_leaf"], node).otherwise(node * 2 + above)
+
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(1), step)
+    return (
+        days.join(trees, "building_id")
+        .withColumn(name, F.element_at("_tree", leaf)["prediction"])
+        .drop("_tree")
+    )
 
 
 def tree_table(tree: DataFrame) -> DataFrame:

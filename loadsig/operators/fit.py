@@ -24,7 +24,7 @@ from loadsig.functions.signature import PARAMETERS
 
 # Settings of the grid refinement: points per axis, parallel starts, rounds,
 # and the factor by which the box shrinks in each round.
-LEVELS, STARTS, ROUNDS, SHRINK = 5, 5, 24, 0.7
+LEVELS, STARTS, ROUNDS, SHRINK = 5, 3, 24, 0.7
 WIDE_FACTOR = 4.0
 ROW_SLICE = 2048
 
@@ -73,7 +73,8 @@ def score_candidates(df: DataFrame, bounds: DataFrame, keys: list[str], levels:
 
     Each reading meets the fixed list of candidates inside its own task and the
     sums are combined map-side, so the shuffle carries one number per group and
-    candidate, not per reading.
+    candidate, not per reading. Errors are added as whole millionths: integer
+    sums do not depend on the order of the rows, so neither does the winner.
     """
     listed = F.array(
         *[
@@ -97,10 +98,10 @@ def score_candidates(df: DataFrame, bounds: DataFrame, keys: list[str], levels:
         .join(limits, keys)
         .withColumn("x", F.explode(listed))
         .withColumns(params)
-        .withColumn("error", F.abs(signature() - F.col("Power")))
+        .withColumn("error", F.floor(F.abs(signature() - F.col("Power")) * 1e6 + 0.5))
     )
     return rows.groupBy(*keys, F.col("x.candidate").alias("candidate")).agg(
-        F.sum("error").alias("loss"),
+        (F.sum("error") / 1e6).alias("loss"),
         *[F.max(name).alias(name) for name in PARAMETERS],
     )
 
@@ -137,7 +138,19 @@ def fit_changepoint(df: DataFrame, keys: list[str], bounds: str = "reference") -
         ]
         return pa.table([pa.array([v], f.type) for v, f in zip(values, fields)], schema=pa.schema(fields))
 
-    return data.groupBy(keys).applyInArrow(fit_group, schema)
+    return spread(data, keys).groupBy(keys).applyInArrow(fit_group, schema)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by key with a fixed number of partitions.
+
+    The grouped map reuses this partitioning. Fitting is bound by arithmetic,
+    not by bytes, so adaptive coalescing, which goes by bytes, must not merge
+    the groups into a few tasks.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
