@@ -31,7 +31,7 @@ def hour_number(ts) -> Column:
 
 def year_month(ts) -> Column:
     """``YYYY-MM`` label; null stays null."""
-    return F.date_format(_col(ts), "yyyy-MM")
+    return F.date_format(F.to_date(_col(ts)), "yyyy-MM")
 
 
 def calendar_columns(ts) -> dict[str, Column]:

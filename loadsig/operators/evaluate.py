@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loadsig.functions.signature import PARAMETERS, changepoint_eval_plain, cluster_hour
 from loadsig.operators.chunks import CHUNK_ROWS, chunked, own_rows
 from loadsig.operators.outliers import attach_params
+from loadsig.session import materialise
 
 # The three models compared, and the working columns that are
 # dropped before the comparison.
@@ -160,8 +161,9 @@ def climate_period(df: DataFrame, unit: str, kind: str, with_year: bool = False)
 
 
 def in_period(df: DataFrame, unit: str, kind: str, with_year: bool = False) -> DataFrame:
-    """Rows of the chosen period of each building."""
-    chosen = climate_period(df, unit, kind, with_year).drop("mean_temperature")
+    """Rows of the chosen period of each building. The choice, one row per
+    building, is written once so that its size is known to the join."""
+    chosen = materialise(climate_period(df, unit, kind, with_year).drop("mean_temperature"), "period")
     return df.join(chosen, chosen.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loadsig.functions.calendar import year_month
 from loadsig.functions.signature import changepoint_eval
+from loadsig.session import materialise
 
 # Fixed value: two-sided 95 % limit of the normal distribution.
 Z95 = 1.96
@@ -45,7 +46,7 @@ def residual_stats(
 
 
 def flag_outliers(df: DataFrame, scope: str = "global", keys: list[str] | None = None,
-                  threshold: float | None = None) -> DataFrame:
+                  threshold: float | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Flag residuals far from the mean of their group.
 
     ``scope="global"``: population deviation over the building, 1.96 sigma,
@@ -54,7 +55,9 @@ def flag_outliers(df: DataFrame, scope: str = "global", keys: list[str] | None =
     undefined deviation is not an outlier.
 
     The moments are aggregated map-side and joined back, so no window gathers
-    a building in one task.
+    a building in one task. They are written once (or given as ``stats``), so
+    Spark knows their size: below its threshold they are broadcast and the
+    readings stay where they are.
     """
     if scope == "global":
         keys, ddof, name = keys or ["building_id"], 0, "is_outlier_global"
@@ -64,7 +67,9 @@ def flag_outliers(df: DataFrame, scope: str = "global", keys: list[str] | None =
         threshold = 2.0 if threshold is None else threshold
     else:
         raise ValueError(f"scope must be 'global' or 'group', not {scope!r}")
-    stats = residual_stats(df, keys, threshold, ddof).select(*keys, "mean_residual", "threshold")
+    if stats is None:
+        stats = materialise(residual_stats(df, keys, threshold, ddof), "moments")
+    stats = stats.select(*keys, "mean_residual", "threshold")
     far = F.abs(F.col("Power_residuals") - F.col("mean_residual")) > F.col("threshold")
     return (
         df.join(stats, keys, "left")
@@ -102,7 +107,7 @@ def residual_histogram(df: DataFrame, bins: int = 300) -> DataFrame:
     Only occupied bins are returned. A building with one distinct residual is
     binned over one unit around it.
     """
-    stats = residual_range(df)
+    stats = materialise(residual_range(df), "ranges")
     flat = F.col("lo") == F.col("hi")
     stats = stats.select(
         "building_id", "n",

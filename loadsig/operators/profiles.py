@@ -41,12 +41,21 @@ def complete_days(days: DataFrame) -> DataFrame:
     return days.na.drop("any", subset=POWER_COLUMNS)
 
 
-def normalise_days(days: DataFrame) -> DataFrame:
-    """Scale each day to 0 .. 1 over its own range; a constant day becomes 0."""
-    lo, hi = F.least(*POWER_COLUMNS), F.greatest(*POWER_COLUMNS)
-    span = F.col("_hi") - F.col("_lo")
-    scaled = {c: F.when(span == 0, F.col(c) * 0.0).otherwise((F.col(c) - F.col("_lo")) / span) for c in POWER_COLUMNS}
-    return days.withColumns({"_lo": lo, "_hi": hi}).withColumns(scaled).drop("_lo", "_hi")
+def normalise_vectors(points: DataFrame) -> DataFrame:
+    """Scale each profile to 0 .. 1 over its own range; a constant day becomes 0."""
+    lo, span = F.col("_lo"), F.col("_hi") - F.col("_lo")
+    scaled = F.transform("profile", lambda x: F.when(span == 0, F.lit(0.0)).otherwise((x - lo) / span))
+    return (
+        points.withColumns({"_lo": F.array_min("profile"), "_hi": F.array_max("profile")})
+        .withColumn("profile", scaled)
+        .drop("_lo", "_hi")
+    )
+
+
+def wide_profiles(points: DataFrame) -> DataFrame:
+    """Vectors back to 24 hour columns."""
+    cells = [F.col("profile")[h].alias(c) for h, c in zip(HOURS, POWER_COLUMNS)]
+    return points.select(*[c for c in points.columns if c != "profile"], *cells)
 
 
 def first_days(days: DataFrame, n: int = 100) -> DataFrame:
@@ -63,15 +72,15 @@ def export_names(days: DataFrame) -> DataFrame:
     return days.withColumnsRenamed(dict(zip(POWER_COLUMNS, EXPORT_COLUMNS)))
 
 
-def cluster_profiles(days: DataFrame, cluster: str = "cluster") -> DataFrame:
+def cluster_profiles(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Mean, spread and 5 % / 95 % quantiles of each day type and hour.
 
     One row per building and day enters, so the exact quantile of a group works
     on at most 366 values a year.
     """
-    hour = F.posexplode(F.array(*POWER_COLUMNS)).alias("hour", "value")
+    hour = F.posexplode("profile").alias("hour", "value")
     mean, std = F.avg("value"), F.stddev_samp("value")
-    return days.select("building_id", cluster, hour).groupBy("building_id", cluster, "hour").agg(
+    return points.select("building_id", cluster, hour).groupBy("building_id", cluster, "hour").agg(
         F.count(F.lit(1)).alias("n_days"),
         mean.alias("mean"),
         std.alias("std"),

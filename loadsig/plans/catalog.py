@@ -105,12 +105,8 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.day_matrix(events_readings(spark, sf), "Power")
 
 
-def unit_days(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.normalise_days(profiles.complete_days(matrix(spark, sf)))
-
-
 def unit_points(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.day_vectors(unit_days(spark, sf))
+    return profiles.normalise_vectors(profiles.day_vectors(matrix(spark, sf)))
 
 
 def feature_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,7 +295,7 @@ def b12_use_corrected(spark, sf):
 
 @query
 def b13_normalise_days(spark, sf):
-    return all_rounded(unit_days(spark, sf))
+    return all_rounded(profiles.wide_profiles(unit_points(spark, sf)))
 
 
 @query
@@ -451,7 +447,7 @@ def d11_normal_curve(spark, sf):
 
 @query
 def d12_cluster_profiles(spark, sf):
-    return all_rounded(profiles.cluster_profiles(unit_days(spark, sf).withColumn("cluster", stand_in_type())))
+    return all_rounded(profiles.cluster_profiles(unit_points(spark, sf).withColumn("cluster", stand_in_type())))
 
 
 @query

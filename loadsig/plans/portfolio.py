@@ -74,8 +74,8 @@ def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int =
     final = materialise(final.drop("Power_residuals"), "final")
 
     # day types and their prediction
-    matrix = profiles.complete_days(profiles.day_matrix(final))
-    points = materialise(profiles.day_vectors(profiles.normalise_days(matrix)), "profiles")
+    points = profiles.normalise_vectors(profiles.day_vectors(profiles.day_matrix(final)))
+    points = materialise(points, "profiles")
     assignments, chosen = daytypes.day_types(points, k_max, n_init)
     assignments = materialise(assignments, "assignments")
     days = classify.labelled_days(classify.daily_features(final), assignments)
