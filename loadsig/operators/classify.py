@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadsig.operators.profiles import DAY
-from loadsig.session import cut_lineage, materialise
+from loadsig.session import materialise
 
 # Features of a day in order, and the limits of the tree and split.
 FEATURES = ["Temperature", "Solar_Irradiation", "Holiday", "DATE_day_year", "DATE_day_week", "DATE_weekday"]
@@ -191,11 +191,12 @@ def fit_tree(days: DataFrame, max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LE
             nodes = nodes.join(splits, ["building_id", "node"], "left")
         else:
             nodes = nodes.withColumns({"feature": F.lit(None).cast("string"), "threshold": F.lit(None).cast("double")})
-        level = cut_lineage(
+        level = materialise(
             nodes.select(
                 "building_id", "node", F.lit(depth).alias("depth"), "feature", "threshold", "n_days",
                 "impurity", "counts", "prediction", F.col("feature").isNull().alias("is_leaf"),
-            )
+            ),
+            "tree-level",
         )
         levels.append(level)
         inner = level.filter("NOT is_leaf").select("building_id", "node", "feature", "threshold")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadsig.operators.profiles import DAY
-from loadsig.session import cut_lineage
+from loadsig.session import materialise
 
 # Smallest and largest number of day types tried, restarts, seed,
 # and the share of the largest drop that still counts as an elbow.
@@ -227,7 +227,7 @@ def kmeans_search(
     """
     blocks = day_blocks(points, block_days)
     sizes = blocks.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_blocks"))
-    blocks = cut_lineage(blocks.join(sizes, "building_id").drop("days"))
+    blocks = materialise(blocks.join(sizes, "building_id").drop("days"), "day-blocks")
     options = F.array(*[F.lit(k) for k in sorted(ks)])
     centres = (
         seed_centres(points, max(ks), n_init, seed)
@@ -236,7 +236,7 @@ def kmeans_search(
     )
     done = None
     for _ in range(max_rounds):
-        moved = cut_lineage(_lloyd_round(blocks, centres))
+        moved = materialise(_lloyd_round(blocks, centres), "centres")
         # a run is finished when none of its centres moves any more
         run = ["building_id", "k", "start"]
         settled = moved.groupBy(run).agg((F.max("shift") <= TOLERANCE).alias("settled"))
@@ -384,9 +384,9 @@ def day_types(points: DataFrame, k_max: int = K_MAX, n_init: int = N_INIT, seed:
     both proposals.
     """
     ks = list(range(1, k_max + 1))
-    centres = cut_lineage(kmeans_search(points, ks, n_init, seed))
+    centres = materialise(kmeans_search(points, ks, n_init, seed), "best-centres")
     wss_by_k = centres.groupBy("building_id", "k").agg(F.max("wss").alias("wss"))
     scored = silhouette(label_by_k(points, centres, ks[1:]), ks[1:])
-    chosen = cut_lineage(choose_k(wss_by_k, scored))
+    chosen = materialise(choose_k(wss_by_k, scored), "chosen-k")
     mine = centres.join(chosen.select("building_id", "k"), ["building_id", "k"])
     return assign_nearest(points, mine).select("building_id", DAY, "cluster"), chosen

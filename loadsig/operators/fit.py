@@ -12,8 +12,6 @@ for an hour of the week and 366 for an hour of a day type.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +21,12 @@ from pyspark.sql import types as T
 from loadsig.functions.signature import PARAMETERS
 
 # Settings of the grid refinement: points per axis, parallel starts, rounds,
-# and the factor by which the box shrinks in each round.
-LEVELS, STARTS, ROUNDS, SHRINK = 5, 3, 24, 0.7
+# the factor by which the box shrinks in each round, and how many starts stay
+# after a round.
+LEVELS, STARTS, ROUNDS, SHRINK = 5, 8, 24, 0.7
+NARROWING = {2: 3, 4: 1}
 WIDE_FACTOR = 4.0
-ROW_SLICE = 2048
+ROW_SLICE, SMALL_GROUP = 256, 16
 
 
 def fit_bounds(df: DataFrame, keys: list[str], bounds: str = "reference") -> DataFrame:
@@ -189,16 +189,18 @@ def _refine(t, i, p, start, stop) -> tuple[np.ndarray, float]:
     cells = np.argsort(loss[0], kind="stable")[:STARTS]
     centre = _pick(np.repeat(axes, len(cells), axis=0), cells)
     half = (stop - start) / (LEVELS - 1)
-    for _ in range(ROUNDS):
+    for done in range(1, ROUNDS + 1):
         axes = centre[:, :, None] + half[:, None] * np.linspace(-1.0, 1.0, LEVELS)
         axes = np.clip(axes, lower[:, None], upper[:, None])
         loss = _grid_loss(axes, t, i, p).round(9)
         cells = loss.argmin(axis=1)
         centre = _pick(axes, cells)
+        reached = loss[np.arange(len(cells)), cells]
         half = half * SHRINK
-    final = loss[np.arange(len(cells)), cells]
-    order = np.lexsort((*centre.T[::-1][:3], -centre[:, 0], final))
-    return centre[order[0]], final[order[0]]
+        if done in NARROWING:
+            stay = np.argsort(reached, kind="stable")[: NARROWING[done]]
+            centre, reached = centre[stay], reached[stay]
+    return centre[0], reached[0]
 
 
 def _pick(axes: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -207,22 +209,26 @@ def _pick(axes: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def _grid_loss(axes: np.ndarray, t, i, p) -> np.ndarray:
-    """Loss of every cell of each start's grid, shape (starts, cells)."""
-    total = np.zeros((axes.shape[0],) + (LEVELS,) * 4)
-    for part in _slices(len(p)):
-        line = (
-            axes[:, 0, :, None, None, None] * i[part]
-            + axes[:, 1, None, :, None, None] * t[part]
-            + axes[:, 2, None, None, :, None]
-        )
-        for m in range(LEVELS):
-            floor = axes[:, 3, m][:, None, None, None, None]
-            error = np.maximum(line, floor)
-            error -= p[part]
-            total[..., m] += np.abs(error, out=error).sum(axis=-1)
-    return total.reshape(axes.shape[0], -1)
+    """Loss of every cell of each start's grid, shape (starts, cells).
 
-
-def _slices(n: int) -> Iterator[slice]:
-    for begin in range(0, n, ROW_SLICE):
-        yield slice(begin, begin + ROW_SLICE)
+    Rows run along the first axis, cells along the others, so sums add whole
+    lines of memory. Slices keep the buffers inside the processor cache.
+    """
+    starts = axes.shape[0]
+    s_irrad, s_temp, intercept, minimum = (axes[:, j] for j in range(4))
+    total = np.zeros((starts,) + (LEVELS,) * 4)
+    for begin in range(0, len(p), ROW_SLICE):
+        rows = slice(begin, begin + ROW_SLICE)
+        cold = np.multiply.outer(i[rows], s_irrad)[:, :, :, None] + np.multiply.outer(t[rows], s_temp)[:, :, None, :]
+        line = cold[..., None] + intercept[:, None, None, :]
+        line -= p[rows][:, None, None, None, None]
+        lowest = minimum - p[rows][:, None, None]
+        if len(line) <= SMALL_GROUP:
+            error = np.maximum(line[..., None], lowest[:, :, None, None, None, :])
+            total += np.abs(error, out=error).sum(axis=0)
+            continue
+        error = np.empty_like(line)
+        for m in range(LEVELS):
+            np.maximum(line, lowest[:, :, m, None, None, None], out=error)
+            total[..., m] += np.abs(error, out=error).sum(axis=0)
+    return total.reshape(starts, -1)

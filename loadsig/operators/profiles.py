@@ -60,7 +60,9 @@ def wide_profiles(points: DataFrame) -> DataFrame:
 
 def first_days(days: DataFrame, n: int = 100) -> DataFrame:
     """The first ``n`` days of each building, for the profile overview."""
-    return day_index(days).filter(F.col("day_index") < n)
+    order = Window.partitionBy("building_id").orderBy(DAY)
+    first = days.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
+    return first.withColumn("day_index", F.col("_rank") - 1).drop("_rank")
 
 
 def day_vectors(days: DataFrame) -> DataFrame:

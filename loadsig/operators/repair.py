@@ -77,23 +77,34 @@ def anchors_trusted(pre: int, post: int, window: WindowSpec) -> Column:
     return trusted
 
 
-def interpolated(pre: int, post: int, window: WindowSpec, column: str = "Power") -> Column:
+def add_interpolated(df: DataFrame, passes: list[tuple[int, int]], window: WindowSpec, column: str = "Power") -> DataFrame:
+    """Add the interpolated value of every pass, ``_value_<pre>_<post>``.
+
+    Anchors are raw values, so each offset is fetched once for all passes.
+    """
+    offsets = [anchor_offsets(pre, post) for pre, post in passes]
+    needed = sorted({h for o in offsets for group in o.values() for h in group})
+    names = {h: f"_at_{'m' if h < 0 else 'p'}{abs(h)}" for h in needed}
+    df = df.withColumns({names[h]: at_offset(column, h, window) for h in needed})
+
     def mean(hours: list[int]) -> Column:
-        values = [at_offset(column, h, window) for h in hours]
+        values = [F.col(names[h]) for h in hours]
         return sum(values[1:], values[0]) / len(values)
 
-    offsets = anchor_offsets(pre, post)
-    return mean(offsets["weekly"]) + mean(offsets["hourly"]) - mean(offsets["corners"])
+    values = {
+        value_name(*p): mean(o["weekly"]) + mean(o["hourly"]) - mean(o["corners"]) for p, o in zip(passes, offsets)
+    }
+    return df.withColumns(values).drop(*names.values())
+
+
+def value_name(pre: int, post: int) -> str:
+    return f"_value_{pre}_{post}"
 
 
 def _apply_pass(df: DataFrame, pre: int, post: int, window: WindowSpec, strict: bool, clip_at_zero: bool) -> DataFrame:
-    edge, trusted, value = F.col("_edge"), F.col("_trusted"), F.col("_value")
+    edge, trusted, value = F.col("_edge"), F.col("_trusted"), F.col(value_name(pre, post))
     marked = df.withColumns(
-        {
-            "_edge": gap_edge(pre, post, window),
-            "_trusted": anchors_trusted(pre, post, window),
-            "_value": interpolated(pre, post, window),
-        }
+        {"_edge": gap_edge(pre, post, window), "_trusted": anchors_trusted(pre, post, window)}
     )
     if clip_at_zero:
         value = F.when(value < 0, 0.0).otherwise(value)
@@ -106,7 +117,7 @@ def _apply_pass(df: DataFrame, pre: int, post: int, window: WindowSpec, strict:
             "IS_Repaired": F.col("IS_Repaired") | done,
             "IS_Repair_Pending": F.col("IS_Repair_Pending") & ~done,
         }
-    ).drop("_edge", "_trusted", "_value")
+    ).drop("_edge", "_trusted")
 
 
 def repair_passes(
@@ -126,9 +137,10 @@ def repair_passes(
         df = df.withColumn("Power_corrected", F.col("Power"))
     halo = sum(HOURS_PER_WEEK + max(p) for p in passes)
     rows, window = chunked(df, halo, halo, chunk_rows)
+    rows = add_interpolated(rows, passes, window)
     for pre, post in passes:
         rows = _apply_pass(rows, pre, post, window, strict, clip_at_zero)
-    return own_rows(rows).drop("IS_Repair_Pending")
+    return own_rows(rows).drop("IS_Repair_Pending", *{value_name(*p) for p in passes})
 
 
 def repair_pass(df: DataFrame, pre: int = 1, post: int = 1, **options) -> DataFrame:

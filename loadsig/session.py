@@ -1,5 +1,5 @@
-"""Session set-up for tests and benchmarks, and the two cluster settings the
-operators rely on: the shared checkpoint folder and lineage cutting."""
+"""Session set-up for tests and benchmarks, and the shared folder in which the
+operators write tables that are read more than once."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("loadsig")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
@@ -44,18 +45,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Preferred over a checkpoint when the columns are read several times with
-    different projections: Parquet keeps column pruning and size statistics,
-    which the optimiser needs to choose a join strategy.
+    This cuts the lineage, survives lost executors, and leaves a table whose
+    columns can be pruned and whose size the optimiser knows when it chooses
+    between a broadcast and a shuffle.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
