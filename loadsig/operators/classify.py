@@ -185,10 +185,11 @@ def fit_tree(days: DataFrame, max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LE
     for depth in range(max_depth + 1):
         nodes = node_table(rows, n_classes)
         if depth < max_depth:
-            impure = rows.join(nodes.filter("impurity > 0 AND n_days >= %d" % MIN_SPLIT)
-                               .select("building_id", "node"), ["building_id", "node"])
-            splits = best_split(impure, n_classes, min_leaf).select("building_id", "node", "feature", "threshold")
-            nodes = nodes.join(splits, ["building_id", "node"], "left")
+            splits = best_split(rows, n_classes, min_leaf).select("building_id", "node", "feature", "threshold")
+            worth = (F.col("impurity") > 0) & (F.col("n_days") >= MIN_SPLIT)
+            nodes = nodes.join(splits, ["building_id", "node"], "left").withColumns(
+                {c: F.when(worth, F.col(c)) for c in ("feature", "threshold")}
+            )
         else:
             nodes = nodes.withColumns({"feature": F.lit(None).cast("string"), "threshold": F.lit(None).cast("double")})
         level = materialise(

@@ -195,7 +195,7 @@ def a5_save_load_model(spark, sf):
     days = feature_days(spark, sf)
     tables.save_model(classify.fit_tree(days), path, {"features": ",".join(classify.FEATURES), "seed": "42"})
     tree, _ = tables.load_model(spark, path)
-    return classify.tree_table(tree).withColumn("counts", F.concat_ws(",", "counts"))
+    return all_rounded(classify.tree_table(tree).withColumn("counts", F.concat_ws(",", "counts")))
 
 
 @query
@@ -419,6 +419,36 @@ def d7_fit_changepoint(spark, sf):
     return fit.fit_changepoint(lineitem_cal(spark, sf), HOUR_KEY)
 
 
+@query
+def d7_fit_quality(spark, sf):
+    """Properties every fit must have, as one row of truths per model: the loss
+    is that of the returned parameters, they respect the bounds, and no coarse
+    candidate is better."""
+    cal = materialise(lineitem_cal(spark, sf), "readings")
+    bounds = fit.fit_bounds(cal, HOUR_KEY)
+    fits = materialise(fit.fit_changepoint(cal, HOUR_KEY), "fits")
+    best = fit.best_candidate(fit.score_candidates(cal, bounds, HOUR_KEY), HOUR_KEY)
+    fitted = signature.changepoint_eval(outliers.attach_params(cal, fits.select(*HOUR_KEY, *signature.PARAMETERS)))
+    again = fitted.groupBy(HOUR_KEY).agg(F.sum(F.abs("Power_residuals")).alias("again"))
+    joined = (
+        fits.join(bounds.drop("n_rows"), HOUR_KEY).join(again, HOUR_KEY)
+        .join(best.select(*HOUR_KEY, F.col("loss").alias("coarse")), HOUR_KEY, "left")
+    )
+    slack = 1e-6
+    inside = (
+        F.col("slope_Temp").between(F.col("slope_Temp_min") - slack, slack)
+        & F.col("slope_Irrad").between(F.col("slope_Irrad_min") - slack, slack)
+        & F.col("intercept").between(-slack, F.col("intercept_max") + slack)
+        & F.col("minimum").between(-slack, F.col("minimum_max") + slack)
+    )
+    return joined.select(
+        *HOUR_KEY, "n_rows", "status",
+        (F.abs(F.col("again") - F.col("loss")) < 1e-3).alias("loss_is_that_of_params"),
+        inside.alias("inside_bounds"),
+        (F.col("loss") <= F.col("coarse") + 1e-3).alias("beats_candidates"),
+    )
+
+
 @query
 def d8_flag_outliers_group(spark, sf):
     flags = outliers.flag_outliers(scored(lineitem_cal(spark, sf)), "group", threshold=outliers.Z95)
@@ -656,6 +686,26 @@ def m1_kmeans_days(spark, sf):
     return daytypes.kmeans_days(materialise(unit_points(spark, sf), "profiles"), 3)
 
 
+@query
+def m1_kmeans_quality(spark, sf):
+    """Properties of a converged k-means: labels are nearest, centres are
+    means, and the sum of squares is below that of the stand-in types."""
+    points = materialise(unit_points(spark, sf), "profiles")
+    centres = materialise(daytypes.kmeans_search(points, [3]), "centres")
+    assigned = materialise(daytypes.assign_nearest(points, centres), "assigned")
+    means = daytypes.update_centres(assigned).withColumnsRenamed({"centre": "mean", "n_days": "n"})
+    stand_in = daytypes.wss(points.withColumn("cluster", stand_in_type())).withColumnRenamed("wss", "stand_in")
+    centre_check = centres.join(means, ["building_id", "cluster"]).groupBy("building_id").agg(
+        F.sum("n").alias("n_days"), F.max("wss").alias("wss"),
+        (F.max(daytypes.squared_distance(F.col("centre"), F.col("mean"))) < 1e-9).alias("centres_are_means"),
+    )
+    cost = assigned.groupBy("building_id").agg(F.sum("dist2").alias("cost"))
+    return centre_check.join(cost, "building_id").join(stand_in, "building_id").select(
+        "building_id", "n_days", (F.abs(F.col("cost") - F.col("wss")) < 1e-6).alias("labels_are_nearest"),
+        "centres_are_means", (F.col("wss") <= F.col("stand_in") + 1e-6).alias("beats_stand_in"),
+    )
+
+
 @query
 def m1_day_types(spark, sf):
     return daytypes.day_types(materialise(unit_points(spark, sf), "profiles"))[0]
@@ -717,7 +767,7 @@ def m9_predict_day_type(spark, sf):
 @query
 def m10_tree_table(spark, sf):
     tree = classify.tree_table(classify.fit_tree(feature_days(spark, sf), n_classes=3))
-    return tree.withColumn("counts", F.concat_ws(",", "counts"))
+    return all_rounded(tree.withColumn("counts", F.concat_ws(",", "counts")))
 
 
 # --- P: prediction ------------------------------------------------------------

