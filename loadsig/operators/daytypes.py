@@ -9,8 +9,6 @@ one building, and no pair of days is ever written as a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,24 +166,32 @@ _PARTIAL = (
 )
 
 
-def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            points, out = _matrix(row.profiles), []
-            single = row.n_blocks == 1
-            by_config: dict[tuple[int, int], list] = {}
-            for c in row.centres:
-                by_config.setdefault((c["k"], c["start"]), []).append((c["cluster"], c["centre"]))
-            for (k, start), centres in by_config.items():
-                centres.sort(key=lambda c: c[0])
-                matrix = _matrix([c[1] for c in centres])
-                sums, counts, inertia, used = _lloyd(points, matrix, MAX_ROUNDS if single else 1)
-                out += [
-                    (row.building_id, k, start, j, used[j].tolist(), sums[j].tolist(), int(counts[j]),
-                     float(inertia[j]), single)
-                    for j in range(len(used))
-                ]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in _PARTIAL.split(", ")])
+def _partial_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one block for every run of its building.
+
+    A building of one block is finished here, and only the best start of each
+    k leaves the task.
+    """
+    row, out = rows.iloc[0], []
+    points, single = _matrix(row["profiles"]), row["n_blocks"] == 1
+    runs: dict[tuple[int, int], list] = {}
+    for c in row["centres"]:
+        runs.setdefault((c["k"], c["start"]), []).append((c["cluster"], c["centre"]))
+    best: dict[int, tuple] = {}
+    for (k, start), centres in sorted(runs.items()):
+        centres.sort(key=lambda c: c[0])
+        result = _lloyd(points, _matrix([c[1] for c in centres]), MAX_ROUNDS if single else 1)
+        if not single:
+            out.append((k, start, result))
+        elif k not in best or result[2].sum().round(9) < best[k][0]:
+            best[k] = (result[2].sum().round(9), (k, start, result))
+    out += [run for _, run in best.values()]
+    table = [
+        (key[0], k, start, j, used[j].tolist(), sums[j].tolist(), int(counts[j]), float(inertia[j]), single)
+        for k, start, (sums, counts, inertia, used) in out
+        for j in range(len(used))
+    ]
+    return pd.DataFrame(table, columns=[f.split()[0] for f in _PARTIAL.split(", ")])
 
 
 def _lloyd_round(blocks: DataFrame, centres: DataFrame) -> DataFrame:
@@ -193,7 +199,9 @@ def _lloyd_round(blocks: DataFrame, centres: DataFrame) -> DataFrame:
     listed = centres.groupBy("building_id").agg(
         F.collect_list(F.struct("k", "start", "cluster", "centre")).alias("centres")
     )
-    partial = blocks.join(listed, "building_id").mapInPandas(_partial_sums, _PARTIAL)
+    partial = (
+        blocks.join(listed, "building_id").groupBy("building_id", "block").applyInPandas(_partial_sums, _PARTIAL)
+    )
     keys = ["building_id", "k", "start", "cluster"]
     merged = partial.groupBy(keys).agg(
         F.sum("n").alias("n"),
