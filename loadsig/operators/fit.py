@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadsig.functions.signature import PARAMETERS
+from loadsig.functions.signature import PARAMETERS, signature
 
 # Settings of the grid refinement: points per axis, parallel starts, rounds,
 # the factor by which the box shrinks in each round, and how many starts stay
@@ -71,10 +71,10 @@ def candidate_fractions(levels: int = 3) -> list[tuple[int, float, float, float,
 def score_candidates(df: DataFrame, bounds: DataFrame, keys: list[str], levels: int = 3) -> DataFrame:
     """Loss of every candidate parameter set for every group.
 
-    Each reading meets the fixed list of candidates inside its own task and the
-    sums are combined map-side, so the shuffle carries one number per group and
-    candidate, not per reading. Errors are added as whole millionths: integer
-    sums do not depend on the order of the rows, so neither does the winner.
+    Readings are brought together by group once; they meet the fixed list of
+    candidates inside the task and the losses are added there, so nothing is
+    shuffled per candidate. Errors are added as whole millionths: integer sums
+    do not depend on the order of the rows, so neither does the winner.
     """
     listed = F.array(
         *[
@@ -90,11 +90,9 @@ def score_candidates(df: DataFrame, bounds: DataFrame, keys: list[str], levels:
         "intercept": F.col("x.c") * F.col("intercept_max"),
         "minimum": F.col("x.d") * F.col("minimum_max"),
     }
-    from loadsig.functions.signature import signature
-
+    known = df.filter(F.col("Power").isNotNull()).select(*keys, "Temperature", "Solar_Irradiation", "Power")
     rows = (
-        df.filter(F.col("Power").isNotNull())
-        .select(*keys, "Temperature", "Solar_Irradiation", "Power")
+        spread(known, keys)
         .join(limits, keys)
         .withColumn("x", F.explode(listed))
         .withColumns(params)

@@ -81,7 +81,9 @@ def scored(cal: DataFrame) -> DataFrame:
 
 
 def flagged(cal: DataFrame) -> DataFrame:
-    return outliers.flag_outliers(scored(cal), "global")
+    """Scored readings with the flag over the building. The derived readings
+    are written first, since parameters, moments and rows all read them."""
+    return outliers.flag_outliers(scored(materialise(cal, "readings")), "global")
 
 
 def suspect(cal: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def suspect(cal: DataFrame) -> DataFrame:
 
 def comparison(cal: DataFrame) -> DataFrame:
     """Trusted rows with the fits of all three models."""
-    rows = repair.mark_pending(suspect(materialise(cal, "readings"))).withColumnRenamed("Power_fitted", "Power_fitted_TOW")
+    rows = repair.mark_pending(suspect(cal)).withColumnRenamed("Power_fitted", "Power_fitted_TOW")
     rows = evaluate.trusted_rows(rows).withColumns({"cluster": stand_in_type(), "cluster_PRED": stand_in_prediction()})
     rows = materialise(rows, "trusted")
     keyed = rows.withColumns({"ClusterHour": signature.cluster_hour("cluster"),
@@ -409,7 +411,7 @@ def d5_score_candidates(spark, sf):
 
 @query
 def d6_best_candidate(spark, sf):
-    cal = lineitem_cal(spark, sf)
+    cal = materialise(lineitem_cal(spark, sf), "readings")
     scores = fit.score_candidates(cal, fit.fit_bounds(cal, HOUR_KEY), HOUR_KEY)
     return all_rounded(fit.best_candidate(scores, HOUR_KEY))
 
