@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadsig.llm import langid, minhash
+from loadsig.llm import langid, minhash, mixing, sanitise
 from loadsig.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,20 @@ def op10_language_id(spark, sf):
     found = langid.identify(docs, langid.train(docs, fold != 2))
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
                         "language.lang_pred", "language.score", "language.accepted")
+
+
+@query
+def op5_fair_queue_mix(spark, sf):
+    return mixing.mix_plan(table(spark, sf, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op6_disclosure_pii(spark, sf):
+    found = sanitise.find_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+    base, everything = F.col("_pii_spans"), F.concat("_pii_spans", "_pii_terms")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in sanitise.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(sanitise.joined_spans(base), 256).alias("base_sha256"),
+        sanitise.joined_spans(everything).alias("spans"),
+        F.sha2(sanitise.sanitised(F.col("text"), everything), 256).alias("text_sha256"))
