@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadsig.llm import langid, minhash
+from loadsig.llm import bpe, langid, minhash, mixing, sanitise
+from loadsig.llm.queries import VOCABULARY
 from loadsig.session import materialise
 
 
@@ -20,9 +21,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that give it away are replaced in the texts."""
+    return sanitise.sanitise(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights; a document may come twice."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the texts, and whether they decode to the text again."""
+    encoded = bpe.encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), VOCABULARY)
+    decoded = bpe.decode(encoded, VOCABULARY)
+    return decoded.withColumn("round_trip", F.sha2("decoded", 256) == F.col("text_sha256")).select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mixing", mix),
+    ("bpe", tokens),
 ]
 # a fitted model, hashed candidates and a tokenizer are not SQL
 ORACLE_SQL = None

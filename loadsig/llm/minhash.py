@@ -16,7 +16,8 @@ below a bound about five standard deviations under the wanted similarity.
 Within a band bucket no pairs of all members are written at first: in each star
 round every member meets one pivot. Buckets whose members are in one component
 are finished; members of different components that are left after the star
-rounds meet pairwise, so no link is lost to the rounds.
+rounds are compared pairwise within the join, by their sketches and by the
+number of shingles that they can share at all, so no link is lost to the rounds.
 
 Nulls and empty texts have an empty set and are linked with nothing. Rows with
 a null id are returned with a null component. Rows that repeat an id are one
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadsig.llm.shared import components
@@ -154,16 +155,32 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
+def alike(a: str, b: str) -> Column:
+    """Whether two sketches estimate at least ``LEAST_ESTIMATE``; one term per
+    word, so that it is compiled."""
+    bits = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return bits <= most_bits(LEAST_ESTIMATE)
+
+
+def common_counts(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, n, common)``: set size, and how many of its shingles another
+    node of the open buckets has. No overlap can be larger than that."""
+    rows = open_.select("node").distinct().join(sets, "node").select(
+        "node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "n")).alias("o"))
+    alone = alone.filter("k = 1").groupBy("o.node").agg(F.count(F.lit(1)).alias("own"))
+    sizes = open_.select("node").distinct().join(sets, "node").select("node", F.size("shingles").alias("n"))
+    return sizes.join(alone, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that pass the sketch estimate and then the full sets."""
     sketch = nodes.select("node", "sketch")
-    differing = F.aggregate(
-        F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n
-    )
     likely = (
         pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
         .join(sketch.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-        .filter(differing <= most_bits(LEAST_ESTIMATE)).select("a", "b")
+        .filter(alike("sa", "sb")).select("a", "b")
     )
     shared = F.size(F.array_intersect("xa", "xb"))
     return (
@@ -208,8 +225,14 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataF
             pairs = open_.join(pivot, "key").filter("component <> p.component").select(
                 *_pairs_of("node", "p.node"))
         else:
-            other = open_.select("key", F.col("node").alias("other"), F.col("component").alias("oc"))
-            pairs = open_.join(other, "key").filter("component < oc").select(*_pairs_of("node", "other"))
+            facts = materialise(common_counts(open_, sets).join(reps.select("node", "sketch"), "node"), "facts")
+            left = open_.join(facts, "node")
+            right = left.select("key", *[F.col(c).alias(f"o_{c}") for c in left.columns if c != "key"])
+            most = F.least("common", "o_common")
+            fits = (100 * most >= percent * (F.col("n") + F.col("o_n") - most)) & alike("sketch", "o_sketch")
+            # the tests are part of the join, so pairs that fail are not rows
+            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("o_component")) & fits)
+            pairs = pairs.select(*_pairs_of("node", "o_node"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

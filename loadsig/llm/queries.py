@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadsig.llm import langid, minhash, mixing, sanitise
+from loadsig.llm import bpe, dialogues, langid, minhash, mixing, pivots, quality, sanitise, sentences, topk
 from loadsig.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Query) -> Query:
@@ -43,8 +45,49 @@ def op5_fair_queue_mix(spark, sf):
 def op6_disclosure_pii(spark, sf):
     found = sanitise.find_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
     base, everything = F.col("_pii_spans"), F.concat("_pii_spans", "_pii_terms")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in sanitise.KINDS]
+    counts = [sanitise.count_of(base, k).alias(f"n_{k}") for k in sanitise.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(sanitise.joined_spans(base), 256).alias("base_sha256"),
         sanitise.joined_spans(everything).alias("spans"),
         F.sha2(sanitise.sanitised(F.col("text"), everything), 256).alias("text_sha256"))
+
+
+@query
+def op4_bpe_round_trip(spark, sf):
+    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
+    hashed = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    return bpe.decode(ids, VOCABULARY).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), hashed.alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op1_bayes_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    return quality.classify(docs, model, F.col("source"), F.col("lang"))
+
+
+@query
+def op2_pivot_near_dedup(spark, sf):
+    return pivots.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query
+def op3_threshold_top_k(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op7_sentence_spans(spark, sf):
+    cut = sentences.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"),
+                      "text")
+
+
+@query
+def op8_perspective_chat(spark, sf):
+    shown = dialogues.rotate(table(spark, sf, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return shown.select("conv_id", "perspective", "part", "n_turns", F.sha2("text", 256).alias("text_sha256"),
+                        mask.alias("mask"))

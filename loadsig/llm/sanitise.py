@@ -135,7 +135,7 @@ def disclosing_terms(docs: DataFrame, around: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= EVIDENCE).join(n_e, "entity")
     )
     tokens = F.explode(F.array_distinct(F.split(F.col("text"), r"[^\p{L}\p{N}]+")))
-    df = docs.select(F.lower(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.select(tokens.alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("df"))
     known = pairs.join(df, "term").join(n_docs, F.lit(True))
     told = F.log(F.col("n_et") * F.col("n_docs") / (F.col("n_e") * F.greatest("df", "n_et")))
     share = F.when(F.col("n_docs") > F.col("n_e"), told / F.log(F.col("n_docs") / F.col("n_e")))
@@ -206,3 +206,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
