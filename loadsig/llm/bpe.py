@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadsig.llm.shared import bounded_batches
 from loadsig.session import materialise
 
 # The pattern that byte-level BPE splits text by, its white space
@@ -41,7 +42,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
            rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 SPECIAL = "<|endoftext|>"
 
-BLOCK_WORDS = 8_000_000
+BLOCK_WORDS = 2_000_000
 ENCODE_BATCH = 20_000
 
 
@@ -58,7 +59,7 @@ def words(text: Column) -> Column:
 def pack(numbers: np.ndarray) -> bytes:
     """Non-negative numbers below 2^32 by byte planes, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    return zlib.compress(planes.tobytes(), 6)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -66,14 +67,28 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def pack_words(values: list[str]) -> bytes:
+    """Strings as their byte lengths and their bytes, compressed."""
+    raw = [w.encode() for w in values]
+    sizes = pack(np.fromiter(map(len, raw), np.int64, len(raw)))
+    return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(b"".join(raw), 6)
+
+
+def unpack_words(data: bytes) -> pa.Array:
+    at = 4 + int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.concatenate(([0], unpack(data[4:at])))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(zlib.decompress(data[at:])))
+
+
 def word_bucket(values: pa.Array, buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) % buckets for w in values.to_pylist()), np.int64, len(values))
 
 
 def _block_rows(block: str, texts: list, codes: list[np.ndarray], lists: dict[str, int], buckets: int):
     """Rows of a finished block: its documents and its word lists."""
-    everything = np.concatenate(codes) if codes else np.empty(0, np.int64)
-    seen = np.bincount(everything, minlength=len(lists))
+    seen = np.zeros(len(lists), np.int64)
+    for c in codes:
+        np.add.at(seen, c, 1)
     order = np.argsort(-seen, kind="stable")
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
@@ -84,13 +99,13 @@ def _block_rows(block: str, texts: list, codes: list[np.ndarray], lists: dict[st
         for b in np.unique(bucket):
             at = np.flatnonzero(bucket == b)
             at = at[np.argsort(number[at])]
-            rows.append((block, int(b), None, pack(number[at]), names.take(pa.array(at)).to_pylist()))
+            rows.append((block, int(b), None, pack(number[at]), pack_words(names.take(pa.array(at)).to_pylist())))
     return rows
 
 
 def _code_blocks(row_type: pa.DataType, buckets: int, block_words: int):
     schema = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("row", row_type),
-                        ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+                        ("codes", pa.binary()), ("words", pa.binary())])
 
     def table_of(rows) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), 2000):
@@ -109,8 +124,8 @@ def _code_blocks(row_type: pa.DataType, buckets: int, block_words: int):
                 found = piece.column("_bpe_words")
                 coded = pc.dictionary_encode(found.flatten())
                 local = coded.dictionary.to_pylist()
-                to_block = np.fromiter((lists.setdefault(w, len(lists)) for w in local), np.int64, len(local))
-                flat = to_block[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+                to_block = np.fromiter((lists.setdefault(w, len(lists)) for w in local), np.int32, len(local))
+                flat = to_block[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
                 ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64))
                 codes += np.split(flat, ends[:-1]) if len(ends) else []
                 rows += piece.column("_bpe_row").to_pylist()
@@ -139,7 +154,7 @@ def _encode_words(vocabulary: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = _load(vocabulary)
-        lists = [pa.array(list(w), pa.string()) for w in rows["words"]]
+        lists = [unpack_words(w) for w in rows["words"]]
         coded = pc.dictionary_encode(pa.concat_arrays(lists))
         distinct, ids = coded.dictionary.to_pylist(), []
         for at in range(0, len(distinct), ENCODE_BATCH):
@@ -198,6 +213,7 @@ def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) ->
     tokenizer file on the driver; tasks get its content."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         content = f.read()
     kept = [c for c in docs.columns if c != "text"]
@@ -206,9 +222,9 @@ def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) ->
     row_schema = cut.schema["_bpe_row"].dataType
     row_type = to_arrow_type(row_schema)
     # lists are cut finer as the table grows, so that a bucket stays small
-    buckets = max(16, 2 * docs.rdd.getNumPartitions())
+    buckets = max(16, 4 * docs.rdd.getNumPartitions())
     schema = T.StructType().add("block", "string").add("bucket", "long").add("row", row_schema) \
-        .add("codes", "binary").add("words", T.ArrayType(T.StringType()))
+        .add("codes", "binary").add("words", "binary")
     coded = materialise(cut.mapInArrow(_code_blocks(row_type, buckets, block_words), schema), "blocks")
     encoded = coded.filter("bucket IS NOT NULL").select("block", "bucket", "codes", "words").groupBy("bucket").applyInPandas(
         _encode_words(content), "block string, numbers binary, lengths binary, ids binary")

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadsig.llm.shared import bounded_batches
 from loadsig.session import materialise
 
 UNDETERMINED = "und"
@@ -179,6 +180,7 @@ def language_of(model, text: Column) -> Column:
 
 def identify(docs: DataFrame, model) -> DataFrame:
     """``docs`` with a struct column ``language``."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("language", language_of(model, F.col("text")))
 
 
@@ -189,4 +191,5 @@ def fold(id_column: Column) -> Column:
 
 def keep_identified(docs: DataFrame, model) -> DataFrame:
     """Documents whose prediction is not rejected, with their own columns."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("_language", language_of(model, F.col("text"))).filter("_language.accepted").drop("_language")

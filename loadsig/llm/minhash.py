@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import components
+from loadsig.llm.shared import bounded_batches, components
 from loadsig.session import materialise
 
 SHINGLE, PERCENT = 5, 80
@@ -42,7 +42,7 @@ BANDS, BAND_ROWS = 36, 6
 SKETCH_WORDS = 8  # of 64 bits
 LEAST_ESTIMATE = 0.62
 STAR_ROUNDS = 2
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
 COLUMN_CHUNK = 4096
 
 
@@ -149,6 +149,7 @@ def _sets(shingle: int):
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: set size, fingerprint of the set, band keys and
     odd sketch (null for an empty set)."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _signatures(shingle),
         "doc_id long, n_shingles long, fp binary, bands array<long>, sketch array<long>",

@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadsig.llm.shared import bounded_batches
 from loadsig.session import materialise
 
 TRAITS = ("quality", "toxic")
 PER_CLASS = 1500
 BUCKETS, EPOCHS, RATE = 1 << 18, 12, 0.5
 LEAST_QUALITY, MOST_TOXIC = 0.5, 0.5
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 
 
@@ -193,6 +194,7 @@ def site_rates(scored: DataFrame, prior: dict[str, float]) -> tuple[DataFrame, d
 def classify(docs: DataFrame, model, host: Column, path: Column, id_column: str = "doc_id") -> DataFrame:
     """One row per document: id, posterior probability of each trait, the rates
     of its host and path, and ``keep``."""
+    bounded_batches(docs.sparkSession)
     scored = docs.select(F.col(id_column), host.alias("_site_host"), path.alias("_site_path"),
                          evidence(model, F.col("text")).alias("_e"))
     scored = materialise(scored.select(id_column, "_site_host", "_site_path", *[

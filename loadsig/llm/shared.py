@@ -3,6 +3,8 @@ and connected components."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Let Spark hand texts to Python in batches of at most so many rows and
+    bytes, so that a worker's memory does not follow the length of documents.
+    Smaller settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     """Equality of the key columns in which nulls are equal."""
     on = F.lit(True)
