@@ -97,7 +97,7 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
         for piece in _pieces(texts[i], rng):
             bag = grams(piece)
             if len(bag):
-                bags.append(bag)
+                bags.append(bag.astype(np.uint16))
                 target.append(names.index(langs[i]))
     y = np.array(target)
     weight = 1.0 / np.maximum(1, np.bincount(y, minlength=len(names)))

@@ -135,8 +135,8 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 sets = [shingle_set(t.as_py(), shingle, hashes).view(np.int64) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node").cast(pa.int64()), pa.array(sets, schema.field("shingles").type)],

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
     """Let Spark hand texts to Python in batches of at most so many rows and
     bytes, so that a worker's memory does not follow the length of documents.
     Smaller settings of the session stay."""
