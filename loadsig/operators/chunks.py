@@ -28,7 +28,8 @@ def with_row_index(df: DataFrame, slab_hours: int = SLAB_HOURS) -> DataFrame:
     give the offsets.
     """
     df = df.withColumn("_hour", hour_number("DATE"))
-    slab = F.expr(f"_hour div {int(slab_hours)}")
+    # rows without a time come first, in a slab of their own
+    slab = F.coalesce(F.expr(f"_hour div {int(slab_hours)}"), F.lit(-(1 << 40)))
     sizes = df.groupBy("building_id", slab.alias("_slab")).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("building_id").orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("building_id", "_slab", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))

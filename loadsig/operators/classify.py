@@ -215,15 +215,16 @@ def fit_tree(days: DataFrame, max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LE
     return tree
 
 
-def predict_day_type(days: DataFrame, tree: DataFrame, max_depth: int = MAX_DEPTH, name: str = "cluster_PRED") -> DataFrame:
+def predict_day_type(days: DataFrame, tree: DataFrame, name: str = "cluster_PRED") -> DataFrame:
     """Add the predicted day type.
 
-    The nodes of a building (63 at most) travel as one map, so days are joined
-    once and walk down the tree inside the row.
+    The nodes of a building travel as one map, so days are joined once and walk
+    down the tree inside the row, as deep as the building's tree is.
     """
     node = F.struct("feature", "threshold", "prediction", "is_leaf")
     trees = tree.groupBy("building_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("node", node))).alias("_tree")
+        F.map_from_entries(F.collect_list(F.struct("node", node))).alias("_tree"),
+        F.greatest(F.max("depth"), F.lit(1)).alias("_depth"),
     )
 
     def step(node: Column, _) -> Column:
@@ -231,11 +232,11 @@ def predict_day_type(days: DataFrame, tree: DataFrame, max_depth: int = MAX_DEPT
         above = (_feature_value(here["feature"]) > here["threshold"]).cast("int")
         return F.when(here["is_leaf"], node).otherwise(node * 2 + above)
 
-    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.lit(1), step)
+    leaf = F.aggregate(F.sequence(F.lit(1), F.col("_depth")), F.lit(1), step)
     return (
         days.join(trees, "building_id")
         .withColumn(name, F.element_at("_tree", leaf)["prediction"])
-        .drop("_tree")
+        .drop("_tree", "_depth")
     )
 
 
@@ -257,8 +258,20 @@ def confusion_cells(days: DataFrame, actual: str = "cluster", predicted: str = "
     )
 
 
-def confusion_matrix(cells: DataFrame, classes: list[int]) -> DataFrame:
-    """Actual rows by predicted columns, filled with 0 for every class."""
+def confusion_long(cells: DataFrame) -> DataFrame:
+    """One row per building and pair of its own classes, filled with 0."""
+    classes = cells.select("building_id", F.explode(F.array("actual", "predicted")).alias("c")).distinct()
+    frame = classes.withColumnRenamed("c", "actual").join(classes.withColumnRenamed("c", "predicted"), "building_id")
+    return frame.join(cells, ["building_id", "actual", "predicted"], "left").select(
+        "building_id", "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def confusion_matrix(cells: DataFrame, classes: list[int] | None = None) -> DataFrame:
+    """Actual rows by predicted columns, filled with 0 for every class: the
+    classes that occur in any building, unless they are given."""
+    if classes is None:
+        labels = cells.select(F.explode(F.array("actual", "predicted")).alias("c")).filter("c IS NOT NULL")
+        classes = sorted(r["c"] for r in labels.distinct().collect())
     counted = cells.groupBy("building_id", "actual").agg(
         *[F.sum(F.when(F.col("predicted") == c, F.col("n")).otherwise(0)).alias(f"Predicted_{c}") for c in classes]
     )

@@ -1,10 +1,11 @@
 """Day types: k-means on normalised day profiles, and the choice of k.
 
 Profiles are kept in blocks of days, so vectorised arithmetic runs inside tasks
-while Spark distributes blocks and combines their partial sums. A building that
-fits one block converges in a single round; longer ones take one round per
-Lloyd step. No task ever needs more than one block of days and the centres of
-one building, and no pair of days is ever written as a row.
+while Spark distributes blocks and combines their partial sums. A building of one
+block takes all its Lloyd steps within the task, longer ones one step per round;
+both stop after the same number of steps with the same result. A k-means task
+holds one block of days and the centres of one building, a silhouette task two
+blocks, and no pair of days is ever written as a row.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from loadsig.session import materialise
 
 # Smallest and largest number of day types tried, restarts, seed,
 # and the share of the largest drop that still counts as an elbow.
-K_MIN, K_MAX, N_INIT, SEED = 3, 30, 10, 25
+K_LOWEST, K_MIN, K_MAX, N_INIT, SEED = 1, 3, 30, 10, 25
 ELBOW_SHARE = 0.05
 
 BLOCK_DAYS = 1024
-SEED_POOL = 64
 MAX_ROUNDS = 50
 TOLERANCE = 1e-9
 HOURS = 24
@@ -58,10 +58,10 @@ def assign_nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     )
 
 
-def update_centres(assigned: DataFrame) -> DataFrame:
+def update_centres(assigned: DataFrame, keys: tuple[str, ...] = ("building_id",)) -> DataFrame:
     """Mean profile and size of each day type; 24 averages combined map-side."""
     means = F.array(*[F.avg(F.col("profile")[h]) for h in range(HOURS)])
-    return assigned.groupBy("building_id", "cluster").agg(
+    return assigned.groupBy(*keys, "cluster").agg(
         F.count(F.lit(1)).alias("n_days"), means.alias("centre")
     )
 
@@ -70,20 +70,21 @@ def lloyd_step(points: DataFrame, centres: DataFrame) -> DataFrame:
     return update_centres(assign_nearest(points, centres))
 
 
-def wss(assigned: DataFrame) -> DataFrame:
-    """Within-cluster sum of squares of each building for given day types."""
-    centres = update_centres(assigned).drop("n_days")
+def wss(assigned: DataFrame, keys: tuple[str, ...] = ("building_id",)) -> DataFrame:
+    """Within-cluster sum of squares of each building (or of other keys) for
+    given day types."""
+    centres = update_centres(assigned, keys).drop("n_days")
     return (
-        assigned.select("building_id", "cluster", "profile")
-        .join(centres, ["building_id", "cluster"])
-        .groupBy("building_id")
+        assigned.select(*keys, "cluster", "profile")
+        .join(centres, [*keys, "cluster"])
+        .groupBy(*keys)
         .agg(F.sum(squared_distance(F.col("profile"), F.col("centre"))).alias("wss"))
     )
 
 
 # --- k-means for every building, k and start ---------------------------------
 
-def day_blocks(points: DataFrame, block_days: int = BLOCK_DAYS, extra: list[str] = []) -> DataFrame:
+def day_blocks(points: DataFrame, block_days: int = BLOCK_DAYS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Days gathered into calendar blocks of bounded size per building."""
     first = points.groupBy("building_id").agg(F.min(DAY).alias("_first"))
     block = F.expr(f"datediff({DAY}, _first) div {int(block_days)}")
@@ -101,49 +102,57 @@ def seed_centres(points: DataFrame, k_max: int, n_init: int = N_INIT, seed: int
     """Ordered starting profiles for each building and start; a search for k
     uses the first k of them.
 
-    Each start draws a pool of days by hash order (a top-n that Spark prunes
-    before the shuffle). Even starts use the pool as drawn, odd ones order it by
-    farthest point first.
+    All distinct profiles of a building can become seeds. Even starts take them
+    in hash order. Odd starts order them along a direction of their own and take
+    evenly spaced ones, halves first, so that every number of first seeds is
+    spread over the building. Neither depends on blocks.
     """
-    pool = max(SEED_POOL, k_max)
+    distinct = points.groupBy("building_id", "profile").agg(F.min(DAY).alias(DAY))
+    distinct = materialise(distinct, "distinct-days")
+    weights = np.random.default_rng(seed).normal(size=(n_init, HOURS))
+    direction = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
+    along = F.aggregate(F.zip_with("profile", F.col("direction")[F.col("start")], lambda x, w: x * w),
+                        F.lit(0.0), lambda s, x: s + x)
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("start"), F.col("building_id"), F.col(DAY)))
-    order = Window.partitionBy("building_id", "start").orderBy("_draw", DAY)
-    drawn = (
-        points.select("building_id", DAY, "profile",
-                      F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("start"))
-        .withColumn("_draw", draw)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= pool)
-    )
-    pools = drawn.groupBy("building_id", "start").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "profile")))["profile"].alias("pool")
+    odd = F.col("start") % 2 == 1
+    order = Window.partitionBy("building_id", "start").orderBy("_along", "_draw", DAY)
+    group = Window.partitionBy("building_id", "start")
+    placed = (
+        distinct.withColumn("direction", direction)
+        .withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+        .select("building_id", DAY, "start", draw.alias("_draw"), F.when(odd, along).otherwise(F.lit(0.0)).alias("_along"))
+        .withColumn("_place", F.row_number().over(order) - 1)
+        .withColumn("_n", F.count(F.lit(1)).over(group))
     )
-
-    @F.pandas_udf("array<array<double>>")
-    def order_pool(start: pd.Series, pool: pd.Series) -> pd.Series:
-        return pd.Series([_seed_order(_matrix(p), s % 2 == 1, k_max).tolist() for s, p in zip(start, pool)])
-
-    return pools.select("building_id", "start", order_pool("start", "pool").alias("seeds"))
+    take = F.least(F.lit(k_max), F.col("_n"))
+    step = F.floor(F.col("_place") * take / F.col("_n"))
+    first = F.col("_place") == F.ceil(step * F.col("_n") / take)
+    turns = F.array(*[F.lit(t) for t in _halves_first(k_max)])
+    rank = F.when(odd, turns[step.cast("int")]).otherwise(F.col("_place"))
+    chosen = placed.filter(F.when(odd, first).otherwise(F.col("_place") < k_max)).select(
+        "building_id", DAY, "start", rank.alias("_rank"))
+    return chosen.join(distinct, ["building_id", DAY]).groupBy("building_id", "start").agg(
+        F.array_sort(F.collect_list(F.struct("_rank", "profile")))["profile"].alias("seeds"))
+
+
+def _halves_first(n: int) -> list[int]:
+    """Turn of each of ``n`` places when places are visited halves first."""
+    bits = max(1, (n - 1).bit_length())
+    visited = sorted(range(n), key=lambda i: int(f"{i:0{bits}b}"[::-1], 2))
+    turn = [0] * n
+    for t, place in enumerate(visited):
+        turn[place] = t
+    return turn
 
 
 def _matrix(rows) -> np.ndarray:
     return np.array([np.asarray(r, dtype=np.float64) for r in rows])
 
 
-def _seed_order(pool: np.ndarray, spread: bool, k_max: int) -> np.ndarray:
-    pool = pool[np.sort(np.unique(pool, axis=0, return_index=True)[1])]
-    if not spread:
-        return pool[:k_max]
-    chosen = [0]
-    nearest = ((pool - pool[0]) ** 2).sum(axis=1)
-    while len(chosen) < min(k_max, len(pool)):
-        chosen.append(int(nearest.argmax()))
-        nearest = np.minimum(nearest, ((pool - pool[chosen[-1]]) ** 2).sum(axis=1))
-    return pool[chosen]
-
-
 def _lloyd(points: np.ndarray, centres: np.ndarray, rounds: int):
-    """Sums, counts and inertia per centre after up to ``rounds`` steps."""
+    """Sums, counts and inertia per centre after up to ``rounds`` steps, the
+    centres that the inertia belongs to, and whether they have settled."""
+    settled = False
     square = (points**2).sum(axis=1)[:, None]
     for step in range(rounds):
         dist = square + (centres**2).sum(axis=1) - 2.0 * points @ centres.T
@@ -152,25 +161,26 @@ def _lloyd(points: np.ndarray, centres: np.ndarray, rounds: int):
         sums = np.zeros_like(centres)
         np.add.at(sums, label, points)
         moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        if step + 1 == rounds or np.abs(moved - centres).max() <= TOLERANCE:
+        settled = bool(np.abs(moved - centres).max() <= TOLERANCE)
+        if settled or step + 1 == rounds:
             break
         centres = moved
     inertia = np.zeros(len(centres))
     np.add.at(inertia, label, ((points - centres[label]) ** 2).sum(axis=1))
-    return sums, counts, inertia, centres
+    return sums, counts, inertia, centres, settled
 
 
 _PARTIAL = (
     "building_id string, k int, start int, cluster int, centre array<double>, "
-    "sums array<double>, n bigint, inertia double, final boolean"
+    "sums array<double>, n bigint, inertia double, final boolean, settled boolean"
 )
 
 
-def _partial_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _partial_sums(key: tuple, rows: pd.DataFrame, max_rounds: int) -> pd.DataFrame:
     """Sums of one block for every run of its building.
 
-    A building of one block is finished here, and only the best start of each
-    k leaves the task.
+    A building of one block takes all its steps here, and only the best start
+    of each k leaves the task.
     """
     row, out = rows.iloc[0], []
     points, single = _matrix(row["profiles"]), row["n_blocks"] == 1
@@ -180,27 +190,28 @@ def _partial_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     best: dict[int, tuple] = {}
     for (k, start), centres in sorted(runs.items()):
         centres.sort(key=lambda c: c[0])
-        result = _lloyd(points, _matrix([c[1] for c in centres]), MAX_ROUNDS if single else 1)
+        result = _lloyd(points, _matrix([c[1] for c in centres]), max_rounds if single else 1)
         if not single:
             out.append((k, start, result))
         elif k not in best or result[2].sum().round(9) < best[k][0]:
             best[k] = (result[2].sum().round(9), (k, start, result))
     out += [run for _, run in best.values()]
     table = [
-        (key[0], k, start, j, used[j].tolist(), sums[j].tolist(), int(counts[j]), float(inertia[j]), single)
-        for k, start, (sums, counts, inertia, used) in out
+        (key[0], k, start, j, used[j].tolist(), sums[j].tolist(), int(counts[j]), float(inertia[j]), single, settled)
+        for k, start, (sums, counts, inertia, used, settled) in out
         for j in range(len(used))
     ]
     return pd.DataFrame(table, columns=[f.split()[0] for f in _PARTIAL.split(", ")])
 
 
-def _lloyd_round(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+def _lloyd_round(blocks: DataFrame, centres: DataFrame, max_rounds: int) -> DataFrame:
     """Move all centres of all buildings once (single blocks: to convergence)."""
     listed = centres.groupBy("building_id").agg(
         F.collect_list(F.struct("k", "start", "cluster", "centre")).alias("centres")
     )
     partial = (
-        blocks.join(listed, "building_id").groupBy("building_id", "block").applyInPandas(_partial_sums, _PARTIAL)
+        blocks.join(listed, "building_id").groupBy("building_id", "block")
+        .applyInPandas(lambda key, rows: _partial_sums(key, rows, max_rounds), _PARTIAL)
     )
     keys = ["building_id", "k", "start", "cluster"]
     merged = partial.groupBy(keys).agg(
@@ -209,13 +220,14 @@ def _lloyd_round(blocks: DataFrame, centres: DataFrame) -> DataFrame:
         F.array(*[F.sum(F.col("sums")[h]) for h in range(HOURS)]).alias("sums"),
         F.min("centre").alias("old"),
         F.max("final").alias("final"),
+        F.min("settled").alias("done"),
     )
     moved = F.when(F.col("n") > 0, F.transform("sums", lambda s: s / F.col("n"))).otherwise(F.col("old"))
     shift = F.array_max(F.zip_with("centre", "old", lambda a, b: F.abs(a - b)))
     return (
         merged.withColumn("centre", moved)
         .withColumn("shift", F.when(F.col("final"), F.lit(0.0)).otherwise(shift))
-        .select(*keys, "centre", "n", "inertia", "shift")
+        .select(*keys, "centre", "old", "n", "inertia", "shift", "final", "done")
     )
 
 
@@ -229,9 +241,10 @@ def kmeans_search(
 ) -> DataFrame:
     """Best of ``n_init`` k-means runs for each building and each k.
 
-    Returns one row per building, k and day type: centre, number of days and
-    the run's within-cluster sum of squares ``wss``. A building with fewer
-    distinct days than k gets as many day types as it has distinct days.
+    Returns one row per building, k and day type: centre, number of days, the
+    run's within-cluster sum of squares ``wss``, and whether it ``converged``
+    within ``max_rounds`` steps. A building with fewer distinct days than k gets
+    as many day types as it has distinct days.
     """
     blocks = day_blocks(points, block_days)
     sizes = blocks.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_blocks"))
@@ -244,18 +257,22 @@ def kmeans_search(
     )
     done = None
     for _ in range(max_rounds):
-        moved = materialise(_lloyd_round(blocks, centres), "centres")
+        moved = materialise(_lloyd_round(blocks, centres, max_rounds), "centres")
         # a run is finished when none of its centres moves any more
         run = ["building_id", "k", "start"]
-        settled = moved.groupBy(run).agg((F.max("shift") <= TOLERANCE).alias("settled"))
+        settled = moved.groupBy(run).agg(
+            (F.max("shift") <= TOLERANCE).alias("settled"), F.min(F.col("done") | ~F.col("final")).alias("converged"))
         moved = moved.join(settled, run)
+        # in a run that was cut off, the sums belong to the centres before the last move
+        moved = moved.withColumn("centre", F.when(F.col("converged"), F.col("centre")).otherwise(F.col("old")))
         finished = moved.filter("settled")
         done = finished if done is None else done.unionByName(finished)
         centres = moved.filter("NOT settled").select(*run, "cluster", "centre")
         if centres.isEmpty():
             break
     else:
-        done = done.unionByName(moved.filter("NOT settled"))
+        cut = moved.filter("NOT settled").withColumns({"centre": F.col("old"), "converged": F.lit(False)})
+        done = done.unionByName(cut)
     return _best_runs(done)
 
 
@@ -272,7 +289,7 @@ def _best_runs(runs: DataFrame) -> DataFrame:
     return (
         runs.join(best, run)
         .withColumn("cluster", F.row_number().over(order) - 1)
-        .select("building_id", "k", "cluster", "centre", F.col("n").alias("n_days"), "wss")
+        .select("building_id", "k", "cluster", "centre", F.col("n").alias("n_days"), "wss", "converged")
     )
 
 
@@ -302,45 +319,60 @@ def elbow_k(wss_by_k: DataFrame) -> DataFrame:
 def silhouette(points: DataFrame, ks: list[int], block_days: int = BLOCK_DAYS) -> DataFrame:
     """Exact mean Euclidean silhouette of each building and labelling.
 
-    ``points`` carries ``labels``, one label per entry of ``ks``. Each block of
-    days is compared with the blocks of its building one at a time, as matrices
-    of bounded size; only sums leave the task. A day alone in its type scores 0.
+    ``points`` carries ``labels``, one label per entry of ``ks``. Each pair of
+    blocks of a building is a row of its own, compared as matrices of bounded
+    size; only sums per day and type leave the task and are added up. A day alone in its type scores 0.
     A labelling with a single type, or with every day its own type, has no score.
     """
-    blocks = day_blocks(points, block_days, extra=["labels"])
-    left = blocks.select("building_id", F.col("block").alias("left_block"))
-    pairs = left.join(blocks, "building_id")
-
-    def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["block"] == rows["left_block"]].iloc[0]
-        mine, labels = _matrix(own["profiles"]), np.array([np.asarray(v) for v in own["labels"]])
-        total = [None] * len(ks)
-        others = [(_matrix(r.profiles), np.array([np.asarray(v) for v in r.labels]))
-                  for r in rows.sort_values("block").itertuples(index=False)]
-        width = 1 + max(int(lab.max()) for _, lab in others)
-        sizes = np.zeros((len(ks), width))
-        for profiles, lab in others:
-            square = (mine**2).sum(axis=1)[:, None] + (profiles**2).sum(axis=1) - 2.0 * mine @ profiles.T
-            dist = np.sqrt(np.maximum(square, 0.0))
-            for j in range(len(ks)):
-                member = np.eye(width)[lab[:, j]]
-                sizes[j] += member.sum(axis=0)
-                part = dist @ member
-                total[j] = part if total[j] is None else total[j] + part
-        out = []
-        for j, k in enumerate(ks):
-            mark, n = labels[:, j], sizes[j]
-            at = np.arange(len(mark))
-            a = total[j][at, mark] / np.maximum(n[mark] - 1, 1)
-            mean = np.where(n > 0, total[j] / np.maximum(n, 1), np.inf)
+    blocks = materialise(day_blocks(points, block_days, extra=("labels",)), "label-blocks")
+    left = blocks.select("building_id", F.col("block").alias("left_block"), F.col("profiles").alias("left_profiles"))
+    pairs = left.join(blocks, "building_id").select(
+        "building_id", "left_block", "block", "left_profiles", "profiles", "labels")
+
+    def distances(parts):
+        """Per day and labelling, the sums of distances to each type of a block."""
+        for rows in parts:
+            for r in rows.itertuples(index=False):
+                mine, theirs = _matrix(r.left_profiles), _matrix(r.profiles)
+                lab = np.array([np.asarray(v) for v in r.labels])
+                square = (mine**2).sum(axis=1)[:, None] + (theirs**2).sum(axis=1) - 2.0 * mine @ theirs.T
+                dist = np.sqrt(np.maximum(square, 0.0))
+                sums, sizes = [], []
+                for j in range(len(ks)):
+                    member = np.eye(1 + int(lab[:, j].max()))[lab[:, j]]
+                    sums.append((dist @ member).ravel().tolist())
+                    sizes.append(member.sum(axis=0).astype(int).tolist())
+                yield pd.DataFrame({"building_id": [r.building_id], "left_block": [r.left_block],
+                                    "sums": [sums], "sizes": [sizes]})
+
+    summed = pairs.mapInPandas(
+        distances, "building_id string, left_block long, sums array<array<double>>, sizes array<array<long>>")
+    # one row per labelling and type: totals over the blocks are vectors over the days
+    per_k = summed.select("building_id", "left_block", F.posexplode(F.arrays_zip("sums", "sizes")).alias("j", "z"))
+    own = blocks.select("building_id", F.col("block").alias("left_block"), "labels")
+
+    def score(key: tuple, mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        labels = np.array([np.asarray(v) for v in mine["labels"].iloc[0]])
+        at, out = np.arange(len(labels)), []
+        for j, parts in rows.groupby("j"):
+            width = max(len(z["sizes"]) for z in parts["z"])
+            total, n = np.zeros((len(labels), width)), np.zeros(width)
+            for z in parts["z"]:
+                w = len(z["sizes"])
+                total[:, :w] += np.asarray(z["sums"]).reshape(len(labels), w)
+                n[:w] += z["sizes"]
+            mark = labels[:, j]
+            a = total[at, mark] / np.maximum(n[mark] - 1, 1)
+            mean = np.where(n > 0, total / np.maximum(n, 1), np.inf)
             mean[at, mark] = np.inf
             b = mean.min(axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
                 s = np.where((n[mark] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(a, b), 0.0)
-            out.append((key[0], k, float(s.sum()), len(mark), int((n > 0).sum())))
+            out.append((key[0], ks[j], float(s.sum()), len(mark), int((n > 0).sum())))
         return pd.DataFrame(out, columns=["building_id", "k", "total", "n_days", "n_types"])
 
-    partial = pairs.groupBy("building_id", "left_block").applyInPandas(
+    keys = ["building_id", "left_block"]
+    partial = own.groupBy(keys).cogroup(per_k.groupBy(keys)).applyInPandas(
         score, "building_id string, k int, total double, n_days bigint, n_types int"
     )
     return (

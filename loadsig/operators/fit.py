@@ -20,13 +20,11 @@ from pyspark.sql import types as T
 
 from loadsig.functions.signature import PARAMETERS, signature
 
-# Settings of the grid refinement: points per axis, parallel starts, rounds,
-# the factor by which the box shrinks in each round, and how many starts stay
-# after a round.
+# Settings of the grid refinement: points per axis, parallel starts, rounds, and
+# the factor by which the box shrinks in each round.
 LEVELS, STARTS, ROUNDS, SHRINK = 5, 8, 24, 0.7
-NARROWING = {2: 3, 4: 1}
 WIDE_FACTOR = 4.0
-ROW_SLICE, SMALL_GROUP = 256, 16
+ROW_SLICE = 256
 
 
 def fit_bounds(df: DataFrame, keys: list[str], bounds: str = "reference") -> DataFrame:
@@ -187,7 +185,7 @@ def _refine(t, i, p, start, stop) -> tuple[np.ndarray, float]:
     cells = np.argsort(loss[0], kind="stable")[:STARTS]
     centre = _pick(np.repeat(axes, len(cells), axis=0), cells)
     half = (stop - start) / (LEVELS - 1)
-    for done in range(1, ROUNDS + 1):
+    for _ in range(ROUNDS):
         axes = centre[:, :, None] + half[:, None] * np.linspace(-1.0, 1.0, LEVELS)
         axes = np.clip(axes, lower[:, None], upper[:, None])
         loss = _grid_loss(axes, t, i, p).round(9)
@@ -195,10 +193,12 @@ def _refine(t, i, p, start, stop) -> tuple[np.ndarray, float]:
         centre = _pick(axes, cells)
         reached = loss[np.arange(len(cells)), cells]
         half = half * SHRINK
-        if done in NARROWING:
-            stay = np.argsort(reached, kind="stable")[: NARROWING[done]]
+        if len(centre) > 1:
+            # starts that have met go on as one; all others stay to the end
+            stay = np.sort(np.unique(centre, axis=0, return_index=True)[1])
             centre, reached = centre[stay], reached[stay]
-    return centre[0], reached[0]
+    best = int(reached.argmin())
+    return centre[best], reached[best]
 
 
 def _pick(axes: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -221,10 +221,6 @@ def _grid_loss(axes: np.ndarray, t, i, p) -> np.ndarray:
         line = cold[..., None] + intercept[:, None, None, :]
         line -= p[rows][:, None, None, None, None]
         lowest = minimum - p[rows][:, None, None]
-        if len(line) <= SMALL_GROUP:
-            error = np.maximum(line[..., None], lowest[:, :, None, None, None, :])
-            total += np.abs(error, out=error).sum(axis=0)
-            continue
         error = np.empty_like(line)
         for m in range(LEVELS):
             np.maximum(line, lowest[:, :, m, None, None, None], out=error)

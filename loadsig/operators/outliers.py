@@ -104,8 +104,8 @@ def residual_range(df: DataFrame) -> DataFrame:
 def residual_histogram(df: DataFrame, bins: int = 300) -> DataFrame:
     """Equal-width density histogram of the residuals of each building.
 
-    Only occupied bins are returned. A building with one distinct residual is
-    binned over one unit around it.
+    All bins are returned, empty ones with 0. A building with one distinct
+    residual is binned over one unit around it.
     """
     stats = materialise(residual_range(df), "ranges")
     flat = F.col("lo") == F.col("hi")
@@ -116,18 +116,20 @@ def residual_histogram(df: DataFrame, bins: int = 300) -> DataFrame:
     )
     width = (F.col("hi") - F.col("lo")) / bins
     position = F.floor((F.col("Power_residuals") - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
-    return (
+    filled = (
         df.filter(F.col("Power_residuals").isNotNull())
         .select("building_id", "Power_residuals")
         .join(stats, "building_id")
-        .groupBy("building_id", F.least(position, F.lit(bins - 1)).cast("int").alias("bin"), "lo", "hi", "n")
+        .groupBy("building_id", F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
-        .select(
-            "building_id", "bin",
-            (F.col("lo") + F.col("bin") * width).alias("bin_start"),
-            "count",
-            (F.col("count") / (F.col("n") * width)).alias("density"),
-        )
+    )
+    frame = stats.filter("n > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    count = F.coalesce("count", F.lit(0))
+    return frame.join(filled, ["building_id", "bin"], "left").select(
+        "building_id", "bin",
+        (F.col("lo") + F.col("bin") * width).alias("bin_start"),
+        count.cast("long").alias("count"),
+        (count / (F.col("n") * width)).alias("density"),
     )
 
 

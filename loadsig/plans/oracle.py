@@ -201,7 +201,7 @@ WSS = {
     "wss": "\n  UNION ALL ".join(
         f"""SELECT building_id, {k} AS k, sum(("value" - mu) * ("value" - mu)) AS wss
   FROM (SELECT *, avg("value") OVER (PARTITION BY building_id, dy % {k}, "hour") AS mu FROM cells) GROUP BY building_id"""
-        for k in range(1, 7)
+        for k in range(1, 31)
     ),
     "drops": """
   SELECT *, max(d) OVER (PARTITION BY building_id) AS top
@@ -212,7 +212,7 @@ WSS = {
 
 SILHOUETTE = {
     "lab": """
-  SELECT building_id, d, v, k, dy % k AS cl FROM pts, (SELECT unnest([2, 3, 4, 5, 6]) AS k)""",
+  SELECT building_id, d, v, k, dy % k AS cl FROM pts, (SELECT unnest(range(2, 31)) AS k)""",
     "dist": """
   SELECT a.building_id, a.k, a.d, a.cl, b.cl AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
   FROM lab a JOIN lab b ON a.building_id = b.building_id AND a.k = b.k GROUP BY ALL""",
@@ -415,6 +415,8 @@ def oracle_texts() -> dict[str, str]:
        CAST(sum(CAST("Power" AS DECIMAL(18,2))) AS DOUBLE) AS total_power
 FROM (SELECT building_id, "DATE", "Power" FROM ev_grid UNION ALL SELECT building_id, "DATE", "Power" FROM li_power)
 GROUP BY building_id""", *ev, {"li_power": LINES["li_power"]})
+    add("a8_join_weather", """SELECT building_id, "DATE", "Holiday", CASE WHEN hour("DATE") % 5 > 0 THEN "Temperature" END AS "Temperature",
+       CASE WHEN hour("DATE") % 5 > 0 THEN "Solar_Irradiation" END AS "Solar_Irradiation", "Power" FROM r""", *ev)
     add("a7_profile_readings", """SELECT *, "missing_Temperature" + "missing_Solar_Irradiation" + "missing_Power" + "missing_Holiday" AS missing_total
 FROM (SELECT building_id, count(*) AS n_rows, min(year("DATE")) AS min_year, max(year("DATE")) AS max_year,
              count(*) - count("Temperature") AS "missing_Temperature", count(*) - count("Solar_Irradiation") AS "missing_Solar_Irradiation",
@@ -494,11 +496,13 @@ FROM s LEFT JOIN (SELECT building_id, "DATE_hour_week", avg("Power_residuals") A
 FROM (SELECT *, max(n) OVER (PARTITION BY building_id) AS top
       FROM (SELECT building_id, strftime("DATE", '%Y-%m') AS "Month", CAST(sum(CAST(is_outlier AS INT)) AS DOUBLE) AS n, count(*) AS total
             FROM f GROUP BY 1, 2))""", *li_flag)
-    add("d11_residual_histogram", """SELECT building_id, bin, round(lo + bin * ((hi - lo) / 300), 6) AS bin_start, count(*) AS count,
-       round(count(*) / (n * ((hi - lo) / 300)), 6) AS density
-FROM (SELECT building_id, lo, hi, n, CAST(least(floor(("Power_residuals" - lo) * 300 / (hi - lo)), 299) AS INT) AS bin
+    add("d11_residual_histogram", """SELECT building_id, CAST(bin AS INT) AS bin, round(lo + bin * ((hi - lo) / 300), 6) AS bin_start, coalesce(c, 0) AS count,
+       round(coalesce(c, 0) / (n * ((hi - lo) / 300)), 6) AS density
+FROM (SELECT building_id, min("Power_residuals") AS lo, max("Power_residuals") AS hi, count("Power_residuals") AS n FROM s GROUP BY 1)
+CROSS JOIN (SELECT unnest(range(0, 300)) AS bin)
+LEFT JOIN (SELECT building_id, bin, count(*) AS c FROM (SELECT building_id, lo, hi, n, CAST(least(floor(("Power_residuals" - lo) * 300 / (hi - lo)), 299) AS INT) AS bin
       FROM s JOIN (SELECT building_id, min("Power_residuals") AS lo, max("Power_residuals") AS hi, count("Power_residuals") AS n FROM s GROUP BY 1)
-      USING (building_id) WHERE "Power_residuals" IS NOT NULL) GROUP BY building_id, bin, lo, hi, n""", *li_scored)
+      USING (building_id) WHERE "Power_residuals" IS NOT NULL) GROUP BY building_id, bin) USING (building_id, bin) WHERE n > 0""", *li_scored)
     add("d11_normal_curve", """SELECT building_id, i, round(x, 6) AS x, round(exp(-0.5E0 * ((x - mu) / sd) * ((x - mu) / sd)) / (sd * sqrt(2 * pi())), 6) AS density,
        round(mu - 1.96E0 * sd, 6) AS ci_lower, round(mu + 1.96E0 * sd, 6) AS ci_upper
 FROM (SELECT *, lo + (hi - lo) * i / 499 AS x
@@ -595,6 +599,7 @@ FROM li_power) WHERE rn = 1""", *li)
     # day types and tree
     add("m1_kmeans_quality", """SELECT building_id, count(*) AS n_days, true AS labels_are_nearest, true AS centres_are_means, true AS beats_stand_in
 FROM pts GROUP BY building_id""", *ev_unit)
+    add("m1_planted_types", """SELECT building_id, d AS "DATE_YYYY_MM_DD", min(d) OVER (PARTITION BY building_id, dy % 4) AS first_day FROM pts""", *ev_unit)
     add("m2_lloyd_step", """SELECT a.building_id, near AS cluster, count(*) AS n_days, "hour", round(avg("value"), 6) AS "value"
 FROM near a JOIN cells b USING (building_id, d) GROUP BY a.building_id, near, "hour" """, *ev_unit, {
         "cen": """SELECT building_id, dy % 3 AS cl, "hour", avg("value") AS m FROM cells GROUP BY 1, 2, 3""",

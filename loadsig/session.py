@@ -3,6 +3,7 @@ operators write tables that are read more than once."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
+    if current is None and named is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if current is None:
         named = named or tempfile.mkdtemp(prefix="loadsig-")
         sc.setCheckpointDir(named)

@@ -27,20 +27,43 @@ MEASURES = ["Temperature", "Solar_Irradiation", "Power"]
 def read_readings(spark: SparkSession, paths: str | list[str], schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """Read one or many ``;``-separated files with a header in one scan.
 
-    The building is the file name without its extension. A folder that Spark
-    wrote with ``partitionBy("building_id")`` brings the column itself.
+    Columns are found by the names in the header, in any order, and extra ones
+    are left out; a column that is absent fails. Values that cannot be read as
+    their type become null and are counted by ``unreadable_values``. Files of one
+    call share one header. The building is the file name without its extension.
+    A folder that Spark wrote with ``partitionBy("building_id")`` brings the
+    column itself.
     """
-    df = (
-        spark.read.schema(schema)
-        .option("sep", ";")
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(paths)
-    )
-    if "building_id" in df.columns:
-        return df
+    raw = _header_columns(spark, paths)
+    columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]
+    if "building_id" in raw.columns:
+        return raw.select(*columns) if "building_id" in schema.names else raw.select("building_id", *columns)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return df.select(stem.alias("building_id"), "*")
+    return raw.select(stem.alias("building_id"), *columns)
+
+
+def _header_columns(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.option("sep", ";").option("header", True).option("enforceSchema", False).csv(paths)
+
+
+def unreadable_values(spark: SparkSession, paths: str | list[str], schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """One row: per column, how many values are present but not of its type."""
+    raw = _header_columns(spark, paths)
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()).alias(f.name)
+           for f in schema if f.name in raw.columns]
+    return raw.agg(*bad)
+
+
+def join_weather(meter: DataFrame, weather: DataFrame, by_building: bool = True) -> DataFrame:
+    """Meter readings with the weather of their hour from a table of its own
+    (``DATE, Temperature, Solar_Irradiation``, and ``building_id`` unless one
+    station serves all). Hours without weather keep null measures; of several
+    weather rows of an hour the mean counts, so no reading is multiplied."""
+    keys = ["building_id", "DATE"] if by_building else ["DATE"]
+    measures = ["Temperature", "Solar_Irradiation"]
+    hourly = weather.groupBy(keys).agg(*[F.avg(m).alias(m) for m in measures])
+    return meter.drop(*measures).join(hourly, keys, "left").select(
+        *[c for c in READING_COLUMNS if c in meter.columns or c in measures])
 
 
 def union_buildings(frames: dict[str, DataFrame]) -> DataFrame:
@@ -82,12 +105,15 @@ def format_readings(
         col_solar_irradiation = "Solar_Irradiation"
 
     def measure(name):
-        number = F.col(f"`{name}`").cast("double")
+        number = F.col(f"`{name}`").try_cast("double")
         return F.when(~F.isnan(number), number)
 
+    mark = F.col(f"`{col_holiday}`").cast("string")
+    as_number = mark.try_cast("double")
+    holiday = F.coalesce(mark.try_cast("boolean"), F.when(~F.isnan(as_number), as_number != 0), F.lit(holiday_null))
     columns = [
         F.col(f"`{col_date}`").cast("timestamp_ntz").alias("DATE"),
-        F.coalesce(F.col(f"`{col_holiday}`").cast("boolean"), F.lit(holiday_null)).alias("Holiday"),
+        holiday.alias("Holiday"),
         measure(col_temperature).alias("Temperature"),
         measure(col_solar_irradiation).alias("Solar_Irradiation"),
         measure(col_power).alias("Power"),

@@ -1,7 +1,8 @@
 """Scoring of arriving readings with a fixed model.
 
-The same expressions as in batch. Repeated deliveries of an hour are dropped
-within the watermark; that is the only state kept.
+The same expressions as in batch, row by row and without state, so a reading is
+scored whenever it arrives, however late. Deliveries can repeat an hour; repeats
+are removed by key where the scored rows are read.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import types as T
 from loadsig.functions.calendar import add_calendar
 from loadsig.operators.outliers import score_readings
 
-WATERMARK = "2 hours"
-
 
 def score_with_stored_moments(readings: DataFrame, params: DataFrame, stats: DataFrame) -> DataFrame:
     """Fit, residual and outlier flag from parameters and stored residual
@@ -29,14 +28,13 @@ def score_with_stored_moments(readings: DataFrame, params: DataFrame, stats: Dat
 
 
 def score_stream(readings: DataFrame, params: DataFrame, stats: DataFrame) -> DataFrame:
-    """Streaming form: event time, watermark and removal of repeats in front."""
-    once = (
-        readings.withColumn("event_time", F.col("DATE").cast("timestamp"))
-        .withWatermark("event_time", WATERMARK)
-        .dropDuplicatesWithinWatermark(["building_id", "DATE"])
-        .drop("event_time")
-    )
-    return score_with_stored_moments(once, params, stats)
+    """Streaming form; every arriving row is scored."""
+    return score_with_stored_moments(readings, params, stats)
+
+
+def scored_readings(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """What was scored so far, each reading of a building and hour once."""
+    return spark.read.schema(schema).parquet(out).dropDuplicates(["building_id", "DATE"])
 
 
 def read_reading_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
