@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, and whether they decode to the text again."""
-    encoded = bpe.encode(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), VOCABULARY)
-    decoded = bpe.decode(encoded, VOCABULARY)
+    hashed = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    decoded = bpe.encode(hashed, VOCABULARY, with_text=True)
     return decoded.withColumn("round_trip", F.sha2("decoded", 256) == F.col("text_sha256")).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 

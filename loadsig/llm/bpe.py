@@ -179,9 +179,13 @@ def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return flat[np.arange(total) - np.repeat(ends - length, length) + np.repeat(start, length)]
 
 
-def _ids_by_position(row_type: pa.DataType):
-    """Join the ids of a block's words to its documents."""
-    schema = pa.schema([("row", row_type), ("ids", pa.list_(pa.int32()))])
+def _text(ids: list[int], pieces: list[bytes]) -> str:
+    return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def _ids_by_position(schema: pa.Schema, pieces: list[bytes] | None):
+    """Join the ids of a block's words to its documents, and the pieces of the
+    ids if they are given."""
 
     def run(docs: Iterator[pa.RecordBatch], words_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, length, flat = [], [], []
@@ -198,19 +202,24 @@ def _ids_by_position(row_type: pa.DataType):
             before += int(le.sum())
         all_ids = np.concatenate(flat) if flat else np.empty(0, np.int32)
         for batch in docs:
-            for at in range(0, batch.num_rows, 500):
-                piece, ids = batch.slice(at, 500), []
+            for at in range(0, batch.num_rows, 100):
+                piece, ids = batch.slice(at, 100), []
                 for codes in piece.column("codes").to_pylist():
                     c = unpack(codes)
                     ids.append(_gather(all_ids, starts[c], lengths[c]))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(ids, schema.field("ids").type)], schema=schema)
+                columns = [piece.column("row"), pa.array(ids, schema.field("ids").type)]
+                if pieces is not None:
+                    columns.append(pa.array([_text(i.tolist(), pieces) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``ids``. ``vocabulary`` is the path of a
-    tokenizer file on the driver; tasks get its content."""
+    tokenizer file on the driver; tasks get its content. ``with_text`` decodes
+    the ids again, as ``decode`` does, in the task that has them: a column
+    ``decoded``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     bounded_batches(docs.sparkSession)
@@ -228,17 +237,22 @@ def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS) ->
     coded = materialise(cut.mapInArrow(_code_blocks(row_type, buckets, block_words), schema), "blocks")
     encoded = coded.filter("bucket IS NOT NULL").select("block", "bucket", "codes", "words").groupBy("bucket").applyInPandas(
         _encode_words(content), "block string, numbers binary, lengths binary, ids binary")
+    out = T.StructType().add("row", row_schema).add("ids", T.ArrayType(T.IntegerType()))
+    arrow = [("row", row_type), ("ids", pa.list_(pa.int32()))]
+    if with_text:
+        out, arrow = out.add("decoded", "string"), [*arrow, ("decoded", pa.string())]
     joined = coded.filter("bucket IS NULL").select("block", "row", "codes").groupBy("block").cogroup(
-        encoded.groupBy("block")).applyInArrow(_joiner(row_type), T.StructType().add("row", row_schema).add("ids", T.ArrayType(T.IntegerType())))
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], "ids")
+        encoded.groupBy("block")).applyInArrow(_joiner(arrow, piece_bytes(vocabulary) if with_text else None), out)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], *out.names[1:])
 
 
-def _joiner(row_type: pa.DataType):
-    run = _ids_by_position(row_type)
+def _joiner(columns: list[tuple[str, pa.DataType]], pieces: list[bytes] | None):
+    schema = pa.schema(columns)
+    run = _ids_by_position(schema, pieces)
 
     def join(docs: pa.Table, words_: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(iter(docs.to_batches()), iter(words_.to_batches()))),
-                                     schema=pa.schema([("row", row_type), ("ids", pa.list_(pa.int32()))]))
+        return pa.Table.from_batches(
+            list(run(iter(docs.to_batches()), iter(words_.to_batches()))), schema=schema)
 
     return join
 
@@ -267,8 +281,7 @@ def decode(encoded: DataFrame, vocabulary: str, column: str = "ids", to: str = "
     def look_up(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in parts:
             yield pd.Series([
-                None if row is None else b"".join(map(pieces.__getitem__, row.tolist())).decode("utf-8", "replace")
-                for row in ids
+                None if row is None else _text(row.tolist(), pieces) for row in ids
             ], dtype=object)
 
     return encoded.withColumn(to, look_up(column))

@@ -134,8 +134,8 @@ def disclosing_terms(docs: DataFrame, around: DataFrame) -> DataFrame:
         distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term")
         .agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= EVIDENCE).join(n_e, "entity")
     )
-    tokens = F.explode(F.array_distinct(F.split(F.col("text"), r"[^\p{L}\p{N}]+")))
-    df = docs.select(tokens.alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("df"))
+    tokens = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
+    df = docs.select(tokens.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = pairs.join(df, "term").join(n_docs, F.lit(True))
     told = F.log(F.col("n_et") * F.col("n_docs") / (F.col("n_e") * F.greatest("df", "n_et")))
     share = F.when(F.col("n_docs") > F.col("n_e"), told / F.log(F.col("n_docs") / F.col("n_e")))
