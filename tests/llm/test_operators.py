@@ -274,13 +274,13 @@ def test_perspectives(spark):
 
 
 def test_quality(spark, docs, empty):
-    rows = [(i, text_of(i, 40) + (" vile scum" if i % 5 == 0 else "") + (" !!" * 30 if i % 7 == 0 else ""), "en", f"h{i % 3}", 1) for i in range(140)]
+    rows = [(i, text_of(i, 40) + (" vile scum foul dregs" if i % 5 == 0 else "") + (" !!" * 30 if i % 7 == 0 else ""), "en", f"h{i % 3}", 1) for i in range(600)]
     frame = docs_of(spark, rows)
-    labels = spark.createDataFrame([(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(140)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
     model = quality.train(frame, labels)
     got = {r["doc_id"]: r for r in quality.classify(frame, model, F.col("source"), F.col("lang")).collect()}
     wrong = [i for i, r in got.items() if r["keep"] != (i % 7 != 0 and i % 5 != 0)]
-    assert len(got) == 140 and len(wrong) <= 7
+    assert len(got) == 600 and len(wrong) <= 30
     assert quality.classify(docs, model, F.col("source"), F.col("lang")).count() == docs.count()
     assert quality.train(empty, labels) is None
     assert quality.classify(empty, None, F.col("source"), F.col("lang")).count() == 0
