@@ -11,7 +11,7 @@ compared. The MinHash values of a set are folded into an odd sketch: value i
 flips one bit, so the XOR of two sketches holds the values in which they
 differ, and its bit count estimates the similarity. High similarities leave few
 bits and are estimated precisely; a pair is dropped only if it is estimated
-below a bound about five standard deviations under the wanted similarity.
+below a bound about four standard deviations under the wanted similarity.
 
 Within a band bucket no pairs of all members are written at first: in each star
 round every member meets one pivot. Buckets whose members are in one component
@@ -39,8 +39,8 @@ from loadsig.session import materialise
 
 SHINGLE, PERCENT = 5, 80
 BANDS, BAND_ROWS = 36, 6
-SKETCH_WORDS = 8  # of 64 bits
-LEAST_ESTIMATE = 0.62
+SKETCH_WORDS = 16  # of 64 bits
+LEAST_ESTIMATE = 0.66
 STAR_ROUNDS = 2
 WORD_CACHE = 200_000
 COLUMN_CHUNK = 4096
