@@ -11,12 +11,16 @@ compared. The MinHash values of a set are folded into an odd sketch: value i
 flips one bit, so the XOR of two sketches holds the values in which they
 differ, and its bit count estimates the similarity. High similarities leave few
 bits and are estimated precisely; a pair is dropped only if it is estimated
-below a bound about four standard deviations under the wanted similarity.
+below a bound about four standard deviations under the wanted similarity. The
+whole set is folded the same way: the XOR of two such bitmaps has at most as many
+bits as the sets have different members, so a pair with more bits than linked
+sets of their sizes can have is dropped without loss. That is sharp for short
+documents, the samples for long ones.
 
 Within a band bucket no pairs of all members are written at first: in each star
 round every member meets one pivot. Buckets whose members are in one component
 are finished; members of different components that are left after the star
-rounds are compared pairwise within the join, by their sketches and by the
+rounds are compared pairwise within the join, by their bitmaps and by the
 number of shingles that they can share at all, so no link is lost to the rounds.
 
 Nulls and empty texts have an empty set and are linked with nothing. Rows with
@@ -95,7 +99,12 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parity bitmap of the numbered samples, as 64-bit words."""
-    place = _mix(samples + (np.arange(1, len(samples) + 1, dtype=np.uint64) << np.uint64(33)))
+    return parity(samples + (np.arange(1, len(samples) + 1, dtype=np.uint64) << np.uint64(33)))
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """Parity bitmap of values: each flips one bit."""
+    place = _mix(values)
     bits = np.bincount((place % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -108,7 +117,8 @@ def most_bits(estimate: float) -> int:
 
 def _signatures(shingle: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()),
-                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+                        ("parity", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = _WordHashes(), _factors(BANDS * BAND_ROWS)
@@ -119,9 +129,9 @@ def _signatures(shingle: int):
                 if len(values):
                     samples = minhash(values, factors)
                     out.append((doc, len(values), xxhash.xxh3_128_digest(values.tobytes()),
-                                band_keys(samples), odd_sketch(samples)))
+                                band_keys(samples), odd_sketch(samples), parity(values)))
                 else:
-                    out.append((doc, 0, None, None, None))
+                    out.append((doc, 0, None, None, None, None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row[i] for row in out], field.type) for i, field in enumerate(schema)], schema=schema
             )
@@ -147,20 +157,34 @@ def _sets(shingle: int):
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: set size, fingerprint of the set, band keys and
-    odd sketch (null for an empty set)."""
+    """One row per document: set size, fingerprint of the set, band keys, odd
+    sketch and parity bitmap of the whole set (null for an empty set)."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _signatures(shingle),
-        "doc_id long, n_shingles long, fp binary, bands array<long>, sketch array<long>",
+        "doc_id long, n_shingles long, fp binary, bands array<long>, sketch array<long>, parity array<long>",
     )
 
 
-def alike(a: str, b: str) -> Column:
-    """Whether two sketches estimate at least ``LEAST_ESTIMATE``; one term per
-    word, so that it is compiled."""
-    bits = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    return bits <= most_bits(LEAST_ESTIMATE)
+def _bitmaps() -> list[Column]:
+    """Both bitmaps as columns of words: conditions on plain numbers stay small
+    enough to be compiled."""
+    return [F.coalesce(F.col(c)[i], F.lit(0)).alias(f"{c}{i}") for c in ("sketch", "parity") for i in range(SKETCH_WORDS)]
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bit count of the XOR of two bitmaps."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+
+
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether two documents can be linked: by the estimate of their sketches,
+    and by the bits in which the bitmaps of their sets (prefix ``a``, ``b``)
+    differ. Linked sets differ in at most (100 - percent) / (100 + percent) of
+    the sum of their sizes."""
+    fewest = (100 + percent) * _differing(f"{a}parity", f"{b}parity")
+    return (_differing(f"{a}sketch", f"{b}sketch") <= most_bits(LEAST_ESTIMATE)) & (
+        fewest <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n")))
 
 
 def common_counts(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,14 +199,16 @@ def common_counts(open_: DataFrame, sets: DataFrame) -> DataFrame:
         "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that pass the sketch estimate and then the full sets."""
-    sketch = nodes.select("node", "sketch")
-    likely = (
-        pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
-        .join(sketch.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
-        .filter(alike("sa", "sb")).select("a", "b")
-    )
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose bitmaps allow a link."""
+    facts = nodes.select("node", "n", *_bitmaps())
+    left, right = (facts.select(*[F.col(c).alias(end if c == "node" else f"{end}_{c}") for c in facts.columns])
+                   for end in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").filter(alike("a_", "b_", percent)).select("a", "b")
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that pass on their full sets."""
     shared = F.size(F.array_intersect("xa", "xb"))
     return (
         likely.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a")
@@ -199,7 +225,7 @@ def _pairs_of(a: str, b: str):
 
 def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """Component ``(node, component)`` of the class representatives ``reps``
-    (node, bands, sketch) that are linked with another one."""
+    (node, bands, n, sketch, parity) that are linked with another one."""
     keyed = reps.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialise(keyed.join(shared, "key"), "buckets")
@@ -226,11 +252,11 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataF
             pairs = open_.join(pivot, "key").filter("component <> p.component").select(
                 *_pairs_of("node", "p.node"))
         else:
-            facts = materialise(common_counts(open_, sets).join(reps.select("node", "sketch"), "node"), "facts")
-            left = open_.join(facts, "node")
+            facts = materialise(common_counts(open_, sets).join(reps.select("node", "sketch", "parity"), "node"), "facts")
+            left = open_.join(facts, "node").select("key", "node", "component", "n", "common", *_bitmaps())
             right = left.select("key", *[F.col(c).alias(f"o_{c}") for c in left.columns if c != "key"])
             most = F.least("common", "o_common")
-            fits = (100 * most >= percent * (F.col("n") + F.col("o_n") - most)) & alike("sketch", "o_sketch")
+            fits = (100 * most >= percent * (F.col("n") + F.col("o_n") - most)) & alike("", "o_", percent)
             # the tests are part of the join, so pairs that fail are not rows
             pairs = left.join(right, (left["key"] == right["key"]) & (F.col("component") < F.col("o_component")) & fits)
             pairs = pairs.select(*_pairs_of("node", "o_node"))
@@ -239,7 +265,8 @@ def links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataF
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        good = materialise(_confirmed(pairs, reps, sets, percent), "good")
+        likely = _likely(pairs, reps, percent) if turn < STAR_ROUNDS else pairs
+        good = materialise(_confirmed(likely, sets, percent), "good")
         if labels is None or not good.isEmpty():
             # what is known so far goes on as stars
             known = good if labels is None else good.unionByName(
@@ -256,10 +283,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         signed.filter("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")),
         "classes",
     )
-    own = signed.select("doc_id", "fp", "bands", "sketch").dropDuplicates(["doc_id", "fp"])
+    own = signed.withColumnRenamed("n_shingles", "n").dropDuplicates(["doc_id", "fp"])
     reps = materialise(
         own.join(classes.withColumnRenamed("node", "doc_id"), ["fp", "doc_id"])
-        .select(F.col("doc_id").alias("node"), "bands", "sketch"), "representatives",
+        .select(F.col("doc_id").alias("node"), "bands", "n", "sketch", "parity"), "representatives",
     )
     labels = links(docs, reps, shingle, percent)
     named = classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
