@@ -4,7 +4,8 @@ Spark splits every text into words by the tokenizer's own pattern (special
 tokens first). A block of documents is stored as numbers into the block's list
 of distinct words. The lists are cut by word hash, so that each distinct word of
 the corpus meets in one place and is encoded there once; its ids go back to the
-blocks that have it and are joined to the documents by position.
+blocks that have it and are joined to the documents by position. The documents
+are written in buckets by block, so they are not shuffled for that join.
 
 Only short lists travel: of each block every distinct word once, packed, and the
 numbers of its words, most frequent first, packed by byte planes. A block holds
@@ -20,6 +21,7 @@ with ``_bpe`` are reserved. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -32,8 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadsig.llm.shared import bounded_batches
-from loadsig.session import materialise
+from loadsig.llm.shared import bounded_batches, bucketed
 
 # The pattern that byte-level BPE splits text by, its white space
 # written out, and the special token.
@@ -138,6 +139,7 @@ def _code_blocks(row_type: pa.DataType, buckets: int, block_words: int):
     return run
 
 
+@functools.lru_cache(maxsize=1)
 def _load(vocabulary: str):
     from tokenizers import Tokenizer
 
@@ -234,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS, wit
     buckets = max(16, 4 * docs.rdd.getNumPartitions())
     schema = T.StructType().add("block", "string").add("bucket", "long").add("row", row_schema) \
         .add("codes", "binary").add("words", "binary")
-    coded = materialise(cut.mapInArrow(_code_blocks(row_type, buckets, block_words), schema), "blocks")
+    coded = bucketed(cut.mapInArrow(_code_blocks(row_type, buckets, block_words), schema), "block", buckets, "blocks")
     encoded = coded.filter("bucket IS NOT NULL").select("block", "bucket", "codes", "words").groupBy("bucket").applyInPandas(
         _encode_words(content), "block string, numbers binary, lengths binary, ids binary")
     out = T.StructType().add("row", row_schema).add("ids", T.ArrayType(T.IntegerType()))

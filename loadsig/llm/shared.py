@@ -4,11 +4,14 @@ and connected components."""
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loadsig.session import materialise
+from loadsig.session import materialise, scratch_path
+
+MOST_BUCKETS = 50_000  # Spark takes up to 100,000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,18 @@ def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -
             spark.conf.set(key, str(most))
 
 
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """``df`` written to the shared folder in ``n`` buckets by ``key`` and read
+    back: grouping it by the key needs no shuffle. The name by which Spark
+    writes buckets is dropped again; the files stay."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(min(n, MOST_BUCKETS), key).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     """Equality of the key columns in which nulls are equal."""
     on = F.lit(True)
