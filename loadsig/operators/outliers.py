@@ -87,10 +87,8 @@ def outliers_by_month(df: DataFrame, flag: str = "is_outlier_global") -> DataFra
         .withColumn("Percentage_IS_Outlier", F.col("Sum_IS_Outlier") / F.col("Total_Count") * 100.0)
     )
     top = F.max("Sum_IS_Outlier").over(Window.partitionBy("building_id"))
-    return by_month.withColumn(
-        "Scaled_Percentage", F.col("Percentage_IS_Outlier") * (F.greatest(top, F.lit(0)) / 100.0)
-    ).withColumn("Scaled_Percentage", F.when(top <= 0, F.col("Percentage_IS_Outlier") / 100.0)
-                 .otherwise(F.col("Scaled_Percentage")))
+    scale = F.when(top > 0, top).otherwise(1) / 100.0
+    return by_month.withColumn("Scaled_Percentage", F.col("Percentage_IS_Outlier") * scale)
 
 
 def residual_range(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ folder, which also keeps the run restartable after lost executors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,15 @@ class Characterisation:
     params_cluster_pred: DataFrame
     comparison: DataFrame
     metrics: DataFrame
+    confusion: DataFrame
+    outlier_months: DataFrame
+    monthly: DataFrame
+
+    def write(self, folder: str) -> None:
+        """Write every table as Parquet under ``folder``, by its name. A table
+        that is there already makes it fail."""
+        for table in fields(self):
+            getattr(self, table.name).write.parquet(f"{folder.rstrip('/')}/{table.name}")
 
 
 def _fitted(params: DataFrame) -> DataFrame:
@@ -82,7 +91,8 @@ def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int =
     days = materialise(classify.stratified_split(days), "days")
     tree = classify.fit_tree(days.filter("NOT is_test"))
     days = materialise(classify.predict_day_type(days, tree), "days-predicted")
-    report = classify.classification_report(classify.confusion_cells(days.filter("is_test")))
+    cells = materialise(classify.confusion_cells(days.filter("is_test")), "confusion")
+    report = classify.classification_report(cells)
 
     # day-type models on rows with every value known
     complete = ["Temperature", "Solar_Irradiation", "Power_original", "Power"]
@@ -102,4 +112,5 @@ def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int =
     return Characterisation(
         first, scored, repaired, tow, final, assignments, chosen, tree, days, report,
         by_type, by_pred, comparison, evaluate.model_metrics(comparison),
+        classify.confusion_long(cells), outliers.outliers_by_month(scored), evaluate.monthly_load(comparison),
     )

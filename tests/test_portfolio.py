@@ -62,6 +62,16 @@ def test_day_types_and_tree(result):
     assert keys == result.params_cluster.count() == 24 * result.assignments.select("building_id", "cluster").distinct().count()
 
 
+def test_views_and_lasting_tables(spark, result, tmp_path):
+    tested = result.days.filter("is_test").count()
+    assert result.confusion.groupBy().sum("n").first()[0] == tested
+    assert result.outlier_months.groupBy().sum("Total_Count").first()[0] == result.scored.count()
+    assert result.monthly.select("building_id").distinct().count() == 2
+    result.write(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "metrics")).count() == 6
+    assert len(list((tmp_path / "out").iterdir())) == 17
+
+
 def test_prediction_from_the_results(base, result):
     params = result.params_cluster_pred.drop("loss", "n_rows", "status")
     got = predict_load(base, result.tree, params)
