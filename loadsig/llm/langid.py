@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import bounded_batches
+from loadsig.llm.shared import bounded_batches, lowest
 from loadsig.session import materialise
 
 UNDETERMINED = "und"
@@ -132,14 +132,14 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
 def sample_labelled(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, by hash of id."""
     usable = may_learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = docs.filter(usable).select("doc_id", "lang").distinct()
     chosen = materialise(
-        docs.filter(usable).select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= per_language).select(F.col("doc_id").alias("_id")).distinct(), "sample",
+        lowest(ids, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_language, F.col("doc_id"))
+        .select(F.col("doc_id").alias("_id")).distinct(), "sample",
     )
     picked = docs.filter(usable).join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "lang", "text")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return picked.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= per_language).drop("_n")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    return lowest(picked, ["lang"], order, per_language, F.col("text"))
 
 
 def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE):

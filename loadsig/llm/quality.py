@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import bounded_batches
+from loadsig.llm.shared import bounded_batches, lowest
 from loadsig.session import materialise
 
 TRAITS = ("quality", "toxic")
@@ -113,9 +113,8 @@ def fit_linear(texts: list[str], labels: np.ndarray, seed: int = 1):
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = materialise(known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class)
-                         .select(F.col("doc_id").alias("_id"), "quality", "toxic"), "labelled")
+    first = lowest(known, list(TRAITS), [F.xxhash64("doc_id"), F.col("doc_id")], per_class, F.col("doc_id"))
+    chosen = materialise(first.select(F.col("doc_id").alias("_id"), "quality", "toxic"), "labelled")
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
     return texts.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
 

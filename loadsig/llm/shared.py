@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loadsig.session import materialise, scratch_path
 
 MOST_BUCKETS = 50_000  # Spark takes up to 100,000
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,20 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return joined.withColumn(name, F.col("_before") + F.sum(value).over(here)).drop("_before", "_part")
 
 
+def lowest(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: Column) -> DataFrame:
+    """The ``n`` first rows of every key in the given order.
+
+    Each key is cut into ``SALTS`` parts by a hash of ``spread``; the first rows
+    of a key are among the first of its parts. So the task that decides sees at
+    most ``SALTS * n`` rows of a key, however many rows or tasks there are.
+    """
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), spread), F.lit(SALTS)))
+    for by in ([*keys, "_salt"], keys):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rows = rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return rows.drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a, b)``: one row ``(node, component)`` for
     every node that has an edge; the component is its smallest node.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loadsig.llm import bpe, dialogues, langid, minhash, mixing, pivots, quality, sanitise, sentences, topk
 from loadsig.llm.queries import VOCABULARY
-from loadsig.llm.shared import components, running_total
+from loadsig.llm.shared import components, lowest, running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _x string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -73,6 +73,15 @@ def test_components_and_running_total(spark):
     assert got == want
 
 
+def test_lowest_rows_of_each_key(spark):
+    rows = [(["a", "a", "b", None][i % 4], i // 3, i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, o long, v long")
+    got = lowest(frame, ["k"], [F.col("o"), F.desc("v")], 30, F.col("v"))
+    assert got.columns == frame.columns
+    want = [r for k in ("a", "b", None) for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -r[2]))[:30]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_near_duplicates(spark, docs, empty):
     rows = [r for r in docs.collect() if r["doc_id"] is not None]
     sets = {r["doc_id"]: shingles(r["text"], 4) for r in rows}
