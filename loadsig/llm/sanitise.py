@@ -4,19 +4,28 @@ Base spans are found by pattern: e-mail addresses, IP addresses, payment cards
 and phone numbers, leftmost and non-overlapping per kind; a match that fails its
 check is dropped. They are the protected entities.
 
-The corpus then tells which other terms give an entity away. Each occurrence of
-an entity has a context of ``REACH`` characters on both sides; equal contexts of
-an entity count once, so copies of a passage are one piece of evidence. With N
-documents, n(e) contexts of entity e, n(e,t) of them with term t, and df(t)
-documents with the term, the term reveals the share
+The corpus then tells which other terms give an entity away. Terms are runs of
+letters and digits outside the base spans that start with a letter, lower-cased,
+at least three characters long. An entity and a term occur together if they are
+in one text, at any distance; copies of a text count once. With n(e) texts with
+entity e, n(e,t) of them with term t, N documents and df(t) with the term, rates
+are shrunk by ``PRIOR`` occurrences (Jeffreys), so no entity or term is too rare
+to be judged:
 
-    ln(n(e,t) N / (n(e) df(t))) / ln(N / n(e))
+    p(t) = (df(t) + PRIOR) / (N + PRIOR)
+    p(t|e) = (n(e,t) + PRIOR q(t|e)) / (n(e) + PRIOR)
 
-of the information in e: 1 if the term occurs nowhere else, 0 if it is
-independent. Terms seen in at least ``EVIDENCE`` contexts that reveal
-``GENERALISE`` of it are replaced by their kind, from ``REMOVE`` on removed,
-wherever they occur in a document with the entity. Terms are runs of letters and
-digits that start with a letter, lower-cased, at least three characters long.
+q pools the entities of a group: mail domain, /24 network, card issuer, phone
+exchange. It is the group's own p(t|g), shrunk towards p(t); for a term that is
+a part of the written entity it is 1. Groups are judged as entities are. The term
+reveals the share
+
+    ln(p(t|e) / p(t)) / ln(N / n(e))
+
+of the information in e: close to 1 if it occurs with e only, 0 if independent;
+an entity that is in every text holds none. Terms that reveal ``GENERALISE`` of it
+are replaced by their kind, from ``REMOVE`` on removed, wherever they occur in a
+text with the entity. So words found nowhere else go too, names or not.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans; a
 null text stays null. Repeated rows are rows of their own; ids are not used.
@@ -25,6 +34,8 @@ Extra columns are kept; columns whose names start with ``_pii`` are reserved.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +50,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 TERM = r"[\p{L}\p{N}]+"
-REACH = 80
-EVIDENCE = 3
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 _SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
@@ -107,74 +117,113 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), bare)
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """``(row, entity, terms)`` for each occurrence of an entity."""
-    one = found.select("_pii_row", "text", F.explode("_pii_spans").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = F.substring(F.col("text"), F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    left = F.when(start > REACH, F.regexp_replace(left, rf"^{TERM}", "")).otherwise(left)
-    right = F.substring(F.col("text"), end + 1, F.lit(REACH))
-    right = F.when(F.char_length(F.col("text")) > end + REACH, F.regexp_replace(right, rf"{TERM}$", "")).otherwise(right)
-    around = F.regexp_replace(F.concat_ws(" \n ", left, right), r"[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*+", " ")
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(TERM), F.lit(0)), F.lower))
-    return one.select("_pii_row", entity(F.col("s")).alias("entity"),
-                      F.filter(terms, _is_term).alias("terms"))
+def group(span: Column) -> Column:
+    """The group in which an entity is pooled with its like."""
+    digits = _digits(span["value"])
+    of = (F.when(span["kind"] == "email", F.substring_index(F.lower(span["value"]), "@", -1))
+          .when(span["kind"] == "ip", F.substring_index(span["value"], ".", 3))
+          .when(span["kind"] == "card", F.substring(digits, 1, 6))
+          .otherwise(F.left(digits, F.char_length(digits) - 4)))
+    return F.concat(F.lit("all "), span["kind"], F.lit(":"), of)
 
 
 def _is_term(word: Column) -> Column:
     return word.rlike(r"^\p{L}") & (F.char_length(word) >= 3)
 
 
-def disclosing_terms(docs: DataFrame, around: DataFrame) -> DataFrame:
-    """``(entity, term, share)`` of the terms that exceed the lower threshold."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    distinct = around.select("entity", "terms").distinct()
-    n_e = distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= EVIDENCE)
-    pairs = (
-        distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= EVIDENCE).join(n_e, "entity")
-    )
-    tokens = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
-    df = docs.select(tokens.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = pairs.join(df, "term").join(n_docs, F.lit(True))
-    told = F.log(F.col("n_et") * F.col("n_docs") / (F.col("n_e") * F.greatest("df", "n_et")))
-    share = F.when(F.col("n_docs") > F.col("n_e"), told / F.log(F.col("n_docs") / F.col("n_e")))
-    return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
-
-
-def term_spans(found: DataFrame, around: DataFrame, disclosed: DataFrame) -> DataFrame:
-    """``(row, spans)``: where disclosing terms occur in documents with their
-    entity. Only the documents that have such terms are cut into words."""
-    listed = around.select("_pii_row", "entity").distinct().join(disclosed, "entity").groupBy("_pii_row", "term").agg(
-        F.max("share").alias("share"))
-    listed = materialise(listed, "disclosed")
-    rows = found.join(listed.select("_pii_row").distinct(), "_pii_row").select("_pii_row", "text")
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(words, _is_term))
+
+
+def distinct_texts(found: DataFrame) -> DataFrame:
+    """``(_pii_copy, _pii_spans, text, terms)``: each text with entities once,
+    with blanks in place of the base spans."""
+    once = found.select("_pii_copy", "text", "_pii_spans").dropDuplicates(["_pii_copy"])
+    blank = once.withColumn("text", blanked(F.col("text"), F.col("_pii_spans")))
+    return blank.withColumn("terms", terms_of(F.col("text")))
+
+
+def protected(once: DataFrame) -> DataFrame:
+    """``(_pii_copy, key, parent, n, parts)``: the entities and groups of each
+    text, the number ``n`` of texts that have them, and the terms in their
+    writing. Entities of one group that are in this text only share all counts
+    and are one row."""
+    s = F.col("s")
+    one = materialise(
+        once.select("_pii_copy", F.explode("_pii_spans").alias("s"))
+        .select("_pii_copy", entity(s).alias("key"), group(s).alias("parent")).distinct(), "entities")
+    pools = one.select("_pii_copy", F.col("parent").alias("key"), F.lit(None).cast("string").alias("parent")).distinct()
+    keys = one.unionByName(pools)
+    n = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    parts = terms_of(F.substring_index("key", ":", -1))
+    alone = F.when((F.col("n") == 1) & F.col("parent").isNotNull(), F.concat_ws(" ", F.lit("one"), "_pii_copy", "parent"))
+    return keys.join(n, "key").withColumn("parts", parts).withColumn("key", F.coalesce(alone, "key")).groupBy(
+        "_pii_copy", "key", "parent", "n").agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts"))
+
+
+def document_counts(docs: DataFrame) -> tuple[int, DataFrame]:
+    """The number of documents, and ``(term, df)``."""
+    terms = docs.filter("text <> ''").select(F.explode(terms_of(F.col("text"))).alias("term"))
+    return docs.count(), terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def disclosing_terms(n_docs: int, df: DataFrame, once: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(_pii_copy, term, share)`` of the terms that exceed the lower threshold,
+    for each text with an entity or group that they reveal."""
+    most = keys.agg(F.max("n")).first()[0] or 0
+
+    def may_reach(n: Column) -> Column:
+        # as p(t|e) <= 1, other terms are too frequent to reveal GENERALISE
+        return F.col("df") + PRIOR <= (n_docs + PRIOR) * F.pow(F.least(n / max(n_docs, 1), F.lit(1.0)), F.lit(GENERALISE)) * (1 + 1e-9)
+
+    words = once.select("_pii_copy", F.explode("terms").alias("term")).join(df.filter(may_reach(F.lit(most))), "term")
+    pairs = materialise(
+        words.join(keys, "_pii_copy").filter(may_reach(F.col("n")))
+        .withColumn("own", F.array_contains("parts", F.col("term"))).drop("parts"), "pairs")
+    counts = materialise(
+        pairs.groupBy("key", "parent", "term").agg(
+            F.max("n").alias("n"), F.max("df").alias("df"), F.count(F.lit(1)).alias("n_et"), F.max("own").alias("own")),
+        "counts")
+    pool = counts.filter("parent IS NULL").select(
+        F.col("key").alias("parent"), "term", F.col("n").alias("n_g"), F.col("n_et").alias("n_gt"))
+    overall = (F.col("df") + PRIOR) / (n_docs + PRIOR)
+    pooled = (F.col("n_gt") + PRIOR * overall) / (F.col("n_g") + PRIOR)
+    prior = F.when(F.col("own"), 1.0).otherwise(F.coalesce(pooled, overall))
+    rate = (F.col("n_et") + PRIOR * prior) / (F.col("n") + PRIOR)
+    share = F.when(F.col("n") < n_docs, F.log(rate / overall) / F.log(n_docs / F.col("n"))).otherwise(0.0)
+    told = counts.join(pool, ["parent", "term"], "left").select("key", "term", share.alias("share")).filter(
+        F.col("share") >= GENERALISE)
+    return pairs.join(told, ["key", "term"]).groupBy("_pii_copy", "term").agg(F.max("share").alias("share"))
+
+
+def term_spans(once: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(_pii_copy, spans)``: where the listed terms occur in their texts. Only
+    the texts that have such terms are cut into words."""
+    rows = once.join(listed.select("_pii_copy").distinct(), "_pii_copy").select("_pii_copy", "text")
     gaps = F.split(F.col("text"), TERM, -1)
     hits = F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))
-    cut = rows.select("_pii_row", F.posexplode(F.arrays_zip(gaps.alias("g"), hits.alias("h"))).alias("n", "p"))
-    run = Window.partitionBy("_pii_row").orderBy("n")
+    cut = rows.select("_pii_copy", F.posexplode(F.arrays_zip(gaps.alias("g"), hits.alias("h"))).alias("n", "p"))
+    run = Window.partitionBy("_pii_copy").orderBy("n")
     end = F.sum(F.char_length("p.g") + F.coalesce(F.char_length("p.h"), F.lit(0))).over(run).cast("int")
-    placed = cut.select("_pii_row", F.col("p.h").alias("word"), end.alias("end")).filter("word IS NOT NULL")
-    hit = placed.withColumn("term", F.lower("word")).join(listed, ["_pii_row", "term"])
+    placed = cut.select("_pii_copy", F.col("p.h").alias("word"), end.alias("end")).filter("word IS NOT NULL")
+    hit = placed.withColumn("term", F.lower("word")).join(listed, ["_pii_copy", "term"])
     kind = F.when(F.col("share") >= REMOVE, F.lit("term")).otherwise(F.lit("general"))
     span = F.struct(kind.alias("kind"), (F.col("end") - F.char_length("word")).alias("start"), "end",
                     F.col("word").alias("value"))
-    return hit.groupBy("_pii_row").agg(F.array_sort(F.collect_list(span)).alias("_pii_terms"))
+    return hit.groupBy("_pii_copy").agg(F.array_sort(F.collect_list(span)).alias("_pii_terms"))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with base spans and generalised terms replaced by their kind in
-    brackets and removed terms left out; an overlapped span counts from the end
-    of what is before it."""
+def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with a mark in place of each span; an overlapped span counts from
+    the end of what is before it."""
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = (F.when(s["kind"] == "term", F.lit(""))
-                .when(s["kind"] == "general", F.when(s["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]")))
-                .otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        new = F.when(s["end"] > acc["at"], F.concat(piece, mark)).otherwise(F.lit(""))
+        new = F.when(s["end"] > acc["at"], F.concat(piece, mark(acc["at"], s))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -183,18 +232,34 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), tail)).otherwise(text)
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that offsets stay."""
+    return _replaced(text, spans, lambda at, s: F.repeat(F.lit(" "), s["end"] - F.greatest(at, s["start"])))
+
+
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with base spans and generalised terms replaced by their kind in
+    brackets and removed terms left out."""
+    return _replaced(text, spans, lambda at, s: (
+        F.when(s["kind"] == "term", F.lit(""))
+        .when(s["kind"] == "general", F.when(s["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]")))
+        .otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_pii_spans`` (base) and ``_pii_terms`` (spans of terms)."""
     spans = base_spans(F.coalesce(docs["text"], F.lit("")))
     marked = docs.withColumn("_pii_spans", spans)
     found = materialise(
-        marked.filter(F.size("_pii_spans") > 0).withColumn("_pii_row", F.monotonically_increasing_id()), "pii")
-    around = materialise(contexts(found), "contexts")
-    terms = term_spans(found, around, materialise(disclosing_terms(docs, around), "terms"))
+        marked.filter(F.size("_pii_spans") > 0).withColumn("_pii_copy", F.xxhash64("text")), "pii")
+    once = materialise(distinct_texts(found), "texts")
+    n_docs, df = document_counts(docs)
+    listed = materialise(disclosing_terms(n_docs, df, once, materialise(protected(once), "protected")), "terms")
     none = F.array().cast(f"array<{_SPAN}>")
-    with_terms = found.join(terms, "_pii_row", "left").withColumn("_pii_terms", F.coalesce("_pii_terms", none))
+    with_terms = found.join(term_spans(once, listed), "_pii_copy", "left").withColumn(
+        "_pii_terms", F.coalesce("_pii_terms", none))
     plain = marked.filter(F.size("_pii_spans") == 0).withColumn("_pii_terms", none)
-    return with_terms.drop("_pii_row").unionByName(plain)
+    return with_terms.drop("_pii_copy").unionByName(plain)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

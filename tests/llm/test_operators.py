@@ -163,6 +163,18 @@ def test_disclosing_terms_go(spark, docs, empty):
     assert back.columns == docs.columns and back.exceptAll(docs).count() == 0 and back.count() == docs.count()
 
 
+def test_terms_of_rare_entities_go(spark):
+    """One or two texts are enough, at any distance; frequent words stay."""
+    far = text_of(7, 120)
+    rows = [(0, f"Quorvax {far} boss@firm.example.com", "en", "s", 1), (1, f"{text_of(8, 50)} Zilmar x +1 (377) 555-0271", "en", "s", 1),
+            (2, f"{text_of(9, 90)} zilmar {text_of(10, 90)} +13775550271", "en", "s", 1)]
+    rows += [(100 + i, text_of(200 + i, 200), "en", "s", 1) for i in range(80)]
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs_of(spark, rows)).collect()}
+    assert clean[0] == f"[NAME] {far} [EMAIL]"
+    assert all("zilmar" not in clean[i].lower() and "w1" in clean[i] for i in (1, 2))
+    assert all(clean[r[0]] == r[1] for r in rows[3:])
+
+
 def test_mix(spark, docs, empty):
     got = mixing.mix_plan(docs).collect()
     assert len(got) == docs.count()
