@@ -7,8 +7,8 @@ check is dropped. They are the protected entities.
 The corpus then tells which other terms give an entity away. Terms are runs of
 letters and digits outside the base spans that start with a letter, lower-cased,
 at least three characters long. An entity and a term occur together if they are
-in one text, at any distance; copies of a text count once. With n(e) texts with
-entity e, n(e,t) of them with term t, N documents and df(t) with the term, rates
+in one text, at any distance. All figures count distinct texts, so copies change nothing.
+With N texts, n(e) with entity e, df(t) with term t and n(e,t) with both, rates
 are shrunk by ``PRIOR`` occurrences (Jeffreys), so no entity or term is too rare
 to be judged:
 
@@ -138,11 +138,12 @@ def terms_of(text: Column) -> Column:
 
 
 def distinct_texts(found: DataFrame) -> DataFrame:
-    """``(_pii_copy, _pii_spans, text, terms)``: each text with entities once,
-    with blanks in place of the base spans."""
+    """``(_pii_copy, _pii_spans, text, terms, inside)``: each text with entities
+    once, with blanks in place of the base spans; ``inside`` has the terms that
+    it has in base spans only."""
     once = found.select("_pii_copy", "text", "_pii_spans").dropDuplicates(["_pii_copy"])
-    blank = once.withColumn("text", blanked(F.col("text"), F.col("_pii_spans")))
-    return blank.withColumn("terms", terms_of(F.col("text")))
+    blank = once.withColumn("_all", terms_of(F.col("text"))).withColumn("text", blanked(F.col("text"), F.col("_pii_spans")))
+    return blank.withColumn("terms", terms_of(F.col("text"))).withColumn("inside", F.array_except("_all", "terms")).drop("_all")
 
 
 def protected(once: DataFrame) -> DataFrame:
@@ -163,20 +164,27 @@ def protected(once: DataFrame) -> DataFrame:
         "_pii_copy", "key", "parent", "n").agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts"))
 
 
-def document_counts(docs: DataFrame) -> tuple[int, DataFrame]:
-    """The number of documents, and ``(term, df)``."""
-    terms = docs.filter("text <> ''").select(F.explode(terms_of(F.col("text"))).alias("term"))
-    return docs.count(), terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def text_counts(docs: DataFrame, once: DataFrame) -> tuple[int, DataFrame]:
+    """The number of distinct texts, and ``(term, df)``: the distinct texts that
+    have the term outside base spans. Each of c equal texts counts 1/c."""
+    texts = docs.filter("text <> ''").select("text", F.xxhash64("text").alias("copy"))
+    copies = materialise(texts.groupBy("copy").agg(F.count(F.lit(1)).alias("c")), "copies")
+    several = materialise(copies.filter("c > 1"), "several")
+    parts = texts.join(several, "copy", "left").select(
+        F.explode(terms_of(F.col("text"))).alias("term"), (1.0 / F.coalesce("c", F.lit(1))).alias("part"))
+    inside = once.select(F.explode("inside").alias("term"), F.lit(-1.0).alias("part"))
+    df = parts.unionByName(inside).groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("df"))
+    return copies.count(), df.filter("df > 0")
 
 
-def disclosing_terms(n_docs: int, df: DataFrame, once: DataFrame, keys: DataFrame) -> DataFrame:
+def disclosing_terms(n_texts: int, df: DataFrame, once: DataFrame, keys: DataFrame) -> DataFrame:
     """``(_pii_copy, term, share)`` of the terms that exceed the lower threshold,
     for each text with an entity or group that they reveal."""
     most = keys.agg(F.max("n")).first()[0] or 0
 
     def may_reach(n: Column) -> Column:
         # as p(t|e) <= 1, other terms are too frequent to reveal GENERALISE
-        return F.col("df") + PRIOR <= (n_docs + PRIOR) * F.pow(F.least(n / max(n_docs, 1), F.lit(1.0)), F.lit(GENERALISE)) * (1 + 1e-9)
+        return F.col("df") + PRIOR <= (n_texts + PRIOR) * F.pow(F.least(n / max(n_texts, 1), F.lit(1.0)), F.lit(GENERALISE)) * (1 + 1e-9)
 
     words = once.select("_pii_copy", F.explode("terms").alias("term")).join(df.filter(may_reach(F.lit(most))), "term")
     pairs = materialise(
@@ -188,11 +196,11 @@ def disclosing_terms(n_docs: int, df: DataFrame, once: DataFrame, keys: DataFram
         "counts")
     pool = counts.filter("parent IS NULL").select(
         F.col("key").alias("parent"), "term", F.col("n").alias("n_g"), F.col("n_et").alias("n_gt"))
-    overall = (F.col("df") + PRIOR) / (n_docs + PRIOR)
+    overall = (F.col("df") + PRIOR) / (n_texts + PRIOR)
     pooled = (F.col("n_gt") + PRIOR * overall) / (F.col("n_g") + PRIOR)
     prior = F.when(F.col("own"), 1.0).otherwise(F.coalesce(pooled, overall))
     rate = (F.col("n_et") + PRIOR * prior) / (F.col("n") + PRIOR)
-    share = F.when(F.col("n") < n_docs, F.log(rate / overall) / F.log(n_docs / F.col("n"))).otherwise(0.0)
+    share = F.when(F.col("n") < n_texts, F.log(rate / overall) / F.log(n_texts / F.col("n"))).otherwise(0.0)
     told = counts.join(pool, ["parent", "term"], "left").select("key", "term", share.alias("share")).filter(
         F.col("share") >= GENERALISE)
     return pairs.join(told, ["key", "term"]).groupBy("_pii_copy", "term").agg(F.max("share").alias("share"))
@@ -253,8 +261,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     found = materialise(
         marked.filter(F.size("_pii_spans") > 0).withColumn("_pii_copy", F.xxhash64("text")), "pii")
     once = materialise(distinct_texts(found), "texts")
-    n_docs, df = document_counts(docs)
-    listed = materialise(disclosing_terms(n_docs, df, once, materialise(protected(once), "protected")), "terms")
+    n_texts, df = text_counts(docs, once)
+    listed = materialise(disclosing_terms(n_texts, df, once, materialise(protected(once), "protected")), "terms")
     none = F.array().cast(f"array<{_SPAN}>")
     with_terms = found.join(term_spans(once, listed), "_pii_copy", "left").withColumn(
         "_pii_terms", F.coalesce("_pii_terms", none))

@@ -175,6 +175,17 @@ def test_terms_of_rare_entities_go(spark):
     assert all(clean[r[0]] == r[1] for r in rows[3:])
 
 
+def test_copies_do_not_change_the_terms(spark):
+    rows = [(i, f"{text_of(i, 40)} Quorvax boss{i // 3}@firm.example.com", "en", "s", 1) for i in range(6)]
+    rows += [(100 + i, text_of(200 + i, 200), "en", "s", 1) for i in range(80)]
+    once = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs_of(spark, rows)).collect()}
+    copied = sanitise.sanitise(docs_of(spark, rows + [(1000 + 10 * r[0] + k, *r[1:]) for r in rows[:6] for k in range(10)] * 10))
+    texts = {(r["doc_id"] if r["doc_id"] < 1000 else r["doc_id"] // 10 - 100, r["text"]) for r in copied.collect()}
+    assert texts == set(once.items()) and all("Quorvax" not in once[i] for i in range(6))
+    same = sanitise.sanitise(docs_of(spark, [(i, "Quorvax boss@firm.example.com", "en", "s", 1) for i in range(4)]))
+    assert {r["text"] for r in same.collect()} == {"Quorvax [EMAIL]"}
+
+
 def test_mix(spark, docs, empty):
     got = mixing.mix_plan(docs).collect()
     assert len(got) == docs.count()
