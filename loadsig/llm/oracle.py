@@ -73,3 +73,31 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.
 nodes AS (SELECT doc_id AS id FROM n),
 linked AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),{_REACH}
 SELECT n.doc_id, n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN comp ON comp.id = n.doc_id"""
+
+ORACLE["op12_filter_audit"] = r"""WITH
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce("text", '') AS t,
+             regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x + 1]), '') AS filter_order, step, CAST(1 << o[step] AS INT) AS b,
+             coalesce(CAST(list_sum(list_transform(o[1:step - 1], lambda x: 1 << x)) AS INT), 0) AS early
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, b, sum(CASE WHEN mask & (early | b) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & b > 0 AND mask & early = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & b > 0 AND mask & early > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & b > 0 AND mask & early = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & b > 0 AND mask & early = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM d, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM r"""

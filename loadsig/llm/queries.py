@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadsig.llm import bpe, dialogues, langid, minhash, mixing, pivots, quality, sanitise, sentences, topk
+from loadsig.llm import audit, bpe, dialogues, langid, minhash, mixing, pivots, quality, sanitise, sentences, topk
 from loadsig.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op8_perspective_chat(spark, sf):
     mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return shown.select("conv_id", "perspective", "part", "n_turns", F.sha2("text", 256).alias("text_sha256"),
                         mask.alias("mask"))
+
+
+@query
+def op12_filter_audit(spark, sf):
+    return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
