@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadsig.llm import audit, bpe, dialogues, langid, minhash, mixing, pivots, quality, sanitise, sentences, topk
+from loadsig.llm import audit, bpe, dialogues, langid, minhash, mixing, pivots, probes, quality, sanitise, sentences, topk
 from loadsig.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,8 @@ def op8_perspective_chat(spark, sf):
 @query
 def op12_filter_audit(spark, sf):
     return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op13_multiprobe_neighbours(spark, sf):
+    return probes.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
