@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadsig.llm import audit, bpe, dialogues, langid, minhash, mixing, pivots, probes, quality, sanitise, sentences, topk
+from loadsig.llm import audit, bpe, crosstok, dialogues, langid, minhash, mixing, pivots, probes, quality, sanitise, sentences, topk
 from loadsig.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Query) -> Query:
@@ -101,3 +102,10 @@ def op12_filter_audit(spark, sf):
 @query
 def op13_multiprobe_neighbours(spark, sf):
     return probes.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_lockstep_alignment(spark, sf):
+    found = crosstok.align(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY, PIECE_MODEL)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
