@@ -44,7 +44,7 @@ from loadsig.session import materialise
 
 TOP = 20
 TABLES, WIDTH, BINS, SEED = 4, 2.0, 6, 13
-ROUNDS = (0.35, 0.7, 0.92)  # probability to find a neighbour, by round
+ROUNDS = (0.5, 0.92)  # probability to find a neighbour, by round
 FIRST_COSINE = 0.5
 DRAWS = 512
 BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 8192, 4096, 256
@@ -89,7 +89,7 @@ class Hashing:
 
     def __post_init__(self) -> None:
         # buckets of a few dozen rows, groups of a few thousand
-        self.functions = int(np.clip(round(np.log2(max(self.rows, 48) / 24) / 1.1), 1, min(20, self.size + 1)))
+        self.functions = int(np.clip(round(np.log2(max(self.rows, 48) / 24) / 1.4), 1, min(20, self.size + 1)))
         self.grouped = int(np.clip(np.log(max(self.rows / BLOCK_ROWS, 1)) / np.log(2.2), 0, self.functions))
         rng = np.random.default_rng([SEED, self.size])
         axes = [np.linalg.qr(rng.normal(size=(self.size + 1, self.size + 1)))[0] for _ in range(TABLES)]
@@ -169,9 +169,17 @@ def _by_length(rows: pd.DataFrame, column: str):
 
 def _fit(vectors: DataFrame) -> dict[int, Hashing]:
     """Means and spreads of the projections over all rows, for each vector length."""
-    amax = F.array_max(F.transform("v", F.abs))
-    norm = amax * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / amax) * (x / amax)))
-    sizes = vectors.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("longest"))
+    def norms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for n, same in _by_length(rows, "v"):
+                x = matrix(same["v"])
+                most = np.abs(x).max(axis=1)
+                with np.errstate(over="ignore"):
+                    norm = most * np.linalg.norm(x / most[:, None], axis=1)
+                yield pd.DataFrame({"n": [n], "rows": [len(x)], "longest": [norm.max()]})
+
+    sizes = vectors.select("v").mapInPandas(norms, "n int, rows long, longest double").groupBy("n").agg(
+        F.sum("rows").alias("rows"), F.max("longest").alias("longest"))
     tables = {r["n"]: Hashing(r["n"], r["rows"], min(r["longest"], 1e300)) for r in sizes.collect()}
 
     def moments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,11 +31,11 @@ def plain(texts):
             a_bytes = [bytes_a[i] for i in a]
             if b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
                 ends_a, ends_b = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
-                start = 0
+                i = j = 0
                 for end in sorted(set(ends_a) & set(ends_b)):
-                    groups.append(([i for i, e in zip(a, ends_a) if start < e <= end],
-                                   [i for i, e in zip(b, ends_b) if start < e <= end]))
-                    start = end
+                    to_a, to_b = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
+                    groups.append((a[i:to_a], b[j:to_b]))
+                    i, j = to_a, to_b
         docs.append(groups)
     count = {}
     for groups in docs:
