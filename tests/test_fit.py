@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from builders import reading, readings
 from loadsig.functions.calendar import add_calendar
+from loadsig.operators import certify
 from loadsig.operators.fit import best_candidate, fit_bounds, fit_changepoint, score_candidates
 
 KEY = ["building_id", "DATE_hour_week"]
@@ -87,3 +89,42 @@ def test_bounds_of_constant_temperature(spark):
     df = add_calendar(readings(spark, [reading(0, 8.0, 5.0), reading(168, 4.0, 5.0)]))
     row = fit_bounds(df, KEY).first()
     assert (row["slope_Temp_min"], row["slope_Irrad_min"], row["intercept_max"]) == (-8.0, -8.0, 8.0)
+
+
+def test_bound_is_proven_and_close():
+    """No parameters of a fine grid beat the bound, and full effort leaves little open."""
+    rng = np.random.default_rng(4)
+    t, i = rng.uniform(-10, 30, 40), rng.uniform(0, 600, 40)
+    p = np.abs(np.maximum(40.0, 90 - 1.5 * t - 0.03 * i) + rng.normal(0, 8, 40))
+    lower, upper = np.array([-p.max() / np.ptp(t), -p.max() / i.max(), 0, 0]), np.array([0, 0, p.max(), p.max()])
+    x = np.stack([t, i, np.ones(40)], axis=1)
+    best, loss, bound = certify.solve(t, i, p, lower, upper, effort=certify.FULL_EFFORT)
+    assert loss == pytest.approx(certify.losses(best[None], x, p)[0]) and 0.8 * loss < bound <= loss
+    theta = lower + (upper - lower) * rng.uniform(size=(20_000, 4))
+    near = np.clip(best + 0.02 * (upper - lower) * rng.normal(size=(20_000, 4)), lower, upper)
+    assert min(certify.losses(theta, x, p).min(), certify.losses(near, x, p).min()) >= bound
+    weak = certify.solve(t, i, p, lower, upper, effort=0)
+    assert weak[2] <= bound + 1e-9 and weak[1] <= 1.01 * loss
+
+
+def test_box_bounds_hold_inside_every_box():
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.uniform(-10, 30, 30), rng.uniform(0, 600, 30), np.ones(30)], axis=1)
+    p = rng.uniform(0, 100, 30)
+    low = np.array([-3.0, -0.2, 0.0, 0.0]) + rng.uniform(size=(300, 4)) * np.array([3.0, 0.2, 90.0, 90.0])
+    high = low + rng.uniform(size=(300, 4)) ** 3 * np.array([1.0, 0.1, 30.0, 30.0])
+    bound, at_centre, corner, cut = certify.box_bounds(low, high, x, p)
+    for _ in range(50):
+        inside = low + rng.uniform(size=low.shape) * (high - low)
+        assert (certify.losses(inside, x, p) >= bound - 1e-6).all()
+    assert (certify.losses(corner, x, p) >= bound - 1e-6).all() and (at_centre >= bound - 1e-6).all()
+
+
+def test_outliers_do_not_move_the_fit():
+    rng = np.random.default_rng(6)
+    t, i = rng.uniform(-10, 30, 60), rng.uniform(0, 600, 60)
+    p = np.maximum(45.0, 90 - 1.5 * t - 0.03 * i)
+    p[:6] += 30
+    lower, upper = np.array([-p.max() / np.ptp(t), -p.max() / i.max(), 0, 0]), np.array([0, 0, p.max(), p.max()])
+    best, loss, _ = certify.solve(t, i, p, lower, upper)
+    assert best == pytest.approx([-1.5, -0.03, 90.0, 45.0], abs=1e-3) and loss == pytest.approx(180.0, abs=0.01)

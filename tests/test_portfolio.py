@@ -73,7 +73,7 @@ def test_views_and_lasting_tables(spark, result, tmp_path):
 
 
 def test_prediction_from_the_results(base, result):
-    params = result.params_cluster_pred.drop("loss", "n_rows", "status")
+    params = result.params_cluster_pred.drop("loss", "bound", "n_rows", "status")
     got = predict_load(base, result.tree, params)
     assert got.count() == base.count()
     assert got.filter("predicted_load IS NULL OR predicted_load < 0").count() == 0
