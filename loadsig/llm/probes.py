@@ -47,7 +47,7 @@ TABLES, WIDTH, BINS, SEED = 4, 2.0, 6, 13
 ROUNDS = (0.5, 0.92)  # probability to find a neighbour, by round
 FIRST_COSINE = 0.5
 DRAWS = 512
-BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 8192, 4096, 256
+BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 32_768, 2048, 256
 _INDEX = "vec_id long, v array<double>, t int, bucket long, cell long"
 _PROBE = "query_id long, q array<double>, t int, cell long, cosines array<double>, levels array<double>, least double"
 _FOUND = "query_id long, vec_id long, score double"
