@@ -9,17 +9,29 @@ week, and around those, are all trusted, the hour is replaced by
     - mean of the four corners.
 
 Anchor values are always the raw power, so only the waiting flags chain from
-pass to pass. All passes share one exchange and one sort by building chunk and
-hour.
+pass to pass.
+
+The readings of a building meet once, in time order, as arrays (``hourly``); an
+offset is found by binary search for all hours at once and serves every pass. One
+exchange and one sort do for any number of passes. The arrays are bounded by the
+calendar, since readings are unique per building and hour: 50 years are 438,000
+rows.
+
+A row without a time has no neighbours: it is no anchor, no gap edge, is never
+repaired and is returned as it came. Such rows are not gathered by building.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadsig.functions.calendar import HOURS_PER_WEEK
-from loadsig.operators.chunks import CHUNK_ROWS, chunked, own_rows
 
 MAX_GAP = 5
 
@@ -43,9 +55,89 @@ def mark_pending(df: DataFrame, outlier: str = "IS_Outlier") -> DataFrame:
     return df.withColumn("IS_Repair_Pending", F.col("IS_Missing_Outlier") & ~F.col("IS_Repaired"))
 
 
-def at_offset(column: str | Column, hours: int, window: WindowSpec) -> Column:
-    """Value exactly ``hours`` later (negative: earlier); null if there is no row."""
-    return F.first(column).over(window.rangeBetween(hours, hours))
+class Hours:
+    """The hours of one building in order. Without times no row has neighbours."""
+
+    def __init__(self, dates: pa.Array | None, n: int) -> None:
+        self.n, self.timed = n, dates is not None
+        self.hour = dates.cast(pa.int64()).to_numpy() // 3_600_000_000 if self.timed else np.empty(0, np.int64)
+        self._found: dict[int, np.ndarray] = {}
+
+    def at(self, hours: int) -> np.ndarray:
+        """Place of the row exactly ``hours`` later (negative: earlier); ``n``
+        where there is none."""
+        if hours not in self._found:
+            place = np.full(self.n, self.n)
+            if self.timed:
+                wanted = self.hour + hours
+                first = np.minimum(np.searchsorted(self.hour, wanted), self.n - 1)
+                place = np.where(self.hour[first] == wanted, first, self.n)
+            self._found[hours] = place
+        return self._found[hours]
+
+    def value(self, values: np.ndarray, hours: int) -> np.ndarray:
+        """Values at an offset, NaN where there is no row."""
+        return np.append(values, np.nan)[self.at(hours)]
+
+    def true(self, flags: np.ndarray, hours: int) -> np.ndarray:
+        """Flags at an offset, false where there is no row."""
+        return np.append(flags, False)[self.at(hours)]
+
+    def rows_away(self, flags: np.ndarray, rows: int) -> np.ndarray:
+        """Flags of the row so many rows behind; false beyond either end."""
+        out = np.zeros(self.n, bool)
+        if self.timed and abs(rows) < self.n:
+            if rows > 0:
+                out[:-rows] = flags[rows:]
+            else:
+                out[-rows:] = flags[:rows]
+        return out
+
+
+def hourly(df: DataFrame, fn: Callable[[Hours, pa.Table], dict[str, pa.Array]], fields: T.StructType) -> DataFrame:
+    """Add the columns ``fields`` that ``fn`` makes from the readings of a building
+    in time order. Rows without a time come in groups of their own."""
+    names = set(df.columns)
+    mark = next(f"_timeless{n}" for n in range(len(names) + 1) if f"_timeless{n}" not in names)
+    new = {f.name for f in fields}
+    kept = [f.name for f in df.schema if f.name not in new]
+    schema = T.StructType([f for f in df.schema if f.name not in new] + list(fields))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        timed = key[1].as_py() < 0
+        if timed:
+            table = table.sort_by("DATE")
+        dates = table.column("DATE").combine_chunks() if timed else None
+        added = fn(Hours(dates, table.num_rows), table)
+        return pa.Table.from_arrays([*(table.column(c) for c in kept), *(added[f.name] for f in fields)],
+                                    names=[*kept, *(f.name for f in fields)])
+
+    timeless = F.when(F.col("DATE").isNull(), F.spark_partition_id()).otherwise(-1)
+    return df.withColumn(mark, timeless).groupBy("building_id", mark).applyInArrow(run, schema)
+
+
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).cast(pa.float64()).to_numpy().astype(np.float64)
+
+
+def flags(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).fill_null(False).to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.empty(0, bool)
+
+
+def doubles(values: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.float64(), mask=np.isnan(values))
+
+
+def offsets(df: DataFrame, wanted: dict[str, int], column: str = "Power") -> DataFrame:
+    """Add, for each name, the value exactly so many hours later (negative:
+    earlier); null if there is no row."""
+    fields = T.StructType([T.StructField(name, T.DoubleType()) for name in wanted])
+
+    def add(hours: Hours, table: pa.Table) -> dict[str, pa.Array]:
+        values = numbers(table, column)
+        return {name: doubles(hours.value(values, h)) for name, h in wanted.items()}
+
+    return hourly(df, add, fields)
 
 
 def anchor_offsets(pre: int, post: int) -> dict[str, list[int]]:
@@ -57,67 +149,46 @@ def anchor_offsets(pre: int, post: int) -> dict[str, list[int]]:
     }
 
 
-def gap_edge(pre: int, post: int, window: WindowSpec) -> Column:
+def gap_edge(hours: Hours, pending: np.ndarray, pre: int, post: int) -> np.ndarray:
     """Waiting, while the rows ``pre`` before and ``post`` behind are not.
     Rows, not hours: rows beyond either end count as not waiting."""
-    pending = F.col("IS_Repair_Pending")
-    return (
-        pending
-        & ~F.lag(pending, pre, False).over(window)
-        & ~F.lead(pending, post, False).over(window)
-    )
+    if not hours.timed:
+        return np.zeros(hours.n, bool)
+    return pending & ~hours.rows_away(pending, -pre) & ~hours.rows_away(pending, post)
 
 
-def anchors_trusted(pre: int, post: int, window: WindowSpec) -> Column:
+def anchors_trusted(hours: Hours, pending: np.ndarray, pre: int, post: int) -> np.ndarray:
     """All eight anchor hours exist and do not wait for repair."""
-    trusted = F.lit(True)
+    trusted = np.ones(hours.n, bool)
     for group in anchor_offsets(pre, post).values():
-        for hours in group:
-            trusted = trusted & F.coalesce(at_offset(~F.col("IS_Repair_Pending"), hours, window), F.lit(False))
+        for h in group:
+            trusted &= hours.true(~pending, h)
     return trusted
 
 
-def add_interpolated(df: DataFrame, passes: list[tuple[int, int]], window: WindowSpec, column: str = "Power") -> DataFrame:
-    """Add the interpolated value of every pass, ``_value_<pre>_<post>``.
-
-    Anchors are raw values, so each offset is fetched once for all passes.
-    """
-    offsets = [anchor_offsets(pre, post) for pre, post in passes]
-    needed = sorted({h for o in offsets for group in o.values() for h in group})
-    names = {h: f"_at_{'m' if h < 0 else 'p'}{abs(h)}" for h in needed}
-    df = df.withColumns({names[h]: at_offset(column, h, window) for h in needed})
-
-    def mean(hours: list[int]) -> Column:
-        values = [F.col(names[h]) for h in hours]
+def interpolated(hours: Hours, power: np.ndarray, pre: int, post: int) -> np.ndarray:
+    """The value of a pass; NaN where an anchor is unknown."""
+    def mean(offsets_: list[int]) -> np.ndarray:
+        values = [hours.value(power, h) for h in offsets_]
         return sum(values[1:], values[0]) / len(values)
 
-    values = {
-        value_name(*p): mean(o["weekly"]) + mean(o["hourly"]) - mean(o["corners"]) for p, o in zip(passes, offsets)
-    }
-    return df.withColumns(values).drop(*names.values())
+    anchors = anchor_offsets(pre, post)
+    return mean(anchors["weekly"]) + mean(anchors["hourly"]) - mean(anchors["corners"])
 
 
-def value_name(pre: int, post: int) -> str:
-    return f"_value_{pre}_{post}"
+def edges(df: DataFrame, pre: int, post: int) -> DataFrame:
+    """Add ``gap_edge`` to rows with ``IS_Repair_Pending``."""
+    fields = T.StructType([T.StructField("gap_edge", T.BooleanType())])
+    return hourly(df, lambda hours, table: {
+        "gap_edge": pa.array(gap_edge(hours, flags(table, "IS_Repair_Pending"), pre, post))}, fields)
 
 
-def _apply_pass(df: DataFrame, pre: int, post: int, window: WindowSpec, strict: bool, clip_at_zero: bool) -> DataFrame:
-    edge, trusted, value = F.col("_edge"), F.col("_trusted"), F.col(value_name(pre, post))
-    marked = df.withColumns(
-        {"_edge": gap_edge(pre, post, window), "_trusted": anchors_trusted(pre, post, window)}
-    )
-    if clip_at_zero:
-        value = F.when(value < 0, 0.0).otherwise(value)
-    done = F.col("IS_Repair_Pending") & trusted
-    if strict:
-        done = done & edge
-    return marked.withColumns(
-        {
-            "Power_corrected": F.when(edge & trusted, value).otherwise(F.col("Power_corrected")),
-            "IS_Repaired": F.col("IS_Repaired") | done,
-            "IS_Repair_Pending": F.col("IS_Repair_Pending") & ~done,
-        }
-    ).drop("_edge", "_trusted")
+def trusted(df: DataFrame, pre: int, post: int) -> DataFrame:
+    """Add ``trusted``, whether all anchors of a pass are, to rows with
+    ``IS_Repair_Pending``."""
+    fields = T.StructType([T.StructField("trusted", T.BooleanType())])
+    return hourly(df, lambda hours, table: {
+        "trusted": pa.array(anchors_trusted(hours, flags(table, "IS_Repair_Pending"), pre, post))}, fields)
 
 
 def repair_passes(
@@ -125,22 +196,30 @@ def repair_passes(
     passes: list[tuple[int, int]],
     strict: bool = False,
     clip_at_zero: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Run passes in order on readings that are unique per building and hour.
 
     ``strict`` marks a row as repaired only where it also got a value.
-    The halo of a chunk covers the reach of all passes together.
     """
     df = mark_pending(df)
     if "Power_corrected" not in df.columns:
         df = df.withColumn("Power_corrected", F.col("Power"))
-    halo = sum(HOURS_PER_WEEK + max(p) for p in passes)
-    rows, window = chunked(df, halo, halo, chunk_rows)
-    rows = add_interpolated(rows, passes, window)
-    for pre, post in passes:
-        rows = _apply_pass(rows, pre, post, window, strict, clip_at_zero)
-    return own_rows(rows).drop("IS_Repair_Pending", *{value_name(*p) for p in passes})
+    fields = T.StructType([T.StructField("Power_corrected", T.DoubleType()), T.StructField("IS_Repaired", T.BooleanType())])
+
+    def run(hours: Hours, table: pa.Table) -> dict[str, pa.Array]:
+        power, corrected = numbers(table, "Power"), numbers(table, "Power_corrected")
+        pending, repaired = flags(table, "IS_Repair_Pending"), flags(table, "IS_Repaired")
+        for pre, post in passes:
+            edge, good = gap_edge(hours, pending, pre, post), anchors_trusted(hours, pending, pre, post)
+            value = interpolated(hours, power, pre, post)
+            if clip_at_zero:
+                value = np.where(value < 0, 0.0, value)
+            corrected = np.where(edge & good, value, corrected)
+            done = pending & good & edge if strict else pending & good
+            repaired, pending = repaired | done, pending & ~done
+        return {"Power_corrected": doubles(corrected), "IS_Repaired": pa.array(repaired)}
+
+    return hourly(df, run, fields).drop("IS_Repair_Pending")
 
 
 def repair_pass(df: DataFrame, pre: int = 1, post: int = 1, **options) -> DataFrame:

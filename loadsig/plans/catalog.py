@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loadsig.functions import calendar, signature
 from loadsig.functions.calendar import add_calendar, hour_number
-from loadsig.operators import certify, chunks, classify, daytypes, evaluate, fit, outliers, profiles, repair
+from loadsig.operators import certify, classify, daytypes, evaluate, fit, outliers, profiles, repair
 from loadsig.operators.profiles import DAY, POWER_COLUMNS
 from loadsig.plans import scoring
 from loadsig.session import materialise, scratch_path
@@ -46,6 +46,12 @@ def lineitem_cal(spark: SparkSession, sf: str) -> DataFrame:
     return add_calendar(lineitem_readings(spark, sf))
 
 
+def lost_times(df: DataFrame) -> DataFrame:
+    """The readings with the times of some rows lost."""
+    hour = (F.dayofyear("DATE") - 1) * 24 + F.hour("DATE")
+    return df.withColumn("DATE", F.when(hour % 83 != 17, F.col("DATE")))
+
+
 def _params(keys: DataFrame, key: str, t: int, i: int, b: int, m: int, base: float) -> DataFrame:
     k = F.col(key)
     return keys.select("building_id", key).distinct().withColumns(
@@ -362,18 +368,15 @@ def c3_attach_day_types(spark, sf):
 
 @query
 def c4_exact_offsets(spark, sf):
-    rows, window = chunks.chunked(lineitem_readings(spark, sf), 169, 169)
-    offsets = {"prev_hour": -1, "next_hour": 1, "prev_week": -168, "next_week": 168,
-               "prev_week_prev_hour": -169, "prev_week_next_hour": -167,
-               "next_week_prev_hour": 167, "next_week_next_hour": 169}
-    values = {name: repair.at_offset("Power", hours, window) for name, hours in offsets.items()}
-    return chunks.own_rows(rows.withColumns(values)).select("building_id", "DATE", "Power", *values)
+    wanted = {"prev_hour": -1, "next_hour": 1, "prev_week": -168, "next_week": 168,
+              "prev_week_prev_hour": -169, "prev_week_next_hour": -167,
+              "next_week_prev_hour": 167, "next_week_next_hour": 169}
+    return repair.offsets(lineitem_readings(spark, sf), wanted).select("building_id", "DATE", "Power", *wanted)
 
 
 @query
 def c5_anchors_trusted(spark, sf):
-    rows, window = chunks.chunked(repair.mark_pending(suspect(events_cal(spark, sf))), 169, 169)
-    return chunks.own_rows(rows.withColumn("trusted", repair.anchors_trusted(1, 1, window))).select(
+    return repair.trusted(repair.mark_pending(suspect(events_cal(spark, sf))), 1, 1).select(
         "building_id", "DATE", "IS_Repair_Pending", "trusted"
     )
 
@@ -592,8 +595,7 @@ def d23_extra_metrics(spark, sf):
 
 def _edges(pre: int, post: int) -> Query:
     def run(spark, sf):
-        rows, window = chunks.chunked(repair.mark_pending(suspect(events_cal(spark, sf))), pre, post)
-        return chunks.own_rows(rows.withColumn("gap_edge", repair.gap_edge(pre, post, window))).select(
+        return repair.edges(repair.mark_pending(suspect(events_cal(spark, sf))), pre, post).select(
             "building_id", "DATE", "IS_Repair_Pending", "gap_edge"
         )
 
@@ -606,9 +608,8 @@ QUERIES["e2_gap_edge"] = _edges(2, 3)
 
 @query
 def e3_offset_frames(spark, sf):
-    rows, window = chunks.chunked(events_readings(spark, sf), 168, 168)
-    shifted = {"week_before": repair.at_offset("Power", -168, window), "week_after": repair.at_offset("Power", 168, window)}
-    return chunks.own_rows(rows.withColumns(shifted)).select("building_id", "DATE", *shifted)
+    shifted = {"week_before": -168, "week_after": 168}
+    return repair.offsets(lost_times(events_readings(spark, sf)), shifted).select("building_id", "DATE", "Power", *shifted)
 
 
 @query
@@ -688,7 +689,7 @@ def r1_repair_pass_multi(spark, sf):
 
 @query
 def r2_repair(spark, sf):
-    return _repaired(repair.repair(suspect(events_cal(spark, sf))))
+    return _repaired(repair.repair(suspect(add_calendar(lost_times(events_readings(spark, sf))))))
 
 
 @query
@@ -827,18 +828,38 @@ def p1_predict_load_daily(spark, sf):
     return all_rounded(scoring.predict_load_daily(days, fixed_tree(days), _pred_params(spark, sf)))
 
 
-@query
-def p2_score_stream(spark, sf):
-    base = materialise(events_readings(spark, sf), "arrivals")
+def _deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Readings and a folder of their deliveries: out of order, some without a
+    time, some twice in a file with another power, some again in later files."""
+    base = materialise(lost_times(events_readings(spark, sf)), "arrivals")
+    folder = scratch_path(spark, "deliveries")
+    timed = base.filter("DATE IS NOT NULL")
+    same_file = timed.filter(F.hour("DATE") % 11 == 5).withColumn("Power", F.col("Power") - 1.0)
+    later = timed.filter(F.hour("DATE") % 7 == 0).withColumn("Power", F.col("Power") + 5.0)
+    base.unionByName(same_file).repartition(6, F.xxhash64("building_id", "DATE") % 6).write.parquet(folder)
+    later.repartition(2).write.mode("append").parquet(folder)
+    return base, folder
+
+
+def _streamed(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    base, folder = _deliveries(spark, sf)
     cal = add_calendar(base)
     params = materialise(hour_params(cal), "params")
     stats = materialise(outliers.residual_stats(outliers.score_readings(cal, params)), "moments")
-    # deliveries out of order, with repeats, one file a batch
-    folder = scratch_path(spark, "deliveries")
-    repeats = base.filter(F.hour("DATE") % 7 == 0)
-    base.unionByName(repeats).repartition(6, F.xxhash64("building_id", "DATE") % 6).write.parquet(folder)
     arriving = streaming.read_reading_stream(spark, folder, base.schema, files_per_batch=1)
     out, log = scratch_path(spark, "scored"), scratch_path(spark, "stream-log")
     result = streaming.score_stream(arriving, params, stats)
     streaming.run_available(result, out, log)
-    return all_rounded(streaming.scored_readings(spark, out, result.schema))
+    return out, result
+
+
+@query
+def p2_score_stream(spark, sf):
+    """All deliveries with their status; repeats keep their own power."""
+    out, result = _streamed(spark, sf)
+    return all_rounded(streaming.scored_readings(spark, out, result.schema, status=None))
+
+
+@query
+def p2_stream_moments(spark, sf):
+    return all_rounded(streaming.stream_moments(spark, _streamed(spark, sf)[0]))

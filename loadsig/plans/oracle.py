@@ -4,11 +4,14 @@ joins and plain aggregates, and start from the same derived readings."""
 
 from __future__ import annotations
 
-from loadsig.operators.classify import FEATURES
-from loadsig.operators.evaluate import MODELS, SERIES
-from loadsig.operators.fit import candidate_fractions
-from loadsig.operators.profiles import POWER_COLUMNS
-from loadsig.operators.repair import repair_schedule
+# Fixed values, written out so that the texts share nothing with the operators:
+# features and models in their order, the columns of the day matrix, and the
+# passes of the repair.
+FEATURES = ["Temperature", "Solar_Irradiation", "Holiday", "DATE_day_year", "DATE_day_week", "DATE_weekday"]
+MODELS = ["TOW", "ClustH", "ClustH_PRED"]
+SERIES = ["Power", "Power_fitted_TOW", "Power_fitted_ClustH", "Power_fitted_ClustH_PRED"]
+POWER_COLUMNS = [f"Power_{h:02d}" for h in range(24)]
+SCHEDULE = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1), (1, 4), (2, 3), (3, 2), (4, 1), (1, 5), (2, 4), (3, 3), (4, 2), (5, 1)]
 
 # --- shared common table expressions -------------------------------------------
 
@@ -35,6 +38,12 @@ EVENTS = {
     "r": WEATHER.format(source="ev_grid"),
 }
 
+LOST = {name: text for name, text in EVENTS.items() if name != "r"} | {
+    "r_all": EVENTS["r"],
+    "r": """
+  SELECT * REPLACE (CASE WHEN ((dayofyear("DATE") - 1) * 24 + hour("DATE")) % 83 <> 17 THEN "DATE" END AS "DATE") FROM r_all""",
+}
+
 LINES = {
     "li_power": """
   SELECT 'site-' || CAST(l_suppkey // 100 AS VARCHAR) AS building_id,
@@ -123,12 +132,12 @@ def repair_pass_sql(pre: int, post: int) -> dict[str, str]:
     }
 
 
-def repair_all_sql(max_gap: int = 5) -> dict[str, str]:
+def repair_all_sql() -> dict[str, str]:
     """All passes; each reads the flags the previous one left."""
     ctes = {
         "q0": """
   SELECT building_id, "DATE", "Power", bad, bad AS pending, false AS repaired, "Power" AS corrected,
-         epoch("DATE") // 3600 AS hr FROM pend"""
+         epoch("DATE") // 3600 AS hr FROM pend WHERE "DATE" IS NOT NULL"""
     }
     week = 168
 
@@ -136,7 +145,7 @@ def repair_all_sql(max_gap: int = 5) -> dict[str, str]:
         bound = f"{abs(h)} {'FOLLOWING' if h > 0 else 'PRECEDING'}"
         return f"first({expr}) OVER (PARTITION BY building_id ORDER BY hr RANGE BETWEEN {bound} AND {bound})"
 
-    for n, (pre, post) in enumerate(repair_schedule(max_gap), start=1):
+    for n, (pre, post) in enumerate(SCHEDULE, start=1):
         weekly, hourly = (-week, week), (-pre, post)
         corners = (-week - pre, -week + post, week - pre, week + post)
         trusted = " AND ".join(f"coalesce({at('NOT pending', h)}, false)" for h in (*weekly, *hourly, *corners))
@@ -153,7 +162,7 @@ def repair_all_sql(max_gap: int = 5) -> dict[str, str]:
     return ctes
 
 
-LAST_PASS = f"q{len(repair_schedule())}"
+LAST_PASS = f"q{len(SCHEDULE)}"
 REPAIR = repair_pass_sql(1, 1)
 
 COMPARISON = {
@@ -332,7 +341,9 @@ def _bounds_sql(key: str) -> dict[str, str]:
 
 
 def _candidates_sql(key: str) -> dict[str, str]:
-    rows = ", ".join(f"({n}, {a}E0, {b}E0, {c}E0, {d}E0)" for n, a, b, c, d in candidate_fractions())
+    steps = ("0.0", "0.5", "1.0")
+    grid = [(a, b, c, d) for a in steps for b in steps for c in steps for d in steps]
+    rows = ", ".join(f"({n}, {a}E0, {b}E0, {c}E0, {d}E0)" for n, (a, b, c, d) in enumerate(grid))
     return _bounds_sql(key) | {
         "cand": f"SELECT * FROM (VALUES {rows}) AS t(candidate, a, b, c, d)",
         "trial": f"""
@@ -573,9 +584,9 @@ FROM (SELECT building_id, count(r_{m}) AS n, avg(abs(r_{m} / nullif("Power", 0))
     for name, pre, post in (("e1_isolated_gap", 1, 1), ("e2_gap_edge", 2, 3)):
         add(name, """SELECT building_id, "DATE", bad AS "IS_Repair_Pending", edge AS gap_edge FROM pend JOIN edges USING (building_id, "DATE")""",
             *ev_pend, {"edges": repair_pass_sql(pre, post)["edges"]})
-    add("e3_offset_frames", """SELECT r.building_id, r."DATE", a."Power" AS week_before, b."Power" AS week_after FROM r
+    add("e3_offset_frames", """SELECT r.building_id, r."DATE", r."Power", a."Power" AS week_before, b."Power" AS week_after FROM r
 LEFT JOIN r a ON a.building_id = r.building_id AND a."DATE" = r."DATE" - INTERVAL 7 DAY
-LEFT JOIN r b ON b.building_id = r.building_id AND b."DATE" = r."DATE" + INTERVAL 7 DAY""", *ev)
+LEFT JOIN r b ON b.building_id = r.building_id AND b."DATE" = r."DATE" + INTERVAL 7 DAY""", LOST)
     add("e4_cumulated_residuals", 'SELECT building_id, "DATE", '
         + ", ".join(f'round(r_{m}_{n}, 6) AS "Power_residuals_{m}_{n}h"' for n in (3, 6) for m in MODELS) + " FROM cum", *li_cmp)
     add("e5_day_index", """SELECT building_id, "DATE_YYYY_MM_DD", day_index, dayofyear("DATE_YYYY_MM_DD") % 3 AS cluster
@@ -599,8 +610,9 @@ FROM li_power) WHERE rn = 1""", *li)
     repaired = """SELECT building_id, "DATE", bad AS "IS_Missing_Outlier", "IS_Repaired", round("Power_corrected", 6) AS "Power_corrected" FROM rp"""
     add("r1_repair_pass", repaired, *ev_pend, REPAIR)
     add("r1_repair_pass_multi", repaired, *ev_pend, repair_pass_sql(2, 3))
-    add("r2_repair", f"""SELECT building_id, "DATE", bad AS "IS_Missing_Outlier", repaired AS "IS_Repaired", round(corrected, 6) AS "Power_corrected" FROM {LAST_PASS}""",
-        *ev_pend, repair_all_sql())
+    add("r2_repair", f"""SELECT building_id, "DATE", bad AS "IS_Missing_Outlier", repaired AS "IS_Repaired", round(corrected, 6) AS "Power_corrected" FROM {LAST_PASS}
+UNION ALL SELECT building_id, NULL, bad, false, round("Power", 6) FROM pend WHERE "DATE" IS NULL""",
+        LOST, CAL, PAR, SCORED, FLAGGED, PENDING, repair_all_sql())
     add("r2_repair_summary", f"""SELECT building_id, count(*) FILTER (repaired) AS n_repaired, count(*) FILTER (repaired AND corrected IS NULL) AS n_without_value,
        count(*) FILTER (bad AND NOT repaired) AS n_pending FROM {LAST_PASS} GROUP BY building_id""", *ev_pend, repair_all_sql())
 
@@ -644,6 +656,15 @@ LEFT JOIN par_p USING (building_id, "ClusterHour_PRED")""", *ev_days, predicted)
     add("p1_predict_load_daily", f"""SELECT building_id, "DATE_YYYY_MM_DD", h AS "DATE_hour_day", cp AS "cluster_PRED", round({fit_sql(floor=False)}, 6) AS predicted_load
 FROM (SELECT *, cp * 100 + h AS "ClusterHour_PRED" FROM ty, (SELECT unnest(range(0, 24)) AS h)) LEFT JOIN par_p USING (building_id, "ClusterHour_PRED")""",
         *ev_days, predicted)
-    add("p2_score_stream", """SELECT building_id, "DATE", round("Power", 6) AS "Power", round("Power_fitted", 6) AS "Power_fitted",
-       round("Power_residuals", 6) AS "Power_residuals", is_outlier FROM f""", *ev_flag)
+    lost_flag = (LOST, CAL, PAR, SCORED, FLAGGED)
+    add("p2_score_stream", """SELECT building_id, "DATE", round("Power" + more, 6) AS "Power", round("Power_fitted", 6) AS "Power_fitted",
+       round("Power_residuals" - more, 6) AS "Power_residuals", coalesce(abs("Power_residuals" - more - mu) > 1.96E0 * sd, false) AS is_outlier, status
+FROM (SELECT *, CASE WHEN "DATE" IS NULL THEN 'no_time' ELSE 'scored' END AS status, 0.0E0 AS more FROM s
+      UNION ALL SELECT *, 'repeat', 0.0E0 - 1.0E0 FROM s WHERE hour("DATE") % 11 = 5
+      UNION ALL SELECT *, 'repeat', 5.0E0 FROM s WHERE hour("DATE") % 7 = 0)
+LEFT JOIN (SELECT building_id, avg("Power_residuals") AS mu, stddev_pop("Power_residuals") AS sd FROM s GROUP BY building_id) m USING (building_id)""",
+        *lost_flag)
+    add("p2_stream_moments", """SELECT building_id, count("Power_residuals") AS n_residuals, round(avg("Power_residuals"), 6) AS mean_residual,
+       round(stddev_pop("Power_residuals"), 6) AS std_residual, round(1.96E0 * stddev_pop("Power_residuals"), 6) AS threshold
+FROM s WHERE "DATE" IS NOT NULL GROUP BY building_id HAVING count("Power_residuals") > 0""", *lost_flag)
     return out

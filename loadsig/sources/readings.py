@@ -123,12 +123,13 @@ def format_readings(
 
 
 def require_unique_hours(df: DataFrame) -> DataFrame:
-    """Fail on a second reading of the same building and hour.
+    """Fail on a second reading of the same building and hour. Rows without a
+    time repeat nothing.
 
     Later operators rely on it: it bounds every group of one building by the
     calendar (at most 8,784 rows a year).
     """
-    twice = df.groupBy("building_id", "DATE").count().filter("count > 1").take(1)
+    twice = df.filter(F.col("DATE").isNotNull()).groupBy("building_id", "DATE").count().filter("count > 1").take(1)
     if twice:
         raise ValueError(f"more than one reading for {twice[0]['building_id']} at {twice[0]['DATE']}")
     return df

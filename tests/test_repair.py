@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from builders import READING_DDL, hour
 from loadsig.functions.calendar import hour_number
 from loadsig.operators import chunks
-from loadsig.operators.repair import repair, repair_passes, repair_schedule
+from loadsig.operators.repair import edges, mark_pending, repair, repair_passes, repair_schedule, trusted
 
 DDL = READING_DDL + ", IS_Outlier boolean"
 
@@ -73,10 +73,10 @@ def same(got, want):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("passes,chunk", [([(1, 1)], 200), ([(2, 3), (1, 4)], 400)])
-def test_chunks_match_brute_force(spark, passes, chunk, strict):
+@pytest.mark.parametrize("passes", [[(1, 1)], [(2, 3), (1, 4)]])
+def test_passes_match_brute_force(spark, passes, strict):
     rows = random_rows(7)
-    got = repair_passes(frame(spark, rows), passes, strict=strict, chunk_rows=chunk)
+    got = repair_passes(frame(spark, rows), passes, strict=strict)
     same(as_dict(got), brute_force(rows, passes, strict))
 
 
@@ -131,3 +131,19 @@ def test_row_index_and_halo(spark):
     assert halo.filter("_own").count() == df.count()
     seen = halo.groupBy("building_id", "_chunk").count().filter("building_id = 'A' AND _chunk = 2").first()["count"]
     assert seen == 60 + 7 + 4
+
+
+def test_rows_without_a_time_are_left_alone(spark):
+    """They are no anchors of each other or of timed rows, and keep all columns."""
+    rows = random_rows(8, weeks=5)
+    lost = [("A", None, False, 1.0, 0.0, p, bad) for p, bad in ((5.0, False), (None, False), (7.0, False), (3.0, True))] * 3
+    df = frame(spark, rows).unionByName(spark.createDataFrame(lost, DDL)).withColumns(
+        {"_timeless0": F.lit("x"), "parts": F.array(F.lit(1))})
+    got = repair(df).cache()
+    assert got.columns[:len(df.columns)] == df.columns and got.filter("_timeless0 = 'x' AND parts[0] = 1").count() == got.count()
+    same(as_dict(got.filter("DATE IS NOT NULL")), brute_force(rows, repair_schedule()))
+    left = got.filter("DATE IS NULL")
+    assert left.count() == len(lost) and left.filter("IS_Repaired OR NOT Power_corrected <=> Power").count() == 0
+    assert edges(mark_pending(df), 1, 1).filter("DATE IS NULL AND gap_edge").count() == 0
+    assert trusted(mark_pending(df), 1, 1).filter("DATE IS NULL AND trusted").count() == 0
+    assert repair(df.limit(0)).count() == 0
