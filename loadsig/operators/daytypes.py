@@ -1,9 +1,10 @@
 """Day types: k-means on normalised day profiles, and the choice of k.
 
 Profiles are kept in blocks of days, so vectorised arithmetic runs inside tasks
-while Spark distributes blocks and combines their partial sums. A building of one
-block takes all its Lloyd steps within the task, longer ones one step per round;
-both stop after the same number of steps with the same result. A k-means task
+while Spark distributes blocks and starts and combines their partial sums. A
+building of one block takes all Lloyd steps of a start within one task, longer
+ones one step per round; both stop after the same number of steps with the same
+result. A k-means task
 holds one block of days and the centres of one building, a silhouette task two
 blocks, and no pair of days is ever written as a row.
 """
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadsig.operators.fit import spread
 from loadsig.operators.profiles import DAY
 from loadsig.session import materialise
 
@@ -24,7 +26,7 @@ K_LOWEST, K_MIN, K_MAX, N_INIT, SEED = 1, 3, 30, 10, 25
 ELBOW_SHARE = 0.05
 
 BLOCK_DAYS = 1024
-MAX_ROUNDS = 50
+MAX_ROUNDS = 300
 TOLERANCE = 1e-9
 HOURS = 24
 
@@ -149,14 +151,29 @@ def _matrix(rows) -> np.ndarray:
     return np.array([np.asarray(r, dtype=np.float64) for r in rows])
 
 
+def _nearest_two(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest centre, ties to the lower one, and the distances of the two nearest."""
+    square = (points**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2.0 * points @ centres.T
+    label = square.argmin(axis=1)
+    rows = np.arange(len(points))
+    nearest = square[rows, label].copy()
+    square[rows, label] = np.inf
+    second = square.min(axis=1)
+    return label, np.sqrt(np.maximum(nearest, 0.0)), np.sqrt(np.maximum(second, 0.0))
+
+
 def _lloyd(points: np.ndarray, centres: np.ndarray, rounds: int):
     """Sums, counts and inertia per centre after up to ``rounds`` steps, the
-    centres that the inertia belongs to, and whether they have settled."""
+    centres that the inertia belongs to, and whether they have settled.
+
+    By the triangle inequality a day keeps its centre while the distance to it,
+    plus what that centre has moved, is below the distance to the second centre
+    less the largest move, or below half the way to the nearest other centre. Only
+    the other days are compared again.
+    """
     settled = False
-    square = (points**2).sum(axis=1)[:, None]
+    label, upper, lower = _nearest_two(points, centres)
     for step in range(rounds):
-        dist = square + (centres**2).sum(axis=1) - 2.0 * points @ centres.T
-        label = dist.argmin(axis=1)
         counts = np.bincount(label, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, label, points)
@@ -164,7 +181,15 @@ def _lloyd(points: np.ndarray, centres: np.ndarray, rounds: int):
         settled = bool(np.abs(moved - centres).max() <= TOLERANCE)
         if settled or step + 1 == rounds:
             break
+        shift = np.sqrt(((moved - centres) ** 2).sum(axis=1))
         centres = moved
+        apart = np.full(len(centres), np.inf)
+        if len(centres) > 1:
+            apart = _nearest_two(centres, centres)[2] / 2.0
+        upper, lower = upper + shift[label], lower - shift.max()
+        # the margin leaves days that are equally near to two centres to the comparison
+        open_ = np.flatnonzero(upper >= np.maximum(lower, apart[label]) - 1e-7)
+        label[open_], upper[open_], lower[open_] = _nearest_two(points[open_], centres)
     inertia = np.zeros(len(centres))
     np.add.at(inertia, label, ((points - centres[label]) ** 2).sum(axis=1))
     return sums, counts, inertia, centres, settled
@@ -177,25 +202,16 @@ _PARTIAL = (
 
 
 def _partial_sums(key: tuple, rows: pd.DataFrame, max_rounds: int) -> pd.DataFrame:
-    """Sums of one block for every run of its building.
-
-    A building of one block takes all its steps here, and only the best start
-    of each k leaves the task.
-    """
+    """Sums of one block for the runs of one start of its building. A building of
+    one block takes all their steps here."""
     row, out = rows.iloc[0], []
     points, single = _matrix(row["profiles"]), row["n_blocks"] == 1
     runs: dict[tuple[int, int], list] = {}
     for c in row["centres"]:
         runs.setdefault((c["k"], c["start"]), []).append((c["cluster"], c["centre"]))
-    best: dict[int, tuple] = {}
     for (k, start), centres in sorted(runs.items()):
         centres.sort(key=lambda c: c[0])
-        result = _lloyd(points, _matrix([c[1] for c in centres]), max_rounds if single else 1)
-        if not single:
-            out.append((k, start, result))
-        elif k not in best or result[2].sum().round(9) < best[k][0]:
-            best[k] = (result[2].sum().round(9), (k, start, result))
-    out += [run for _, run in best.values()]
+        out.append((k, start, _lloyd(points, _matrix([c[1] for c in centres]), max_rounds if single else 1)))
     table = [
         (key[0], k, start, j, used[j].tolist(), sums[j].tolist(), int(counts[j]), float(inertia[j]), single, settled)
         for k, start, (sums, counts, inertia, used, settled) in out
@@ -206,11 +222,14 @@ def _partial_sums(key: tuple, rows: pd.DataFrame, max_rounds: int) -> pd.DataFra
 
 def _lloyd_round(blocks: DataFrame, centres: DataFrame, max_rounds: int) -> DataFrame:
     """Move all centres of all buildings once (single blocks: to convergence)."""
-    listed = centres.groupBy("building_id").agg(
+    listed = centres.groupBy("building_id", "start").agg(
         F.collect_list(F.struct("k", "start", "cluster", "centre")).alias("centres")
     )
+    # each start is work of its own, so one building keeps many cores busy; the
+    # tasks are bound by arithmetic and must not be merged by their bytes
+    dealt = spread(blocks.join(listed, "building_id"), ["building_id", "block", "start"])
     partial = (
-        blocks.join(listed, "building_id").groupBy("building_id", "block")
+        dealt.groupBy("building_id", "block", "start")
         .applyInPandas(lambda key, rows: _partial_sums(key, rows, max_rounds), _PARTIAL)
     )
     keys = ["building_id", "k", "start", "cluster"]
@@ -417,16 +436,19 @@ def label_by_k(points: DataFrame, centres: DataFrame, ks: list[int]) -> DataFram
     )
 
 
-def day_types(points: DataFrame, k_max: int = K_MAX, n_init: int = N_INIT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def day_types(points: DataFrame, k_max: int = K_MAX, n_init: int = N_INIT, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Choose k for each building and assign its days.
 
-    Returns the assignment ``(building_id, day, cluster)`` and the chosen k with
-    both proposals.
+    Returns the assignment ``(building_id, day, cluster)``, the chosen k with both
+    proposals and whether its run had ``converged``, and for every k the best sum
+    of squares and whether it had.
     """
     ks = list(range(1, k_max + 1))
     centres = materialise(kmeans_search(points, ks, n_init, seed), "best-centres")
-    wss_by_k = centres.groupBy("building_id", "k").agg(F.max("wss").alias("wss"))
+    runs = centres.groupBy("building_id", "k").agg(F.max("wss").alias("wss"), F.min("converged").alias("converged"))
+    wss_by_k = runs.drop("converged")
     scored = silhouette(label_by_k(points, centres, ks[1:]), ks[1:])
-    chosen = materialise(choose_k(wss_by_k, scored), "chosen-k")
+    chosen = choose_k(wss_by_k, scored).join(runs.drop("wss"), ["building_id", "k"], "left")
+    chosen = materialise(chosen, "chosen-k")
     mine = centres.join(chosen.select("building_id", "k"), ["building_id", "k"])
-    return assign_nearest(points, mine).select("building_id", DAY, "cluster"), chosen
+    return assign_nearest(points, mine).select("building_id", DAY, "cluster"), chosen, runs

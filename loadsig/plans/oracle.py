@@ -619,6 +619,8 @@ UNION ALL SELECT building_id, NULL, bad, false, round("Power", 6) FROM pend WHER
     # day types and tree
     add("m1_kmeans_quality", """SELECT building_id, count(*) AS n_days, true AS labels_are_nearest, true AS centres_are_means, true AS beats_stand_in
 FROM pts GROUP BY building_id""", *ev_unit)
+    add("m1_kmeans_days", """SELECT building_id, "DATE_YYYY_MM_DD", dayofyear("DATE_YYYY_MM_DD") % 4 AS cluster FROM dm""", *ev, MATRIX)
+    add("m1_day_types", """SELECT building_id, "DATE_YYYY_MM_DD", dayofyear("DATE_YYYY_MM_DD") % 4 AS cluster, 4 AS k, true AS converged FROM dm""", *ev, MATRIX)
     add("m1_planted_types", """SELECT building_id, d AS "DATE_YYYY_MM_DD", min(d) OVER (PARTITION BY building_id, dy % 4) AS first_day FROM pts""", *ev_unit)
     add("m2_lloyd_step", """SELECT a.building_id, near AS cluster, count(*) AS n_days, "hour", round(avg("value"), 6) AS "value"
 FROM near a JOIN cells b USING (building_id, d) GROUP BY a.building_id, near, "hour" """, *ev_unit, {

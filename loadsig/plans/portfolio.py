@@ -44,12 +44,39 @@ class Characterisation:
     confusion: DataFrame
     outlier_months: DataFrame
     monthly: DataFrame
+    profiles: DataFrame
+    runs: DataFrame
+
+    def views(self) -> dict[str, DataFrame]:
+        """The tables behind the plots: residual histogram, profiles of the day
+        types, rules of the tree, and for the coldest, hottest and temperate
+        months and weeks the chosen period, the load by hour of the week and the
+        box statistics."""
+        kinds = ("coldest", "hottest", "temperate")
+
+        def of_kinds(make) -> DataFrame:
+            parts = [make(kind).withColumn("kind", F.lit(kind)) for kind in kinds]
+            return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+        out = {
+            "residual_histogram": outliers.residual_histogram(self.scored),
+            "cluster_profiles": profiles.cluster_profiles(self.profiles.join(self.assignments, ["building_id", profiles.DAY])),
+            "tree_rules": classify.tree_table(self.tree),
+        }
+        for unit, by in (("month", "DATE_day_month"), ("week", "DATE_day_week")):
+            out[f"climate_{unit}"] = of_kinds(lambda kind, unit=unit: evaluate.climate_period(self.comparison, unit, kind))
+            out[f"hour_of_week_{unit}"] = of_kinds(
+                lambda kind, unit=unit: evaluate.hour_of_week_profile(self.comparison, kind, unit))
+            out[f"boxes_{unit}"] = of_kinds(
+                lambda kind, unit=unit, by=by: evaluate.box_stats(self.comparison, unit, kind, by))
+        return out
 
     def write(self, folder: str) -> None:
-        """Write every table as Parquet under ``folder``, by its name. A table
-        that is there already makes it fail."""
-        for table in fields(self):
-            getattr(self, table.name).write.parquet(f"{folder.rstrip('/')}/{table.name}")
+        """Write every table and view as Parquet under ``folder``, by its name. A
+        table that is there already makes it fail."""
+        tables = {table.name: getattr(self, table.name) for table in fields(self)} | self.views()
+        for name, table in tables.items():
+            table.write.parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def _fitted(params: DataFrame) -> DataFrame:
@@ -58,26 +85,29 @@ def _fitted(params: DataFrame) -> DataFrame:
 
 
 def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int = daytypes.N_INIT,
-                 attribution: str = "predicted") -> Characterisation:
+                 attribution: str = "predicted", effort: int = 0) -> Characterisation:
     """Fit, clean, refit, find day types, learn to predict them, fit day-type
-    models and compare all models.
+    models and compare all models. ``effort`` is that of the fits.
 
     ``attribution="predicted"`` scores the third model with predicted day
-    types, ``"actual"`` with the actual ones.
+    types, ``"actual"`` with the actual ones. Rows without a time are kept as far
+    as the repair (``scored``, ``repaired``); no model is fitted to them. ``runs``
+    tells of every building and k whether k-means had converged.
     """
     base = materialise(add_calendar(readings), "readings")
     require_unique_hours(base)
+    timed = F.col("DATE").isNotNull()
 
     # hour-of-week models and outliers over the building
-    first = materialise(fit_changepoint(base, HOUR_KEY), "params-initial")
+    first = materialise(fit_changepoint(base.filter(timed), HOUR_KEY, effort=effort), "params-initial")
     scored = outliers.flag_outliers(outliers.score_readings(base, _fitted(first)), "global").drop(*PARAMETERS)
     scored = materialise(scored, "scored")
 
     # repair, then fit again on the repaired power
     repaired = repair(scored.withColumn("IS_Outlier", F.col("is_outlier_global")))
     repaired = materialise(repaired.drop("Power_fitted", "Power_residuals"), "repaired")
-    current = evaluate.use_corrected(repaired)
-    tow = materialise(fit_changepoint(current, HOUR_KEY), "params-tow")
+    current = evaluate.use_corrected(repaired).filter(timed)
+    tow = materialise(fit_changepoint(current, HOUR_KEY, effort=effort), "params-tow")
     final = changepoint_eval(attach_params(current, _fitted(tow)), "Power_fitted_TOW").drop(*PARAMETERS)
     final = outliers.flag_outliers(final, "group", HOUR_KEY, Z95)
     final = materialise(final.drop("Power_residuals"), "final")
@@ -85,7 +115,7 @@ def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int =
     # day types and their prediction
     points = profiles.normalise_vectors(profiles.day_vectors(profiles.day_matrix(final)))
     points = materialise(points, "profiles")
-    assignments, chosen = daytypes.day_types(points, k_max, n_init)
+    assignments, chosen, runs = daytypes.day_types(points, k_max, n_init)
     assignments = materialise(assignments, "assignments")
     days = classify.labelled_days(classify.daily_features(final), assignments)
     days = materialise(classify.stratified_split(days), "days")
@@ -100,8 +130,8 @@ def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int =
     typed = typed.withColumns({"ClusterHour": evaluate.cluster_hour("cluster"),
                                "ClusterHour_PRED": evaluate.cluster_hour("cluster_PRED")})
     typed = materialise(typed, "typed")
-    by_type = materialise(fit_changepoint(typed, ["building_id", "ClusterHour"]), "params-cluster")
-    by_pred = materialise(fit_changepoint(typed, ["building_id", "ClusterHour_PRED"]), "params-cluster-pred")
+    by_type = materialise(fit_changepoint(typed, ["building_id", "ClusterHour"], effort=effort), "params-cluster")
+    by_pred = materialise(fit_changepoint(typed, ["building_id", "ClusterHour_PRED"], effort=effort), "params-cluster-pred")
 
     # comparison on trusted rows
     third = {"predicted": "cluster_PRED", "actual": "cluster"}[attribution]
@@ -112,5 +142,6 @@ def characterise(readings: DataFrame, k_max: int = daytypes.K_MAX, n_init: int =
     return Characterisation(
         first, scored, repaired, tow, final, assignments, chosen, tree, days, report,
         by_type, by_pred, comparison, evaluate.model_metrics(comparison),
-        classify.confusion_long(cells), outliers.outliers_by_month(scored), evaluate.monthly_load(comparison),
+        classify.confusion_long(cells), outliers.outliers_by_month(scored.filter(timed)), evaluate.monthly_load(comparison),
+        points, runs,
     )

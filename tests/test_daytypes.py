@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +62,8 @@ def test_search_agrees_across_block_sizes(points):
 
 
 def test_choice_of_k(points):
-    assignment, chosen = daytypes.day_types(points, k_max=5, n_init=4)
+    assignment, chosen, runs = daytypes.day_types(points, k_max=5, n_init=4)
+    assert runs.filter("converged").count() == runs.count() > 0
     assert {r["building_id"]: (r["k_silhouette"], r["k"]) for r in chosen.collect()} == {"A": (3, 3), "B": (3, 3)}
     assert partition_of(assignment, "A") == expected(60)
 
@@ -113,3 +115,21 @@ def test_lloyd_steps_never_raise_the_sum_of_squares(points):
 def test_fewer_days_than_types(spark):
     df = spark.createDataFrame(days(2), DDL)
     assert daytypes.kmeans_days(df, 3, n_init=2).count() == 2
+
+
+def test_bounded_steps_equal_plain_steps():
+    """Skipping days by the triangle inequality changes nothing."""
+    rng = np.random.default_rng(11)
+    for k in (1, 2, 5, 20):
+        points = rng.normal(size=(300, 24)) + 3 * rng.integers(0, 3, size=(300, 1))
+        centres = points[:k].copy()
+        got = daytypes._lloyd(points, centres, 40)
+        label = None
+        for step in range(40):
+            label = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.array([points[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(k)])
+            if np.abs(moved - centres).max() <= daytypes.TOLERANCE or step == 39:
+                break
+            centres = moved
+        assert (got[1] == np.bincount(label, minlength=k)).all()
+        assert np.allclose(got[3], centres) and got[2].sum() == pytest.approx(((points - centres[label]) ** 2).sum())

@@ -30,7 +30,8 @@ def rows(building, weeks=5, seed=0):
 
 @pytest.fixture(scope="module")
 def base(spark):
-    return readings(spark, rows("A") + rows("B", seed=1))
+    lost = [("A", None, False, 1.0, 0.0, p) for p in (5.0, None, 7.0, 9.0)]
+    return readings(spark, rows("A") + rows("B", seed=1) + lost)
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,8 @@ def test_models_and_metrics(result):
 
 
 def test_repair_touches_only_untrusted_rows(result):
+    lost = result.repaired.filter("DATE IS NULL")
+    assert lost.count() == 4 and lost.filter("IS_Repaired").count() == 0
     bad = result.repaired.filter("NOT IS_Missing_Outlier AND (IS_Repaired OR NOT Power_corrected <=> Power)")
     assert bad.count() == 0
     assert result.repaired.filter("IS_Repaired AND Power IS NULL AND Power_corrected IS NOT NULL").count() > 0
@@ -65,15 +68,18 @@ def test_day_types_and_tree(result):
 def test_views_and_lasting_tables(spark, result, tmp_path):
     tested = result.days.filter("is_test").count()
     assert result.confusion.groupBy().sum("n").first()[0] == tested
-    assert result.outlier_months.groupBy().sum("Total_Count").first()[0] == result.scored.count()
+    assert result.outlier_months.groupBy().sum("Total_Count").first()[0] == result.scored.filter("DATE IS NOT NULL").count()
     assert result.monthly.select("building_id").distinct().count() == 2
     result.write(str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "metrics")).count() == 6
-    assert len(list((tmp_path / "out").iterdir())) == 17
+    assert len(list((tmp_path / "out").iterdir())) == 19 + 9
+    assert result.runs.count() == 2 * 4 and result.runs.filter("NOT converged").count() == 0
+    for name, view in result.views().items():
+        assert view.select("building_id").distinct().count() == 2, name
 
 
 def test_prediction_from_the_results(base, result):
     params = result.params_cluster_pred.drop("loss", "bound", "n_rows", "status")
     got = predict_load(base, result.tree, params)
-    assert got.count() == base.count()
+    assert got.count() == base.filter("DATE IS NOT NULL").count()
     assert got.filter("predicted_load IS NULL OR predicted_load < 0").count() == 0
