@@ -273,10 +273,14 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def best_rows(screen: np.ndarray, q, x, query_ids, ids, k: int, slack: float):
     """The k best candidates of each query by exact score, ties to smaller ids;
     ``screen`` has scores right to ``slack``, -inf for what was not visited."""
-    kth = np.full(len(screen), -np.inf)
-    if screen.shape[1] > k:
-        kth = np.partition(screen, screen.shape[1] - k, axis=1)[:, screen.shape[1] - k] - slack
-    i, j = np.nonzero((screen >= kth[:, None]) & (screen > -np.inf))
+    i, j = np.nonzero(screen > -np.inf)
+    met = np.bincount(i, minlength=len(screen))
+    if met.max(initial=0) > 4 * k:
+        # of long lists only what can be among the k best
+        value, start = screen[i, j], np.cumsum(met) - met
+        kth = [np.partition(value[s:s + n], n - k)[n - k] - slack if n > k else -np.inf for s, n in zip(start, met)]
+        stay = value >= np.repeat(kth, met)
+        i, j = i[stay], j[stay]
     score = exact_scores(q[i], x[j])
     order = np.lexsort((ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
@@ -295,18 +299,23 @@ def _visit(tables: dict[int, Hashing], k: int):
                 continue
             h, x, ids = tables[n], matrix(have["v"]), have["vec_id"].to_numpy()
             bucket, first, size = np.unique(have["bucket"].to_numpy(), return_index=True, return_counts=True)
+            place = {j: at for at, j in enumerate(ids)}
             digits = (bucket[:, None] // BINS ** np.arange(h.functions - 1, -1, -1)) % BINS
             for at in range(0, len(mine), CHUNK):
                 ask = mine.iloc[at:at + CHUNK]
                 q, query_ids = matrix(ask["q"]), ask["query_id"].to_numpy()
                 visit = _to_visit(h, t, q, ask, digits)
                 screen = np.full((len(q), len(x)), -np.inf)
-                for b in np.flatnonzero(visit.any(axis=0)):
-                    who, here = np.flatnonzero(visit[:, b]), slice(first[b], first[b] + size[b])
-                    screen[who, here] = q[who] @ x[here].T
                 slack = 1e-9 * np.abs(q).max() * np.abs(x).max() * n
                 known = ask["least"].to_numpy()[:, None] - slack
-                screen[(query_ids[:, None] == ids[None]) | (screen < known)] = -np.inf
+                for b in np.flatnonzero(visit.any(axis=0)):
+                    who, here = np.flatnonzero(visit[:, b]), slice(first[b], first[b] + size[b])
+                    score = q[who] @ x[here].T
+                    score[score < known[who]] = -np.inf
+                    screen[who, here] = score
+                own = [(i, place[j]) for i, j in enumerate(query_ids) if j in place]
+                if own:
+                    screen[tuple(np.array(own).T)] = -np.inf
                 out.append(best_rows(screen, q, x, query_ids, ids, k, slack))
         return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
