@@ -15,7 +15,8 @@ Decoding joins ids to pieces: the vocabulary is a table of fixed size, held by
 every task, and an array of ids picks its pieces by position.
 
 A null text is an empty text: no ids, decoded to an empty text. Rows need no id,
-repeated rows are encoded each, extra columns are kept. Columns whose names start
+repeated rows are encoded each, extra columns are kept; one named like a result is
+replaced. Columns whose names start
 with ``_bpe`` are reserved. An empty table gives an empty table.
 """
 
@@ -227,7 +228,8 @@ def encode(docs: DataFrame, vocabulary: str, block_words: int = BLOCK_WORDS, wit
     bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         content = f.read()
-    kept = [c for c in docs.columns if c != "text"]
+    new = ("ids", "decoded") if with_text else ("ids",)
+    kept = [c for c in docs.columns if c.lower() not in ("text", *new)]
     row = F.struct(*[docs[c] for c in kept]) if kept else F.struct(F.lit(0).alias("_bpe_none"))
     cut = docs.select(row.alias("_bpe_row"), words(F.coalesce(docs["text"], F.lit(""))).alias("_bpe_words"))
     row_schema = cut.schema["_bpe_row"].dataType

@@ -12,6 +12,18 @@ the softmax and the confidence below which a prediction is rejected: at most
 ``reject_share`` of the set-aside documents fall below it, and it is never above
 one half.
 
+A softmax is sure of languages that it has never seen, too. So a prediction is
+also rejected if the text is strange to the language: its mean logarithm of n-gram
+frequencies lies too far below that of the language, in deviations that depend on
+the length. How far is too far is calibrated on something to reject: each language
+in turn is left out and its set-aside texts are judged by the other languages. The
+limit lies between nearly all texts judged by their own language and four fifths of
+all pieces, short ones included, judged by others; where these overlap, own texts
+are kept.
+
+A column ``language`` of the input is replaced; other columns are kept. Repeated
+rows are predicted each, alike.
+
 Texts that are null or have no letter are ``und`` with score 0 and are rejected.
 Rows without text, language or id are not learned from. Whole texts are used.
 """
@@ -33,7 +45,10 @@ PER_LANGUAGE = 800
 BUCKETS, WIDTH, GRAMS = 8192, 16, 4
 EPOCHS, BATCH, RATE = 8, 32, 0.5
 REJECT_SHARE, MOST_REJECT = 0.001, 0.5
+OWN_SHARE, OTHER_SHARE, SHORT = 0.998, 0.2, 120
 RESULT = "lang_pred string, score double, accepted boolean"
+_MODEL = ("names array<string>, scores binary, bound double, log_share binary, centre array<double>, "
+          "spread array<double>, limit double")
 _letters: list[np.ndarray] = []
 
 
@@ -83,9 +98,54 @@ def _rows(bags: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount(b, minlength=BUCKETS) / max(1, len(b)) for b in bags], np.float32)
 
 
+class Strangeness:
+    """How far a text lies below its language, in deviations."""
+
+    def __init__(self, log_share: np.ndarray, centre: np.ndarray, spread: tuple[float, float], limit: float) -> None:
+        self.log_share, self.centre, self.spread, self.limit = log_share, centre, spread, limit
+
+    def of(self, bag: np.ndarray, lang: int) -> float:
+        below = self.centre[lang] - self.log_share[bag, lang].mean()
+        return float(below / np.sqrt(self.spread[0] + self.spread[1] / len(bag)))
+
+
+def fit_strangeness(learned: list[tuple[np.ndarray, int]], aside: list[tuple[np.ndarray, int]], table: np.ndarray) -> Strangeness:
+    """Calibrate on set-aside texts and pieces, own language and left-out ones."""
+    n_langs = table.shape[1]
+    count = np.full((BUCKETS, n_langs), 0.5)
+    for bag, lang in learned:
+        count[:, lang] += np.bincount(bag, minlength=BUCKETS)
+    log_share = np.log(count / count.sum(axis=0))
+    level = np.array([[log_share[bag, j].mean() for j in range(n_langs)] for bag, _ in aside])
+    size = np.array([len(bag) for bag, _ in aside])
+    truth = np.array([lang for _, lang in aside])
+    own = level[np.arange(len(aside)), truth]
+    centre = np.array([np.median(own[truth == j]) if (truth == j).any() else np.median(own) for j in range(n_langs)])
+    off = centre[truth] - own
+    long = size >= SHORT
+    near = float(np.median(off[long] ** 2)) if long.any() else float(np.median(off**2))
+    by_size = float(np.median(off[~long] ** 2 * size[~long])) if (~long).any() else near * SHORT
+    spread = (max(near / 0.455, 1e-6), max(by_size / 0.455, 1e-6))  # the median of a squared normal is 0.455
+    out = Strangeness(log_share, centre, spread, np.inf)
+    scale = np.sqrt(spread[0] + spread[1] / size)
+    limit = max(float(np.quantile(off / scale, OWN_SHARE)), 1.0)
+    if n_langs > 1:
+        # the language that would be predicted if the text's own were unknown
+        logits = np.array([np.bincount(bag, minlength=BUCKETS) @ table / len(bag) for bag, _ in aside])
+        logits[np.arange(len(aside)), truth] = -np.inf
+        guess = logits.argmax(axis=1)
+        strange = (centre[guess] - level[np.arange(len(aside)), guess]) / scale
+        # nearer to the others: keeping own texts is worth more
+        limit = max(limit, float(np.cbrt(limit * max(np.quantile(strange, OTHER_SHARE), 0.0) ** 2)))
+    else:
+        limit *= 1.5
+    out.limit = limit
+    return out
+
+
 def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
-    """Languages, score rows per bucket (already divided by the temperature)
-    and the rejection bound."""
+    """Languages, score rows per bucket (already divided by the temperature),
+    the least confidence and the strangeness of texts."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -126,7 +186,10 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
     table /= heats[int(np.argmin(loss))]
     sure = _softmax(logits / heats[int(np.argmin(loss))]).max(axis=1)
     bound = min(MOST_REJECT, float(np.quantile(sure, REJECT_SHARE, method="lower")))
-    return names, table, bound
+    learned = [(grams(texts[i]), names.index(langs[i])) for i in learn]
+    pieces = [(grams(p), names.index(langs[i])) for i in aside for p in _pieces(texts[i], rng)]
+    strange = fit_strangeness(learned, [(b, t) for b, t in pieces if len(b)], table)
+    return names, table, bound, strange
 
 
 def sample_labelled(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -146,20 +209,25 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE):
     """Fit on the bounded sample in one task; None if nothing is labelled."""
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "lang", "text"], kind="stable")
-        names, table, bound = fit_softmax(rows["text"].tolist(), rows["lang"].tolist())
-        return pd.DataFrame({"names": [names], "scores": [table.astype("<f8").tobytes()], "bound": [bound]})
+        names, table, bound, strange = fit_softmax(rows["text"].tolist(), rows["lang"].tolist())
+        return pd.DataFrame({
+            "names": [names], "scores": [table.astype("<f8").tobytes()], "bound": [bound],
+            "log_share": [strange.log_share.astype("<f4").tobytes()], "centre": [strange.centre.tolist()],
+            "spread": [list(strange.spread)], "limit": [strange.limit]})
 
     sample = sample_labelled(docs, may_learn, per_language).filter(F.col("text").rlike(r"\p{L}"))
-    row = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "names array<string>, scores binary, bound double").first()
+    row = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, _MODEL).first()
     if row is None:
         return None
     scores = np.frombuffer(bytes(row["scores"]), "<f8").reshape(BUCKETS, len(row["names"]))
-    return list(row["names"]), scores, row["bound"]
+    log_share = np.frombuffer(bytes(row["log_share"]), "<f4").reshape(scores.shape)
+    strange = Strangeness(log_share, np.array(row["centre"]), tuple(row["spread"]), row["limit"])
+    return list(row["names"]), scores, row["bound"], strange
 
 
 def language_of(model, text: Column) -> Column:
     """Struct ``(lang_pred, score, accepted)`` of a text column."""
-    names, table, bound = model or ([], np.zeros((BUCKETS, 0)), 0.0)
+    names, table, bound, strange = model or ([], np.zeros((BUCKETS, 0)), 0.0, None)
 
     @F.pandas_udf(RESULT)
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -172,7 +240,8 @@ def language_of(model, text: Column) -> Column:
                     continue
                 p = _softmax(np.bincount(bag, minlength=BUCKETS) @ table / len(bag))
                 best = int(p.argmax())
-                out.append((names[best], float(p[best]), bool(p[best] >= bound)))
+                known = p[best] >= bound and strange.of(bag, best) <= strange.limit
+                out.append((names[best], float(p[best]), bool(known)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
 
     return predict(text)
@@ -192,4 +261,5 @@ def fold(id_column: Column) -> Column:
 def keep_identified(docs: DataFrame, model) -> DataFrame:
     """Documents whose prediction is not rejected, with their own columns."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("_language", language_of(model, F.col("text"))).filter("_language.accepted").drop("_language")
+    name = next(f"_language{n}" for n in range(len(docs.columns) + 1) if f"_language{n}" not in docs.columns)
+    return docs.withColumn(name, language_of(model, F.col("text"))).filter(F.col(name)["accepted"]).drop(name)

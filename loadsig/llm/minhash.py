@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import bounded_batches, components
+from loadsig.llm.shared import bounded_batches, components, with_own_names
 from loadsig.session import materialise
 
 SHINGLE, PERCENT = 5, 80
@@ -302,6 +302,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     """Documents without those that are near copies of another; the smallest id
     of each component stays. Of rows that repeat an id one stays; an id repeated
     with other text goes only if none of its texts stays. Null ids stay."""
+    return with_own_names(docs, ["doc_id", "text"], lambda d: _first_of_each(d, shingle, percent))
+
+
+def _first_of_each(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     marked = materialise(near_duplicates(docs, shingle, percent).filter("doc_id IS NOT NULL"), "marked")
     by_id = marked.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     by_id = materialise(by_id.filter("NOT kept OR n > 1").withColumnRenamed("doc_id", "_id"), "affected")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import running_total
+from loadsig.llm.shared import running_total, with_own_names
 from loadsig.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -121,6 +121,10 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, repe
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as often as they are taken."""
+    return with_own_names(docs, ["doc_id", "text", "source"], lambda d: _mixed(d, weights, share, repeats))
+
+
+def _mixed(docs: DataFrame, weights, share: float, repeats: int) -> DataFrame:
     _, _, bounds = plan(docs, weights, share, repeats)
     named = bounds.select(F.col("source").alias("_source"), F.col("bounds").alias("_bounds"))
     times = copies(place(docs["doc_id"]), F.col("_bounds"), repeats)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import bounded_batches
+from loadsig.llm.shared import bounded_batches, with_own_names
 from loadsig.session import materialise
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 24, 48
@@ -115,6 +115,10 @@ def _without(text: str, covered) -> tuple[str, int, int]:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated sentences removed from ``text``, and the numbers
     of sentences ``_n_sentences`` and ``_n_removed``."""
+    return with_own_names(docs, ["doc_id", "text"], _deduped)
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     repeats = materialise(repeated_runs(docs), "repeats").select(
         F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "covered")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return on
 
 
+def with_own_names(docs: DataFrame, needed: list[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn`` of ``docs`` whose columns beside ``needed`` have names that nothing
+    else uses; afterwards they have their own again. A column named like one that
+    ``fn`` adds is replaced by it."""
+    others = [c for c in docs.columns if c.lower() not in {n.lower() for n in needed}]
+    hidden = {c: f"_own_{i}_of_{len(others)}" for i, c in enumerate(others)}
+    out = fn(docs.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in docs.columns]))
+    back = {h: c for c, h in hidden.items()}
+    added = {c.lower() for c in out.columns if c not in back}
+    return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in added])
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the same ``keys`` up
     to and including this one, in the order of ``order``.

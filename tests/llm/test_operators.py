@@ -117,6 +117,19 @@ def test_language(spark, docs, empty):
     assert all(got[i]["lang_pred"] == ["fr", "en"][i % 2] and 0 <= got[i]["score"] <= 1 for i in range(60))
     odd = {r["doc_id"]: r["language"] for r in langid.identify(docs, model).collect()}
     assert all(odd[i]["lang_pred"] == "und" and not odd[i]["accepted"] for i in (30, 31, 32))
+    unknown = ["Wczoraj wieczorem poszliśmy do kina, a potem wróciliśmy do domu na piechotę.",
+               "Eilen illalla menimme elokuviin ja kävelimme sitten kotiin.", "Hôm qua chúng tôi đi xem phim rồi đi bộ về nhà.",
+               "I går kveld gikk vi på kino og deretter gikk vi hjem.", "Ontem à noite fomos ao cinema e depois voltamos a pé para casa.",
+               "昨日の夜は映画を見に行って歩いて帰りました。", "Вчера вечером мы ходили в кино, а потом пошли домой пешком.",
+               "Dün akşam sinemaya gittik ve sonra eve yürüdük.", "Tadi malam kami pergi ke bioskop lalu berjalan kaki pulang.",
+               "Tegnap este moziba mentünk, aztán hazasétáltunk."]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("language", F.lit("x"))
+    known_model = langid.train(table, langid.fold(F.col("doc_id")) != 2)
+    foreign = docs_of(spark, [(i, t, None, "s", 1) for i, t in enumerate(unknown)])
+    assert langid.keep_identified(foreign, known_model).count() <= 1
+    held_out = table.filter((langid.fold(F.col("doc_id")) == 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    assert langid.keep_identified(held_out, known_model).count() >= 0.98 * held_out.count()
+    assert langid.identify(held_out, known_model).filter("language.lang_pred <> lang").count() <= 0.01 * held_out.count()
     assert langid.train(empty, F.lit(True)) is None
     assert langid.keep_identified(docs, None).count() == 0
     assert langid.keep_identified(learn, model).columns == docs.columns
