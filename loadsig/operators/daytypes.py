@@ -1,10 +1,10 @@
 """Day types: k-means on normalised day profiles, and the choice of k.
 
 Profiles are kept in blocks of days, so vectorised arithmetic runs inside tasks
-while Spark distributes blocks and starts and combines their partial sums. A
-building of one block takes all Lloyd steps of a start within one task, longer
-ones one step per round; both stop after the same number of steps with the same
-result. A k-means task
+while Spark distributes blocks and combines their partial sums. A building of one
+block takes all steps of a run within a task, its numbers of day types dealt over
+several; longer ones take one step per round, by block and start. Both stop after
+the same number of steps with the same result. A k-means task
 holds one block of days and the centres of one building, a silhouette task two
 blocks, and no pair of days is ever written as a row.
 """
@@ -26,6 +26,7 @@ K_LOWEST, K_MIN, K_MAX, N_INIT, SEED = 1, 3, 30, 10, 25
 ELBOW_SHARE = 0.05
 
 BLOCK_DAYS = 1024
+PARTS = 8  # tasks per building
 MAX_ROUNDS = 300
 TOLERANCE = 1e-9
 HOURS = 24
@@ -195,42 +196,35 @@ def _lloyd(points: np.ndarray, centres: np.ndarray, rounds: int):
     return sums, counts, inertia, centres, settled
 
 
-_PARTIAL = (
-    "building_id string, k int, start int, cluster int, centre array<double>, "
-    "sums array<double>, n bigint, inertia double, final boolean, settled boolean"
-)
+_PARTIAL = ("building_id string, k int, start int, cluster int, centre array<double>, "
+            "sums array<double>, n bigint, inertia double")
+_RUNS = "building_id string, k int, start int, cluster int, centre array<double>, n bigint, inertia double, converged boolean"
 
 
-def _partial_sums(key: tuple, rows: pd.DataFrame, max_rounds: int) -> pd.DataFrame:
-    """Sums of one block for the runs of one start of its building. A building of
-    one block takes all their steps here."""
+def _partial_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one block for the runs of one start of its building."""
     row, out = rows.iloc[0], []
-    points, single = _matrix(row["profiles"]), row["n_blocks"] == 1
-    runs: dict[tuple[int, int], list] = {}
+    points = _matrix(row["profiles"])
+    runs: dict[int, list] = {}
     for c in row["centres"]:
-        runs.setdefault((c["k"], c["start"]), []).append((c["cluster"], c["centre"]))
-    for (k, start), centres in sorted(runs.items()):
+        runs.setdefault(c["k"], []).append((c["cluster"], c["centre"]))
+    for k, centres in sorted(runs.items()):
         centres.sort(key=lambda c: c[0])
-        out.append((k, start, _lloyd(points, _matrix([c[1] for c in centres]), max_rounds if single else 1)))
-    table = [
-        (key[0], k, start, j, used[j].tolist(), sums[j].tolist(), int(counts[j]), float(inertia[j]), single, settled)
-        for k, start, (sums, counts, inertia, used, settled) in out
-        for j in range(len(used))
-    ]
-    return pd.DataFrame(table, columns=[f.split()[0] for f in _PARTIAL.split(", ")])
+        sums, counts, inertia, used, _ = _lloyd(points, _matrix([c[1] for c in centres]), 1)
+        out += [(key[0], k, key[2], j, used[j].tolist(), sums[j].tolist(), int(counts[j]), float(inertia[j]))
+                for j in range(len(used))]
+    return pd.DataFrame(out, columns=[f.split()[0] for f in _PARTIAL.split(", ")])
 
 
-def _lloyd_round(blocks: DataFrame, centres: DataFrame, max_rounds: int) -> DataFrame:
-    """Move all centres of all buildings once (single blocks: to convergence)."""
+def _lloyd_round(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+    """Move all centres of the buildings of several blocks once."""
     listed = centres.groupBy("building_id", "start").agg(
-        F.collect_list(F.struct("k", "start", "cluster", "centre")).alias("centres")
+        F.collect_list(F.struct("k", "cluster", "centre")).alias("centres")
     )
-    # each start is work of its own, so one building keeps many cores busy; the
-    # tasks are bound by arithmetic and must not be merged by their bytes
-    dealt = spread(blocks.join(listed, "building_id"), ["building_id", "block", "start"])
     partial = (
-        dealt.groupBy("building_id", "block", "start")
-        .applyInPandas(lambda key, rows: _partial_sums(key, rows, max_rounds), _PARTIAL)
+        spread(blocks.join(listed, "building_id"), ["building_id", "block", "start"])
+        .groupBy("building_id", "block", "start")
+        .applyInPandas(_partial_sums, _PARTIAL)
     )
     keys = ["building_id", "k", "start", "cluster"]
     merged = partial.groupBy(keys).agg(
@@ -238,16 +232,37 @@ def _lloyd_round(blocks: DataFrame, centres: DataFrame, max_rounds: int) -> Data
         F.sum("inertia").alias("inertia"),
         F.array(*[F.sum(F.col("sums")[h]) for h in range(HOURS)]).alias("sums"),
         F.min("centre").alias("old"),
-        F.max("final").alias("final"),
-        F.min("settled").alias("done"),
     )
     moved = F.when(F.col("n") > 0, F.transform("sums", lambda s: s / F.col("n"))).otherwise(F.col("old"))
     shift = F.array_max(F.zip_with("centre", "old", lambda a, b: F.abs(a - b)))
-    return (
-        merged.withColumn("centre", moved)
-        .withColumn("shift", F.when(F.col("final"), F.lit(0.0)).otherwise(shift))
-        .select(*keys, "centre", "old", "n", "inertia", "shift", "final", "done")
-    )
+    return merged.withColumn("centre", moved).withColumn("shift", shift).select(
+        *keys, "centre", "old", "n", "inertia", "shift")
+
+
+def _whole_runs(blocks: DataFrame, seeds: DataFrame, ks: list[int], max_rounds: int) -> DataFrame:
+    """All runs of the buildings of one block. The numbers of day types are dealt
+    over ``PARTS`` tasks per building, seeds are shipped once and cut in the task,
+    and only the best start of each k leaves it."""
+    listed = seeds.groupBy("building_id").agg(F.array_sort(F.collect_list(F.struct("start", "seeds"))).alias("starts"))
+    part = F.explode(F.sequence(F.lit(0), F.lit(min(PARTS, len(ks)) - 1))).alias("part")
+    dealt = blocks.join(listed, "building_id").select("building_id", "profiles", "starts", part)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        row, out = rows.iloc[0], []
+        points = _matrix(row["profiles"])
+        starts = [(int(s["start"]), _matrix(s["seeds"])) for s in row["starts"]]
+        for k in ks[int(key[1])::min(PARTS, len(ks))]:
+            best = None
+            for start, seed in starts:
+                result = _lloyd(points, seed[:k], max_rounds)
+                if best is None or result[2].sum().round(9) < best[0]:
+                    best = (result[2].sum().round(9), start, result)
+            _, start, (sums, counts, inertia, used, settled) = best
+            centre = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], used) if settled else used
+            out += [(key[0], k, start, j, centre[j].tolist(), int(counts[j]), float(inertia[j]), settled) for j in range(len(used))]
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _RUNS.split(", ")])
+
+    return spread(dealt, ["building_id", "part"]).groupBy("building_id", "part").applyInPandas(run, _RUNS)
 
 
 def kmeans_search(
@@ -268,31 +283,31 @@ def kmeans_search(
     blocks = day_blocks(points, block_days)
     sizes = blocks.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     blocks = materialise(blocks.join(sizes, "building_id").drop("days"), "day-blocks")
-    options = F.array(*[F.lit(k) for k in sorted(ks)])
+    seeds = materialise(seed_centres(points, max(ks), n_init, seed), "seeds")
+    ks = sorted(ks)
+    done = _whole_runs(blocks.filter("n_blocks = 1"), seeds, ks, max_rounds)
+    blocks = blocks.filter("n_blocks > 1")
+    longer = blocks.select("building_id").distinct()
+    options = F.array(*[F.lit(k) for k in ks])
     centres = (
-        seed_centres(points, max(ks), n_init, seed)
-        .withColumn("k", F.explode(options))
+        seeds.join(longer, "building_id", "left_semi").withColumn("k", F.explode(options))
         .select("building_id", "k", "start", F.posexplode(F.slice("seeds", F.lit(1), F.col("k"))).alias("cluster", "centre"))
     )
-    done = None
+    run, kept = ["building_id", "k", "start"], [f.split()[0] for f in _RUNS.split(", ")]
+    moved = None
     for _ in range(max_rounds):
-        moved = materialise(_lloyd_round(blocks, centres, max_rounds), "centres")
-        # a run is finished when none of its centres moves any more
-        run = ["building_id", "k", "start"]
-        settled = moved.groupBy(run).agg(
-            (F.max("shift") <= TOLERANCE).alias("settled"), F.min(F.col("done") | ~F.col("final")).alias("converged"))
-        moved = moved.join(settled, run)
-        # in a run that was cut off, the sums belong to the centres before the last move
-        moved = moved.withColumn("centre", F.when(F.col("converged"), F.col("centre")).otherwise(F.col("old")))
-        finished = moved.filter("settled")
-        done = finished if done is None else done.unionByName(finished)
-        centres = moved.filter("NOT settled").select(*run, "cluster", "centre")
         if centres.isEmpty():
             break
+        moved = materialise(_lloyd_round(blocks, centres), "centres")
+        # a run is finished when none of its centres moves any more
+        settled = moved.groupBy(run).agg((F.max("shift") <= TOLERANCE).alias("converged"))
+        moved = moved.join(settled, run)
+        done = done.unionByName(moved.filter("converged").select(kept))
+        centres = moved.filter("NOT converged").select(*run, "cluster", "centre")
     else:
-        cut = moved.filter("NOT settled").withColumns({"centre": F.col("old"), "converged": F.lit(False)})
-        done = done.unionByName(cut)
-    return _best_runs(done)
+        # in a run that was cut off, the sums belong to the centres before the last move
+        done = done.unionByName(moved.filter("NOT converged").withColumn("centre", F.col("old")).select(kept))
+    return _best_runs(materialise(done, "runs"))
 
 
 def _best_runs(runs: DataFrame) -> DataFrame:

@@ -859,7 +859,7 @@ def _streamed(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     cal = add_calendar(base)
     params = materialise(hour_params(cal), "params")
     stats = materialise(outliers.residual_stats(outliers.score_readings(cal, params)), "moments")
-    arriving = streaming.read_reading_stream(spark, folder, base.schema, files_per_batch=1)
+    arriving = streaming.read_reading_stream(spark, folder, base.schema, files_per_batch=3)
     out, log = scratch_path(spark, "scored"), scratch_path(spark, "stream-log")
     result = streaming.score_stream(arriving, params, stats)
     streaming.run_available(result, out, log)
