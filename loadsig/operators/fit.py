@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadsig.functions.signature import PARAMETERS, signature
+from loadsig.functions.signature import PARAMETERS
 from loadsig.operators import certify
 
 WIDE_FACTOR = 4.0
@@ -67,37 +67,58 @@ def candidate_fractions(levels: int = 3) -> list[tuple[int, float, float, float,
 def score_candidates(df: DataFrame, bounds: DataFrame, keys: list[str], levels: int = 3) -> DataFrame:
     """Loss of every candidate parameter set for every group.
 
-    Readings are brought together by group once; they meet the fixed list of
-    candidates inside the task and the losses are added there, so nothing is
-    shuffled per candidate. Errors are added as whole millionths: integer sums
-    do not depend on the order of the rows, so neither does the winner.
+    Readings are brought together by group once. In the task a line, one of
+    ``levels`` ^ 3, is compared with the readings once for all values of the
+    minimum: a reading has the error of the line where the line is the larger and
+    that of the minimum elsewhere. One row per group and candidate leaves.
+
+    Errors are added as whole millionths: integer sums do not depend on the order
+    of the rows, so neither does the winner. A group without bounds has null
+    losses.
     """
-    listed = F.array(
-        *[
-            F.struct(F.lit(n).alias("candidate"), F.lit(a).alias("a"), F.lit(b).alias("b"),
-                     F.lit(c).alias("c"), F.lit(d).alias("d"))
-            for n, a, b, c, d in candidate_fractions(levels)
-        ]
-    )
-    limits = bounds.select(*keys, "slope_Temp_min", "slope_Irrad_min", "intercept_max", "minimum_max")
-    params = {
-        "slope_Temp": F.col("x.a") * F.col("slope_Temp_min"),
-        "slope_Irrad": F.col("x.b") * F.col("slope_Irrad_min"),
-        "intercept": F.col("x.c") * F.col("intercept_max"),
-        "minimum": F.col("x.d") * F.col("minimum_max"),
-    }
+    edges = ["slope_Temp_min", "slope_Irrad_min", "intercept_max", "minimum_max"]
     known = df.filter(F.col("Power").isNotNull()).select(*keys, "Temperature", "Solar_Irradiation", "Power")
-    rows = (
-        spread(known, keys)
-        .join(limits, keys)
-        .withColumn("x", F.explode(listed))
-        .withColumns(params)
-        .withColumn("error", F.floor(F.abs(signature() - F.col("Power")) * 1e6 + 0.5))
-    )
-    return rows.groupBy(*keys, F.col("x.candidate").alias("candidate")).agg(
-        (F.sum("error") / 1e6).alias("loss"),
-        *[F.max(name).alias(name) for name in PARAMETERS],
-    )
+    rows = spread(known.join(bounds.select(*keys, *edges), keys), keys)
+    schema = T.StructType(
+        [df.schema[k] for k in keys] + [T.StructField("candidate", T.IntegerType())]
+        + [T.StructField(name, T.DoubleType()) for name in ["loss", *PARAMETERS]])
+    share = np.array([c[1:] for c in candidate_fractions(levels)])
+
+    def score(key: tuple, table: pa.Table) -> pa.Table:
+        t, i, p = (_column(table, c) for c in ("Temperature", "Solar_Irradiation", "Power"))
+        limit = [table.column(c)[0].as_py() for c in edges]
+        if None in limit:
+            loss, theta = [None] * len(share), [[None] * len(share)] * 4
+        else:
+            theta = share * np.array(limit) + 0.0
+            loss, theta = candidate_losses(theta, t, i, p, levels), theta.T
+        fields = [*(table.schema.field(k) for k in keys), pa.field("candidate", pa.int32()),
+                  *(pa.field(n, pa.float64()) for n in ["loss", *PARAMETERS])]
+        columns = [*([k.as_py()] * len(share) for k in key), np.arange(len(share), dtype=np.int32), loss, *theta]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
+
+    return rows.groupBy(keys).applyInArrow(score, schema)
+
+
+def candidate_losses(theta: np.ndarray, t: np.ndarray, i: np.ndarray, p: np.ndarray, levels: int) -> np.ndarray:
+    """Losses of parameter rows of which each ``levels`` in turn differ in the
+    minimum only. Readings without weather have a fitted value of 0."""
+    def millionths(error: np.ndarray) -> np.ndarray:
+        return np.floor(np.abs(error) * 1e6 + 0.5)
+
+    blind = np.isnan(t) | np.isnan(i)
+    without = millionths(p[blind]).sum()
+    t, i, p = t[~blind], i[~blind], p[~blind]
+    out = np.empty(len(theta))
+    floor_error = {m: millionths(max(m, 0.0) - p) for m in np.unique(theta[:, 3])}
+    for at in range(0, len(theta), levels):
+        s_temp, s_irrad, intercept = theta[at, :3]
+        line = intercept + s_temp * t + s_irrad * i
+        line_error = millionths(np.maximum(line, 0.0) - p)
+        for j in range(at, at + levels):
+            m = theta[j, 3]
+            out[j] = (np.where(line > m, line_error, floor_error[m]).sum() + without) / 1e6
+    return out
 
 
 def best_candidate(scored: DataFrame, keys: list[str]) -> DataFrame:
