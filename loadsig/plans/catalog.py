@@ -17,7 +17,7 @@ from loadsig.functions import calendar, signature
 from loadsig.functions.calendar import add_calendar, hour_number
 from loadsig.operators import certify, classify, daytypes, evaluate, fit, outliers, profiles, repair
 from loadsig.operators.profiles import DAY, POWER_COLUMNS
-from loadsig.plans import scoring
+from loadsig.plans import incremental, scoring
 from loadsig.session import materialise, scratch_path
 from loadsig.sources import readings as src
 from loadsig.sources import tables
@@ -209,15 +209,33 @@ def a5_save_load_model(spark, sf):
 @query
 def a6_multi_building(spark, sf):
     events, items = events_readings(spark, sf), lineitem_readings(spark, sf)
-    all_rows = src.union_buildings({"events": events.withColumn("part", F.col("building_id")),
-                                    "items": items.withColumn("part", F.col("building_id"))})
-    all_rows = all_rows.withColumn("building_id", F.col("part"))
+    one = items.filter("building_id = 'site-0'").drop("building_id")
+    all_rows = src.union_buildings({"events": events, "items": items, "alone": one})
     return all_rows.groupBy("building_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("DATE").alias("first_date"), F.max("DATE").alias("last_date"),
         F.sum(F.col("Power").cast("decimal(18,2)")).cast("double").alias("total_power"),
     )
 
 
+@query
+def a6_refresh(spark, sf):
+    """A second run after one building has a corrected reading and another is
+    gone: states, and totals of which only the changed ones were computed."""
+    folder = scratch_path(spark, "refresh")
+    first = materialise(events_readings(spark, sf), "arrivals")
+    mended = F.when((F.col("building_id") == "view-0") & (F.dayofmonth("DATE") == 5), F.col("Power") + 1.0).otherwise(F.col("Power"))
+    second = first.filter("building_id <> 'error-0'").withColumn("Power", mended)
+
+    def totals(run: int):
+        return lambda rows: rows.groupBy("building_id").agg(
+            F.sum(F.col("Power").cast("decimal(18,2)")).cast("double").alias("total_power"), F.lit(run).alias("computed_by"))
+
+    incremental.refresh(first, folder, totals(1))
+    states = materialise(incremental.refresh(second, folder, totals(2)), "states")
+    kept = incremental.current(spark, folder, "building_id string, total_power double, computed_by int")
+    return states.join(kept, "building_id", "left")
+
+
 @query
 def a8_join_weather(spark, sf):
     base = events_readings(spark, sf)

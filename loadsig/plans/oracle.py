@@ -424,8 +424,15 @@ def oracle_texts() -> dict[str, str]:
     add("a4_write_table", f"SELECT {BASE_COLS} FROM r", *ev)
     add("a6_multi_building", """SELECT building_id, count(*) AS n_rows, min("DATE") AS first_date, max("DATE") AS last_date,
        CAST(sum(CAST("Power" AS DECIMAL(18,2))) AS DOUBLE) AS total_power
-FROM (SELECT building_id, "DATE", "Power" FROM ev_grid UNION ALL SELECT building_id, "DATE", "Power" FROM li_power)
+FROM (SELECT 'events/' || building_id AS building_id, "DATE", "Power" FROM ev_grid
+      UNION ALL SELECT 'items/' || building_id, "DATE", "Power" FROM li_power
+      UNION ALL SELECT 'alone', "DATE", "Power" FROM li_power WHERE building_id = 'site-0')
 GROUP BY building_id""", *ev, {"li_power": LINES["li_power"]})
+    add("a6_refresh", """SELECT building_id, CASE building_id WHEN 'view-0' THEN 'changed' WHEN 'error-0' THEN 'gone' ELSE 'same' END AS state,
+       CASE WHEN building_id <> 'error-0' THEN CAST(sum(CAST("Power" + CASE WHEN building_id = 'view-0' AND day("DATE") = 5 THEN 1 ELSE 0 END
+                AS DECIMAL(18,2))) AS DOUBLE) END AS total_power,
+       CASE building_id WHEN 'view-0' THEN 2 WHEN 'error-0' THEN NULL ELSE 1 END AS computed_by
+FROM ev_grid GROUP BY building_id""", *ev)
     add("a8_join_weather", """SELECT building_id, "DATE", "Holiday", CASE WHEN hour("DATE") % 5 > 0 THEN "Temperature" END AS "Temperature",
        CASE WHEN hour("DATE") % 5 > 0 THEN "Solar_Irradiation" END AS "Solar_Irradiation", "Power" FROM r""", *ev)
     add("a7_profile_readings", """SELECT *, "missing_Temperature" + "missing_Solar_Irradiation" + "missing_Power" + "missing_Holiday" AS missing_total

@@ -67,8 +67,14 @@ def join_weather(meter: DataFrame, weather: DataFrame, by_building: bool = True)
 
 
 def union_buildings(frames: dict[str, DataFrame]) -> DataFrame:
-    """One portfolio table from per-building tables (name -> readings)."""
-    parts = [df.withColumn("building_id", F.lit(name)) for name, df in frames.items()]
+    """One portfolio table from tables by name. A table without ``building_id`` is
+    one building of that name; the buildings of one that has it become
+    ``name/building``."""
+    def named(name: str, df: DataFrame) -> DataFrame:
+        own = F.concat(F.lit(f"{name}/"), F.col("building_id")) if "building_id" in df.columns else F.lit(name)
+        return df.withColumn("building_id", own)
+
+    parts = [named(name, df) for name, df in frames.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
