@@ -10,6 +10,9 @@ so a conversation of any length is split; the parts concatenate to the whole.
 Turns are numbered by a running total over range-sorted rows, so no task gathers
 a conversation either.
 
+Markers cannot be forged: ``<|`` in a role or text is rendered as ``<\\|``. Offsets
+are those of the rendered text.
+
 Turns are ordered by turn number, role and text. A row that repeats a turn
 exactly is rendered once. A null role is a speaker named ``unknown``, a null text
 is empty, a null turn number comes first, and rows without ``conv_id`` form one
@@ -30,8 +33,10 @@ SYSTEM, UNKNOWN = "system", "unknown"
 
 def numbered_parts(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """``(conv_id, part, turns)`` with the turns of a part in order."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"),
-                        F.coalesce("text", F.lit("")).alias("text"))
+    def plain(column: str, default: str) -> Column:
+        return F.replace(F.coalesce(column, F.lit(default)), F.lit("<|"), F.lit("<\\|")).alias(column)
+
+    rows = turns.select("conv_id", "turn", plain("role", UNKNOWN), plain("text", ""))
     once = rows.distinct().withColumn("one", F.lit(1))
     placed = running_total(once, ["conv_id"], ["turn", "role", "text"], "one", "at")
     part = ((F.col("at") - 1) / part_turns).cast("long")

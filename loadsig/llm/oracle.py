@@ -46,8 +46,9 @@ SELECT doc_id, d.source, size, source_size, target, copies, size * copies AS tak
 FROM (SELECT d.*, CAST((SELECT count(*) FROM k WHERE k.source IS NOT DISTINCT FROM d.source AND d.place <= k.cut) AS INT) AS copies FROM d) d
 JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
 
-ORACLE["op8_perspective_chat"] = """WITH
-t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce("text", '') AS "text" FROM conversations),
+ORACLE["op8_perspective_chat"] = r"""WITH
+t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS role,
+             replace(coalesce("text", ''), '<|', '<\|') AS "text" FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, "text") - 1 AS rn FROM t),
 p AS (SELECT n.*, s.perspective, CAST(rn // 256 AS BIGINT) AS part,
              CASE WHEN role = 'system' THEN '<|system|>' WHEN role = s.perspective THEN '<|assistant|>'
