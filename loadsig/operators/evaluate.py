@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadsig.functions.signature import PARAMETERS, changepoint_eval_plain, cluster_hour
@@ -36,10 +36,10 @@ def drop_working(df: DataFrame) -> DataFrame:
     return df.drop(*WORKING_COLUMNS)
 
 
-def attach_day_types(df: DataFrame, assignments: DataFrame, columns: list[str] = ["cluster"]) -> DataFrame:
+def attach_day_types(df: DataFrame, assignments: DataFrame, columns: tuple[str, ...] = ("cluster",)) -> DataFrame:
     """Inner join by building and day: rows of unassigned days drop out."""
     day = "DATE_YYYY_MM_DD"
-    known = assignments.na.drop("any", subset=columns).select("building_id", day, *columns)
+    known = assignments.na.drop("any", subset=list(columns)).select("building_id", day, *columns)
     return df.join(known, ["building_id", day])
 
 
@@ -179,22 +179,21 @@ def box_stats(df: DataFrame, unit: str, kind: str, by: str, with_year: bool = Fa
     period, by day of the month or of the week.
 
     A group holds the hours of one weekday or day of the month of one period,
-    bounded by the calendar, so exact quantiles are safe. Whiskers are the
-    extreme values inside the fences, found in a second aggregation.
+    bounded by the calendar, so its values are sorted in one array: quartiles and
+    whiskers, the extreme values inside the fences, are read from it, and the rows
+    are aggregated once.
     """
     rows = to_long(in_period(df, unit, kind, with_year), ["building_id", by]).filter(F.col("Value").isNotNull())
-    keys = ["building_id", by, "Variable"]
-    quartiles = rows.groupBy(keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile("Value", F.lit(q)).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],
-    )
+    sorted_ = rows.groupBy("building_id", by, "Variable").agg(F.array_sort(F.collect_list("Value")).alias("_values"))
+
+    def quantile(share: float) -> Column:
+        place = (F.size("_values") - 1) * share
+        low = F.get("_values", F.floor(place).cast("int"))
+        return low + (F.get("_values", F.ceil(place).cast("int")) - low) * (place - F.floor(place))
+
+    boxes = sorted_.withColumns({"q1": quantile(0.25), "median": quantile(0.5), "q3": quantile(0.75)})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    inside = F.col("Value").between(F.col("q1") - reach, F.col("q3") + reach)
-    return (
-        rows.join(quartiles, keys)
-        .groupBy(*keys, "n", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col("Value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("Value"))).alias("whisker_high"),
-        )
-    )
+    inside = F.filter("_values", lambda v: v.between(F.col("q1") - reach, F.col("q3") + reach))
+    return boxes.select(
+        "building_id", by, "Variable", F.size("_values").cast("long").alias("n"), "q1", "median", "q3",
+        F.array_min(inside).alias("whisker_low"), F.array_max(inside).alias("whisker_high"))

@@ -32,12 +32,12 @@ def score_readings(df: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def residual_stats(
-    df: DataFrame, keys: list[str] = ["building_id"], threshold: float = Z95, ddof: int = 0
+    df: DataFrame, keys: list[str] | tuple[str, ...] = ("building_id",), threshold: float = Z95, ddof: int = 0
 ) -> DataFrame:
     """Mean, standard deviation and threshold of the residuals of each group."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
     r = F.col("Power_residuals")
-    return df.groupBy(keys).agg(
+    return df.groupBy(*keys).agg(
         F.count(r).alias("n_residuals"),
         F.avg(r).alias("mean_residual"),
         std(r).alias("std_residual"),

@@ -542,7 +542,8 @@ def d14_monthly_load(spark, sf):
 
 def _profile(kind: str) -> Query:
     def run(spark, sf):
-        return all_rounded(evaluate.hour_of_week_profile(comparison(lineitem_cal(spark, sf)), kind))
+        rows = materialise(comparison(lineitem_cal(spark, sf)), "comparison")
+        return all_rounded(evaluate.hour_of_week_profile(rows, kind))
 
     return run
 
@@ -551,7 +552,8 @@ def _boxes(unit: str, kind: str) -> Query:
     by = {"month": "DATE_day_month", "week": "DATE_day_week"}[unit]
 
     def run(spark, sf):
-        return all_rounded(evaluate.box_stats(comparison(lineitem_cal(spark, sf)), unit, kind, by))
+        rows = materialise(comparison(lineitem_cal(spark, sf)), "comparison")
+        return all_rounded(evaluate.box_stats(rows, unit, kind, by))
 
     return run
 
