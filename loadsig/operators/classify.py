@@ -103,7 +103,11 @@ def stratified_split(days: DataFrame, test_share: float = TEST_SHARE, seed: int
 # --- growing the tree ---------------------------------------------------------
 
 def _gini(counts: list[Column], n: Column) -> Column:
-    square = sum((c * c for c in counts[1:]), counts[0] * counts[0])
+    return _impurity(sum((c * c for c in counts[1:]), counts[0] * counts[0]), n)
+
+
+def _impurity(square: Column, n: Column) -> Column:
+    """Gini impurity from the sum of the squared class counts."""
     return F.lit(1.0) - F.try_divide(square.cast("double"), (n * n).cast("double"))
 
 
@@ -112,30 +116,38 @@ def best_split(days: DataFrame, n_classes: int, min_leaf: int = MIN_LEAF) -> Dat
 
     Candidates lie midway between neighbouring distinct values. Equal gains go
     to the earlier feature, then the lower threshold.
+
+    The impurities need the sums of the squared class counts on both sides only.
+    Passing a value changes them by what its days change in the counts of their
+    classes, so running sums of these changes do for any number of classes.
     """
-    classes = range(n_classes)
     values = F.array(
         *[F.struct(F.lit(j).alias("feature_index"), F.col(f).cast("double").alias("value"))
           for j, f in enumerate(FEATURES)]
     )
+    keys = ["building_id", "node", "feature_index"]
+    own = Window.partitionBy(*keys, "cluster")
+    after = F.sum("c").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     counts = (
-        days.select("building_id", "node", "cluster", F.inline(values))
-        .groupBy("building_id", "node", "feature_index", "value")
-        .agg(*[F.sum((F.col("cluster") == c).cast("long")).alias(f"c{c}") for c in classes])
+        days.filter(F.col("cluster").between(0, n_classes - 1))
+        .select("building_id", "node", "cluster", F.inline(values))
+        .groupBy(*keys, "value", "cluster").agg(F.count(F.lit(1)).alias("c"))
+        .select(*keys, "value", "c", after.alias("l"), (F.sum("c").over(own) - after).alias("r"))
+        .groupBy(*keys, "value").agg(
+            F.sum("c").alias("c"), F.sum(F.col("c") * (2 * F.col("l") - F.col("c"))).alias("more"),
+            F.sum(F.col("c") * (2 * F.col("r") + F.col("c"))).alias("less"))
     )
-    feature = Window.partitionBy("building_id", "node", "feature_index")
+    feature = Window.partitionBy(*keys)
     upto = feature.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumns(
-        {f"l{c}": F.sum(f"c{c}").over(upto) for c in classes}
-        | {f"t{c}": F.sum(f"c{c}").over(feature) for c in classes}
-        | {"next_value": F.lead("value").over(feature.orderBy("value"))}
+    cum = counts.select(
+        *keys, "value", F.lead("value").over(feature.orderBy("value")).alias("next_value"),
+        F.sum("c").over(upto).alias("n_left"), F.sum("c").over(feature).alias("n"),
+        F.sum("more").over(upto).alias("square_left"), F.sum("more").over(feature).alias("square"),
+        F.sum("less").over(upto).alias("less"),
     ).filter(F.col("next_value").isNotNull())
-    left = [F.col(f"l{c}") for c in classes]
-    right = [F.col(f"t{c}") - F.col(f"l{c}") for c in classes]
-    total = [F.col(f"t{c}") for c in classes]
-    n_left, n_right = sum(left[1:], left[0]), sum(right[1:], right[0])
-    n = n_left + n_right
-    gain = _gini(total, n) - (n_left * _gini(left, n_left) + n_right * _gini(right, n_right)) / n
+    n, n_left, n_right = F.col("n"), F.col("n_left"), F.col("n") - F.col("n_left")
+    left, right = _impurity(F.col("square_left"), n_left), _impurity(F.col("square") - F.col("less"), n_right)
+    gain = _impurity(F.col("square"), n) - (n_left * left + n_right * right) / n
     name = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature_index") + 1)
     scored = cum.filter((n_left >= min_leaf) & (n_right >= min_leaf)).select(
         "building_id", "node", "feature_index", name.alias("feature"),

@@ -824,6 +824,13 @@ def m8_best_split(spark, sf):
     return all_rounded(classify.best_split(rows, 3))
 
 
+@query
+def m8_best_split_many_types(spark, sf):
+    """The same with thirty day types."""
+    rows = feature_days(spark, sf).withColumns({"node": F.lit(1), "cluster": stand_in_type(30)})
+    return all_rounded(classify.best_split(rows, 30, min_leaf=2))
+
+
 @query
 def m8_fit_tree(spark, sf):
     tree = classify.fit_tree(feature_days(spark, sf), n_classes=3)

@@ -261,14 +261,15 @@ SPLIT = {
 }
 
 
-def split_sql(depth: int) -> dict[str, str]:
+def split_sql(depth: int, n_types: int = 3, least: int = 5) -> dict[str, str]:
     """Best split of every node of the days in table ``t<depth>``."""
     d = depth
     unpivoted = "\n  UNION ALL ".join(
         f"""SELECT building_id, node, cluster, {j} AS fi, '{f}' AS feature, CAST("{f}" AS DOUBLE) AS val FROM t{d}""" for j, f in enumerate(FEATURES))
-    counts = ", ".join(f"count(*) FILTER (u.cluster = {c} AND u.val <= v.val) AS l{c}, count(*) FILTER (u.cluster = {c} AND u.val > v.val) AS r{c}" for c in range(3))
-    sq = {side: " + ".join(f"{side}{c} * {side}{c}" for c in range(3)) for side in "lr"}
-    both = " + ".join(f"(l{c} + r{c}) * (l{c} + r{c})" for c in range(3))
+    counts = ", ".join(f"count(*) FILTER (u.cluster = {c} AND u.val <= v.val) AS l{c}, count(*) FILTER (u.cluster = {c} AND u.val > v.val) AS r{c}" for c in range(n_types))
+    sq = {side: " + ".join(f"{side}{c} * {side}{c}" for c in range(n_types)) for side in "lr"}
+    total = {side: " + ".join(f"{side}{c}" for c in range(n_types)) for side in "lr"}
+    both = " + ".join(f"(l{c} + r{c}) * (l{c} + r{c})" for c in range(n_types))
     return {
         f"u{d}": unpivoted,
         f"v{d}": f"""SELECT building_id, node, fi, feature, val, lead(val) OVER (PARTITION BY building_id, node, fi ORDER BY val) AS nxt
@@ -277,7 +278,7 @@ def split_sql(depth: int) -> dict[str, str]:
   FROM v{d} v JOIN u{d} u ON u.building_id = v.building_id AND u.node = v.node AND u.fi = v.fi WHERE v.nxt IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6""",
         f"g{d}": f"""
   SELECT *, (1 - ({both}) / ((nl + nr) * (nl + nr))) - (nl * (1 - ({sq['l']}) / (nl * nl)) + nr * (1 - ({sq['r']}) / (nr * nr))) / (nl + nr) AS gain
-  FROM (SELECT *, l0 + l1 + l2 AS nl, r0 + r1 + r2 AS nr, (val + nxt) / 2.0E0 AS threshold FROM lr{d}) WHERE nl >= 5 AND nr >= 5""",
+  FROM (SELECT *, {total['l']} AS nl, {total['r']} AS nr, (val + nxt) / 2.0E0 AS threshold FROM lr{d}) WHERE nl >= {least} AND nr >= {least}""",
         f"best{d}": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY building_id, node ORDER BY round(gain, 9) DESC, fi, threshold) AS rn FROM g{d}) WHERE rn = 1""",
     }
 
@@ -644,6 +645,8 @@ USING (building_id)""", *ev_unit, WSS, SILHOUETTE)
     add("m7_stratified_split", """SELECT building_id, "DATE_YYYY_MM_DD", cluster, is_test FROM split""", *ev_days, SPLIT)
     add("m8_best_split", """SELECT building_id, node, feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain, nl AS n_left, nr AS n_right
 FROM best0""", *ev_days, {"t0": "SELECT *, 1 AS node FROM fd"}, split_sql(0))
+    add("m8_best_split_many_types", """SELECT building_id, node, feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain, nl AS n_left, nr AS n_right
+FROM best0""", *ev_days, {"t0": """SELECT * REPLACE ("DATE_day_year" % 30 AS cluster), 1 AS node FROM fd"""}, split_sql(0, 30, 2))
     tree = tree_sql()
     columns = """node, depth, feature, round(threshold, 6) AS threshold, n_days, round(impurity, 6) AS impurity, counts, prediction, is_leaf"""
     add("m8_fit_tree", f"SELECT building_id, {columns} FROM tree", *ev_days, tree)
