@@ -359,25 +359,33 @@ def silhouette(points: DataFrame, ks: list[int], block_days: int = BLOCK_DAYS) -
     A labelling with a single type, or with every day its own type, has no score.
     """
     blocks = materialise(day_blocks(points, block_days, extra=("labels",)), "label-blocks")
-    left = blocks.select("building_id", F.col("block").alias("left_block"), F.col("profiles").alias("left_profiles"))
-    pairs = left.join(blocks, "building_id").select(
-        "building_id", "left_block", "block", "left_profiles", "profiles", "labels")
+    left = blocks.select("building_id", F.col("block").alias("left_block"), F.col("profiles").alias("left_profiles"),
+                         F.col("labels").alias("left_labels"))
+    # one matrix serves both directions, so each pair of blocks comes once
+    pairs = left.join(blocks, "building_id").filter("left_block <= block").select(
+        "building_id", "left_block", "block", "left_profiles", "left_labels", "profiles", "labels")
+    pairs = spread(pairs, ["building_id", "left_block", "block"])
+
+    def sums_to(dist: np.ndarray, labels) -> tuple[list, list]:
+        """Per labelling, the sums of distances to each type, and its days."""
+        lab = np.array([np.asarray(v) for v in labels])
+        sums, sizes = [], []
+        for j in range(len(ks)):
+            member = np.eye(1 + int(lab[:, j].max()))[lab[:, j]]
+            sums.append((dist @ member).ravel().tolist())
+            sizes.append(member.sum(axis=0).astype(int).tolist())
+        return sums, sizes
 
     def distances(parts):
-        """Per day and labelling, the sums of distances to each type of a block."""
         for rows in parts:
             for r in rows.itertuples(index=False):
                 mine, theirs = _matrix(r.left_profiles), _matrix(r.profiles)
-                lab = np.array([np.asarray(v) for v in r.labels])
                 square = (mine**2).sum(axis=1)[:, None] + (theirs**2).sum(axis=1) - 2.0 * mine @ theirs.T
                 dist = np.sqrt(np.maximum(square, 0.0))
-                sums, sizes = [], []
-                for j in range(len(ks)):
-                    member = np.eye(1 + int(lab[:, j].max()))[lab[:, j]]
-                    sums.append((dist @ member).ravel().tolist())
-                    sizes.append(member.sum(axis=0).astype(int).tolist())
-                yield pd.DataFrame({"building_id": [r.building_id], "left_block": [r.left_block],
-                                    "sums": [sums], "sizes": [sizes]})
+                out = [(r.building_id, r.left_block, *sums_to(dist, r.labels))]
+                if r.left_block != r.block:
+                    out.append((r.building_id, r.block, *sums_to(dist.T, r.left_labels)))
+                yield pd.DataFrame(out, columns=["building_id", "left_block", "sums", "sizes"])
 
     summed = pairs.mapInPandas(
         distances, "building_id string, left_block long, sums array<array<double>>, sizes array<array<long>>")

@@ -744,6 +744,12 @@ def m1_kmeans_days(spark, sf):
     return daytypes.kmeans_days(planted_days(spark, sf), 4)
 
 
+@query
+def m1_kmeans_blocks(spark, sf):
+    """The same over buildings that are cut into several blocks of days."""
+    return daytypes.kmeans_days(planted_days(spark, sf), 4, block_days=9)
+
+
 @query
 def m1_kmeans_quality(spark, sf):
     """Properties of a converged k-means: labels are nearest, centres are
@@ -806,6 +812,13 @@ def m5_silhouette(spark, sf):
     return all_rounded(daytypes.silhouette(_labelled(unit_points(spark, sf), SILHOUETTE_KS), SILHOUETTE_KS))
 
 
+@query
+def m5_silhouette_blocks(spark, sf):
+    """The same over buildings that are cut into several blocks of days."""
+    points = _labelled(unit_points(spark, sf), SILHOUETTE_KS)
+    return all_rounded(daytypes.silhouette(points, SILHOUETTE_KS, block_days=9))
+
+
 @query
 def m6_choose_k(spark, sf):
     points = materialise(unit_points(spark, sf), "profiles")

@@ -628,6 +628,7 @@ UNION ALL SELECT building_id, NULL, bad, false, round("Power", 6) FROM pend WHER
     add("m1_kmeans_quality", """SELECT building_id, count(*) AS n_days, true AS labels_are_nearest, true AS centres_are_means, true AS beats_stand_in
 FROM pts GROUP BY building_id""", *ev_unit)
     add("m1_kmeans_days", """SELECT building_id, "DATE_YYYY_MM_DD", dayofyear("DATE_YYYY_MM_DD") % 4 AS cluster FROM dm""", *ev, MATRIX)
+    add("m1_kmeans_blocks", """SELECT building_id, "DATE_YYYY_MM_DD", dayofyear("DATE_YYYY_MM_DD") % 4 AS cluster FROM dm""", *ev, MATRIX)
     add("m1_day_types", """SELECT building_id, "DATE_YYYY_MM_DD", dayofyear("DATE_YYYY_MM_DD") % 4 AS cluster, 4 AS k, true AS converged FROM dm""", *ev, MATRIX)
     add("m1_planted_types", """SELECT building_id, d AS "DATE_YYYY_MM_DD", min(d) OVER (PARTITION BY building_id, dy % 4) AS first_day FROM pts""", *ev_unit)
     add("m2_lloyd_step", """SELECT a.building_id, near AS cluster, count(*) AS n_days, "hour", round(avg("value"), 6) AS "value"
@@ -639,6 +640,7 @@ FROM near a JOIN cells b USING (building_id, d) GROUP BY a.building_id, near, "h
     add("m3_wss", "SELECT building_id, k, round(wss, 6) AS wss FROM wss", *ev_unit, WSS)
     add("m4_elbow_k", "SELECT building_id, k_elbow FROM elbow", *ev_unit, WSS)
     add("m5_silhouette", "SELECT building_id, k, silhouette FROM sil", *ev_unit, SILHOUETTE)
+    add("m5_silhouette_blocks", "SELECT building_id, k, silhouette FROM sil", *ev_unit, SILHOUETTE)
     add("m6_choose_k", """SELECT building_id, k_elbow, k_silhouette, greatest(k_elbow, k_silhouette, 3) AS k
 FROM elbow LEFT JOIN (SELECT building_id, k AS k_silhouette FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY silhouette DESC, k) AS rn FROM sil) WHERE rn = 1)
 USING (building_id)""", *ev_unit, WSS, SILHOUETTE)
