@@ -881,28 +881,24 @@ def p1_predict_load_daily(spark, sf):
     return all_rounded(scoring.predict_load_daily(days, fixed_tree(days), _pred_params(spark, sf)))
 
 
-def _deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    """Readings and a folder of their deliveries: out of order, some without a
-    time, some twice in a file with another power, some again in later files."""
-    base = materialise(lost_times(events_readings(spark, sf)), "arrivals")
-    folder = scratch_path(spark, "deliveries")
-    timed = base.filter("DATE IS NOT NULL")
-    same_file = timed.filter(F.hour("DATE") % 11 == 5).withColumn("Power", F.col("Power") - 1.0)
-    later = timed.filter(F.hour("DATE") % 7 == 0).withColumn("Power", F.col("Power") + 5.0)
-    base.unionByName(same_file).repartition(6, F.xxhash64("building_id", "DATE") % 6).write.parquet(folder)
-    later.repartition(2).write.mode("append").parquet(folder)
-    return base, folder
-
-
 def _streamed(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    base, folder = _deliveries(spark, sf)
+    """The stream over two deliveries, the second with a run that restarts from
+    the log of the first: rows out of order, some without a time, some twice in a
+    file with another power, some again later."""
+    base = materialise(lost_times(events_readings(spark, sf)), "arrivals")
     cal = add_calendar(base)
     params = materialise(hour_params(cal), "params")
     stats = materialise(outliers.residual_stats(outliers.score_readings(cal, params)), "moments")
-    arriving = streaming.read_reading_stream(spark, folder, base.schema, files_per_batch=3)
-    out, log = scratch_path(spark, "scored"), scratch_path(spark, "stream-log")
-    result = streaming.score_stream(arriving, params, stats)
-    streaming.run_available(result, out, log)
+    timed = base.filter("DATE IS NOT NULL")
+    same_file = timed.filter(F.hour("DATE") % 11 == 5).withColumn("Power", F.col("Power") - 1.0)
+    later = timed.filter(F.hour("DATE") % 7 == 0).withColumn("Power", F.col("Power") + 5.0)
+    folder, out, log = (scratch_path(spark, name) for name in ("deliveries", "scored", "stream-log"))
+    first = base.unionByName(same_file).repartition(4, F.xxhash64("building_id", "DATE") % 4)
+    for delivery in (first, later.repartition(1)):
+        delivery.write.mode("append").parquet(folder)
+        arriving = streaming.read_reading_stream(spark, folder, base.schema, files_per_batch=2)
+        result = streaming.score_stream(arriving, params, stats)
+        streaming.run_available(result, out, log)
     return out, result
 
 
