@@ -30,7 +30,7 @@ Rows without text, language or id are not learned from. Whole texts are used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,6 +94,11 @@ def _pieces(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _bag(text: str) -> np.ndarray:
+    """``grams`` in the two bytes that a bucket needs; a sample of them is kept."""
+    return grams(text).astype(np.uint16)
+
+
 def _rows(bags: list[np.ndarray]) -> np.ndarray:
     return np.array([np.bincount(b, minlength=BUCKETS) / max(1, len(b)) for b in bags], np.float32)
 
@@ -109,8 +114,9 @@ class Strangeness:
         return float(below / np.sqrt(self.spread[0] + self.spread[1] / len(bag)))
 
 
-def fit_strangeness(learned: list[tuple[np.ndarray, int]], aside: list[tuple[np.ndarray, int]], table: np.ndarray) -> Strangeness:
-    """Calibrate on set-aside texts and pieces, own language and left-out ones."""
+def fit_strangeness(learned: Iterable[tuple[np.ndarray, int]], aside: list[tuple[np.ndarray, int]], table: np.ndarray) -> Strangeness:
+    """Calibrate on set-aside texts and pieces, own language and left-out ones.
+    What was learned is counted one text at a time and not kept."""
     n_langs = table.shape[1]
     count = np.full((BUCKETS, n_langs), 0.5)
     for bag, lang in learned:
@@ -155,9 +161,9 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
     bags, target = [], []
     for i in learn:
         for piece in _pieces(texts[i], rng):
-            bag = grams(piece)
+            bag = _bag(piece)
             if len(bag):
-                bags.append(bag.astype(np.uint16))
+                bags.append(bag)
                 target.append(names.index(langs[i]))
     y = np.array(target)
     weight = 1.0 / np.maximum(1, np.bincount(y, minlength=len(names)))
@@ -177,8 +183,9 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
             back = error @ out.T
             out -= rate / len(pick) * (hidden.T @ error)
             embed -= np.float32(rate * 20 / len(pick)) * (x.T @ back)
+    del bags
     table = (embed @ out).astype(np.float64)
-    held = [(grams(texts[i]), names.index(langs[i])) for i in aside]
+    held = [(_bag(texts[i]), names.index(langs[i])) for i in aside]
     logits = np.array([np.bincount(b, minlength=BUCKETS) @ table / len(b) for b, _ in held if len(b)])
     truth = np.array([t for b, t in held if len(b)])
     heats = 2.0 ** np.arange(-4, 5, 0.5)
@@ -186,8 +193,9 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
     table /= heats[int(np.argmin(loss))]
     sure = _softmax(logits / heats[int(np.argmin(loss))]).max(axis=1)
     bound = min(MOST_REJECT, float(np.quantile(sure, REJECT_SHARE, method="lower")))
-    learned = [(grams(texts[i]), names.index(langs[i])) for i in learn]
-    pieces = [(grams(p), names.index(langs[i])) for i in aside for p in _pieces(texts[i], rng)]
+    del held
+    learned = ((_bag(texts[i]), names.index(langs[i])) for i in learn)
+    pieces = [(_bag(p), names.index(langs[i])) for i in aside for p in _pieces(texts[i], rng)]
     strange = fit_strangeness(learned, [(b, t) for b, t in pieces if len(b)], table)
     return names, table, bound, strange
 
