@@ -9,7 +9,9 @@ are written in buckets by block, so they are not shuffled for that join.
 
 Only short lists travel: of each block every distinct word once, packed, and the
 numbers of its words, most frequent first, packed by byte planes. A block holds
-at most ``BLOCK_WORDS`` words, but for a single longer document.
+at most ``BLOCK_WORDS`` words, but for a single longer document. Until it is
+written its words are Arrow dictionaries, not Python strings, so that a worker
+stays small.
 
 Decoding joins ids to pieces: the vocabulary is a table of fixed size, held by
 every task, and an array of ids picks its pieces by position.
@@ -45,7 +47,8 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
 SPECIAL = "<|endoftext|>"
 
 BLOCK_WORDS = 2_000_000
-ENCODE_BATCH = 20_000
+ENCODE_BATCH = 2_000
+CODED = pa.dictionary(pa.int32(), pa.string())
 
 
 def words(text: Column) -> Column:
@@ -69,11 +72,12 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def pack_words(values: list[str]) -> bytes:
+def pack_words(values: pa.StringArray) -> bytes:
     """Strings as their byte lengths and their bytes, compressed."""
-    raw = [w.encode() for w in values]
-    sizes = pack(np.fromiter(map(len, raw), np.int64, len(raw)))
-    return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(b"".join(raw), 6)
+    sizes = pack(pc.binary_length(values).to_numpy(zero_copy_only=False))
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    raw = memoryview(values.buffers()[2] or b"")[ends[0]:ends[-1]]
+    return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(raw, 6)
 
 
 def unpack_words(data: bytes) -> pa.Array:
@@ -83,25 +87,33 @@ def unpack_words(data: bytes) -> pa.Array:
 
 
 def word_bucket(values: pa.Array, buckets: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % buckets for w in values.to_pylist()), np.int64, len(values))
-
-
-def _block_rows(block: str, texts: list, codes: list[np.ndarray], lists: dict[str, int], buckets: int):
-    """Rows of a finished block: its documents and its word lists."""
-    seen = np.zeros(len(lists), np.int64)
-    for c in codes:
-        np.add.at(seen, c, 1)
+    found = np.empty(len(values), np.int64)
+    for at in range(0, len(values), ENCODE_BATCH):
+        part = values.slice(at, ENCODE_BATCH).to_pylist()
+        found[at:at + len(part)] = [zlib.crc32(w.encode()) % buckets for w in part]
+    return found
+
+
+def _block_rows(block: str, texts: list, sizes: list[int], pieces: list[pa.DictionaryArray], buckets: int):
+    """Rows of a finished block: its documents, which have ``sizes`` words each,
+    and its word lists."""
+    pieces = pa.chunked_array(pieces, CODED).unify_dictionaries().chunks
+    names = pieces[0].dictionary if pieces else pa.array([], pa.string())
+    seen = np.zeros(len(names), np.int64)
+    for p in pieces:
+        seen += np.bincount(p.indices.to_numpy(), minlength=len(names))
     order = np.argsort(-seen, kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    names = pa.array(list(lists), pa.string())
-    rows = [(block, None, row, pack(number[c]), None) for row, c in zip(texts, codes)]
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    codes = np.concatenate([np.empty(0, np.uint32), *(number[p.indices.to_numpy()] for p in pieces)])
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    rows = [(block, None, row, pack(codes[end - n:end]), None) for row, n, end in zip(texts, sizes, ends)]
     if len(names):
         bucket = word_bucket(names, buckets)
         for b in np.unique(bucket):
             at = np.flatnonzero(bucket == b)
             at = at[np.argsort(number[at])]
-            rows.append((block, int(b), None, pack(number[at]), pack_words(names.take(pa.array(at)).to_pylist())))
+            rows.append((block, int(b), None, pack(number[at]), pack_words(names.take(pa.array(at)))))
     return rows
 
 
@@ -119,23 +131,19 @@ def _code_blocks(row_type: pa.DataType, buckets: int, block_words: int):
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
-        rows, codes, lists, total = [], [], {}, 0
+        rows, sizes, pieces, total = [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 found = piece.column("_bpe_words")
-                coded = pc.dictionary_encode(found.flatten())
-                local = coded.dictionary.to_pylist()
-                to_block = np.fromiter((lists.setdefault(w, len(lists)) for w in local), np.int32, len(local))
-                flat = to_block[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32)
-                ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64))
-                codes += np.split(flat, ends[:-1]) if len(ends) else []
+                pieces.append(pc.dictionary_encode(found.flatten()))
+                sizes += pc.list_value_length(found).to_pylist()
                 rows += piece.column("_bpe_row").to_pylist()
-                total += len(flat)
+                total += len(pieces[-1])
                 if total >= block_words:
-                    yield from table_of(_block_rows(f"{part}-{done}", rows, codes, lists, buckets))
-                    rows, codes, lists, total, done = [], [], {}, 0, done + 1
-        yield from table_of(_block_rows(f"{part}-{done}", rows, codes, lists, buckets))
+                    yield from table_of(_block_rows(f"{part}-{done}", rows, sizes, pieces, buckets))
+                    rows, sizes, pieces, total, done = [], [], [], 0, done + 1
+        yield from table_of(_block_rows(f"{part}-{done}", rows, sizes, pieces, buckets))
 
     return run
 
@@ -159,11 +167,13 @@ def _encode_words(vocabulary: str):
         tokenizer = _load(vocabulary)
         lists = [unpack_words(w) for w in rows["words"]]
         coded = pc.dictionary_encode(pa.concat_arrays(lists))
-        distinct, ids = coded.dictionary.to_pylist(), []
-        for at in range(0, len(distinct), ENCODE_BATCH):
-            ids += [e.ids for e in tokenizer.encode_batch(distinct[at:at + ENCODE_BATCH], add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.int64, int(length.sum()))
+        sizes, parts = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for at in range(0, len(coded.dictionary), ENCODE_BATCH):
+            part = coded.dictionary.slice(at, ENCODE_BATCH).to_pylist()
+            ids = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            parts.append(np.fromiter((i for word in ids for i in word), np.int32, int(sizes[-1].sum())))
+        length, flat = np.concatenate(sizes), np.concatenate(parts)
         start = np.cumsum(length) - length
         index, at, out = coded.indices.to_numpy(), 0, []
         for block, numbers, words_ in zip(rows["block"], rows["codes"], lists):

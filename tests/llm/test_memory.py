@@ -1,10 +1,13 @@
 """Memory of the Python workers, and the results that must not change with it."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 
-from loadsig.llm import langid
+from loadsig.llm import bpe, langid
 
 
 def peak_of(run):
@@ -31,3 +34,25 @@ def test_language_fit_keeps_two_bytes_a_gram():
     assert names == ["aa", "bb"] and np.isfinite(strange.limit)
     assert all(names[int((np.bincount(langid.grams(t), minlength=langid.BUCKETS) @ table).argmax())] == lang
                for t, lang in zip(texts, langs))
+
+
+def test_block_of_distinct_words_is_not_python_strings(monkeypatch):
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 7))
+    n, docs = 200_000, 500
+    words = [f" w{i}" for i in range(n)] + [" w5"] * n
+    texts = [words[i::docs] for i in range(docs)] + [[]]
+    row = pa.struct([("doc_id", pa.int64())])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([{"doc_id": i} for i in range(len(texts))], row), pa.array(texts, pa.list_(pa.string()))],
+        names=["_bpe_row", "_bpe_words"])
+    out, peak = peak_of(lambda: list(bpe._code_blocks(row, 16, 10 * n)(iter([batch]))))
+    assert peak < 60 * n
+    rows = [r for b in out for r in b.to_pylist()]
+    named = {}
+    for r in rows:
+        if r["words"] is not None:
+            found = bpe.unpack_words(r["words"])
+            assert set(bpe.word_bucket(found, 16)) == {r["bucket"]}
+            named |= dict(zip(bpe.unpack(r["codes"]).tolist(), found.to_pylist()))
+    assert len(named) == n and named[0] == " w5"
+    assert [[named[c] for c in bpe.unpack(r["codes"]).tolist()] for r in rows if r["row"] is not None] == texts
