@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadsig.llm.shared import bounded_batches, bucketed
+from loadsig.llm.shared import bounded_batches, bucketed, give_back, lean
 
 # The pattern that byte-level BPE splits text by, its white space
 # written out, and the special token.
@@ -96,16 +96,21 @@ def word_bucket(values: pa.Array, buckets: int) -> np.ndarray:
 
 def _block_rows(block: str, texts: list, sizes: list[int], pieces: list[pa.DictionaryArray], buckets: int):
     """Rows of a finished block: its documents, which have ``sizes`` words each,
-    and its word lists."""
-    pieces = pa.chunked_array(pieces, CODED).unify_dictionaries().chunks
-    names = pieces[0].dictionary if pieces else pa.array([], pa.string())
+    and its word lists. ``pieces`` are taken out of their list."""
+    unified = pa.chunked_array(pieces, CODED).unify_dictionaries().chunks
+    pieces.clear()
+    names = unified[0].dictionary if unified else pa.array([], pa.string())
     seen = np.zeros(len(names), np.int64)
-    for p in pieces:
+    for p in unified:
         seen += np.bincount(p.indices.to_numpy(), minlength=len(names))
     order = np.argsort(-seen, kind="stable")
     number = np.empty(len(order), np.uint32)
     number[order] = np.arange(len(order), dtype=np.uint32)
-    codes = np.concatenate([np.empty(0, np.uint32), *(number[p.indices.to_numpy()] for p in pieces)])
+    codes, done = np.empty(sum(map(len, unified)), np.uint32), 0
+    while unified:
+        p = unified.pop(0)
+        codes[done:done + len(p)] = number[p.indices.to_numpy()]
+        done += len(p)
     ends = np.cumsum(sizes, dtype=np.int64).tolist()
     rows = [(block, None, row, pack(codes[end - n:end]), None) for row, n, end in zip(texts, sizes, ends)]
     if len(names):
@@ -145,7 +150,7 @@ def _code_blocks(row_type: pa.DataType, buckets: int, block_words: int):
                     rows, sizes, pieces, total, done = [], [], [], 0, done + 1
         yield from table_of(_block_rows(f"{part}-{done}", rows, sizes, pieces, buckets))
 
-    return run
+    return lambda batches: lean(run(batches))
 
 
 @functools.lru_cache(maxsize=1)
@@ -160,7 +165,7 @@ def _load(vocabulary: str):
 
 def _encode_words(vocabulary: str):
     """Encode the distinct words of one bucket once; give every block its own."""
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def encoded(rows: pd.DataFrame) -> pd.DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -182,6 +187,12 @@ def _encode_words(vocabulary: str):
             out.append((block, numbers, pack(length[mine]), pack(_gather(flat, start[mine], length[mine]))))
         return pd.DataFrame(out, columns=["block", "numbers", "lengths", "ids"])
 
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return encoded(rows)
+        finally:
+            give_back()
+
     return run
 
 
@@ -265,8 +276,11 @@ def _joiner(columns: list[tuple[str, pa.DataType]], pieces: list[bytes] | None):
     run = _ids_by_position(schema, pieces)
 
     def join(docs: pa.Table, words_: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(
-            list(run(iter(docs.to_batches()), iter(words_.to_batches()))), schema=schema)
+        try:
+            return pa.Table.from_batches(
+                list(run(iter(docs.to_batches()), iter(words_.to_batches()))), schema=schema)
+        finally:
+            give_back()
 
     return join
 

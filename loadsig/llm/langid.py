@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import bounded_batches, lowest
+from loadsig.llm.shared import bounded_batches, give_back, lean, lowest
 from loadsig.session import materialise
 
 UNDETERMINED = "und"
@@ -99,8 +99,18 @@ def _bag(text: str) -> np.ndarray:
     return grams(text).astype(np.uint16)
 
 
-def _rows(bags: list[np.ndarray]) -> np.ndarray:
-    return np.array([np.bincount(b, minlength=BUCKETS) / max(1, len(b)) for b in bags], np.float32)
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text, each once, and how often: what a fit keeps."""
+    count = np.bincount(grams(text), minlength=BUCKETS)
+    at = np.flatnonzero(count)
+    return at.astype(np.uint16), count[at].astype(np.min_scalar_type(count.max()))
+
+
+def _rows(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(counted), BUCKETS), np.float32)
+    for row, (at, n) in zip(out, counted):
+        row[at] = n / n.sum()
+    return out
 
 
 class Strangeness:
@@ -161,8 +171,8 @@ def fit_softmax(texts: list[str], langs: list[str], seed: int = 10):
     bags, target = [], []
     for i in learn:
         for piece in _pieces(texts[i], rng):
-            bag = _bag(piece)
-            if len(bag):
+            bag = _counted(piece)
+            if len(bag[0]):
                 bags.append(bag)
                 target.append(names.index(langs[i]))
     y = np.array(target)
@@ -215,7 +225,7 @@ def sample_labelled(docs: DataFrame, may_learn: Column, per_language: int = PER_
 
 def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE):
     """Fit on the bounded sample in one task; None if nothing is labelled."""
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+    def model_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "lang", "text"], kind="stable")
         names, table, bound, strange = fit_softmax(rows["text"].tolist(), rows["lang"].tolist())
         return pd.DataFrame({
@@ -223,6 +233,12 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE):
             "log_share": [strange.log_share.astype("<f4").tobytes()], "centre": [strange.centre.tolist()],
             "spread": [list(strange.spread)], "limit": [strange.limit]})
 
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return model_of(rows)
+        finally:
+            give_back()
+
     sample = sample_labelled(docs, may_learn, per_language).filter(F.col("text").rlike(r"\p{L}"))
     row = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, _MODEL).first()
     if row is None:
@@ -237,8 +253,7 @@ def language_of(model, text: Column) -> Column:
     """Struct ``(lang_pred, score, accepted)`` of a text column."""
     names, table, bound, strange = model or ([], np.zeros((BUCKETS, 0)), 0.0, None)
 
-    @F.pandas_udf(RESULT)
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             out = []
             for text in texts:
@@ -252,6 +267,10 @@ def language_of(model, text: Column) -> Column:
                 out.append((names[best], float(p[best]), bool(known)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
 
+    @F.pandas_udf(RESULT)
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from lean(predicted(parts))
+
     return predict(text)
 
 

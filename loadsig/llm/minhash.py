@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadsig.llm.shared import bounded_batches, components, with_own_names
+from loadsig.llm.shared import bounded_batches, components, lean, with_own_names
 from loadsig.session import materialise
 
 SHINGLE, PERCENT = 5, 80
@@ -136,7 +136,7 @@ def _signatures(shingle: int):
                 [pa.array([row[i] for row in out], field.type) for i, field in enumerate(schema)], schema=schema
             )
 
-    return run
+    return lambda batches: lean(run(batches))
 
 
 def _sets(shingle: int):
@@ -153,7 +153,7 @@ def _sets(shingle: int):
                     schema=schema,
                 )
 
-    return run
+    return lambda batches: lean(run(batches))
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
