@@ -23,6 +23,7 @@ from loadsig.functions.signature import PARAMETERS
 from loadsig.operators import certify
 
 WIDE_FACTOR = 4.0
+CANDIDATE_WORK = 1 << 15  # candidates times readings per step
 
 
 def fit_bounds(df: DataFrame, keys: list[str], bounds: str = "reference") -> DataFrame:
@@ -109,16 +110,17 @@ def candidate_losses(theta: np.ndarray, t: np.ndarray, i: np.ndarray, p: np.ndar
     blind = np.isnan(t) | np.isnan(i)
     without = millionths(p[blind]).sum()
     t, i, p = t[~blind], i[~blind], p[~blind]
-    out = np.empty(len(theta))
-    floor_error = {m: millionths(max(m, 0.0) - p) for m in np.unique(theta[:, 3])}
-    for at in range(0, len(theta), levels):
-        s_temp, s_irrad, intercept = theta[at, :3]
-        line = intercept + s_temp * t + s_irrad * i
-        line_error = millionths(np.maximum(line, 0.0) - p)
-        for j in range(at, at + levels):
-            m = theta[j, 3]
-            out[j] = (np.where(line > m, line_error, floor_error[m]).sum() + without) / 1e6
-    return out
+    lines, (minima, which) = theta[::levels, :3, None], np.unique(theta[:, 3], return_inverse=True)
+    total = np.zeros((len(lines), levels))
+    step = max(1, CANDIDATE_WORK // len(theta))
+    for at in range(0, len(p), step):
+        power = p[at:at + step]
+        line = lines[:, 2] + lines[:, 0] * t[at:at + step] + lines[:, 1] * i[at:at + step]
+        line_error = millionths(np.maximum(line, 0.0) - power)
+        floor_error = millionths(np.maximum(minima, 0.0)[:, None] - power)[which].reshape(*total.shape, -1)
+        over = line[:, None] > theta[:, 3].reshape(*total.shape, 1)
+        total += np.where(over, line_error[:, None], floor_error).sum(axis=2)
+    return (total.ravel() + without) / 1e6
 
 
 def best_candidate(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,7 +29,12 @@ def _weather(df: DataFrame) -> DataFrame:
 
 def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums of ``events``, one building per event type and block of 150
-    users. Hours without events are kept as rows with null power."""
+    users. Hours without events are kept as rows with null power.
+
+    A building's hours are made from its first and last one, so Spark sees a tiny
+    table where there may be millions of rows. The hint keeps it from sending them
+    all through the driver as a broadcast.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     power = (
         events.select(
@@ -42,7 +47,7 @@ def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     span = power.groupBy("building_id").agg(F.min("DATE").alias("lo"), F.max("DATE").alias("hi"))
     hours = span.select("building_id", F.explode(F.expr("sequence(lo, hi, INTERVAL 1 HOUR)")).alias("DATE"))
-    return _weather(hours.join(power, ["building_id", "DATE"], "left"))
+    return _weather(hours.hint("merge").join(power, ["building_id", "DATE"], "left"))
 
 
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:

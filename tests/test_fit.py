@@ -1,16 +1,19 @@
 """The fit against known truth, coarse candidates and special groups."""
 
+import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from builders import reading, readings
+from builders import START, reading, readings
 from loadsig.functions.calendar import add_calendar
 from loadsig.operators import certify
-from loadsig.operators.fit import best_candidate, fit_bounds, fit_changepoint, score_candidates
+from loadsig.operators.fit import best_candidate, candidate_fractions, candidate_losses, fit_bounds, fit_changepoint, score_candidates
+from loadsig.sources.fixtures import events_readings
 
 KEY = ["building_id", "DATE_hour_week"]
 
@@ -128,3 +131,28 @@ def test_outliers_do_not_move_the_fit():
     lower, upper = np.array([-p.max() / np.ptp(t), -p.max() / i.max(), 0, 0]), np.array([0, 0, p.max(), p.max()])
     best, loss, _ = certify.solve(t, i, p, lower, upper)
     assert best == pytest.approx([-1.5, -0.03, 90.0, 45.0], abs=1e-3) and loss == pytest.approx(180.0, abs=0.01)
+
+
+def test_hours_of_a_building_are_no_broadcast(spark, tmp_path):
+    """Two events a building make 4,000 hours: Spark takes them for a tiny table."""
+    events = [(u, START + dt.timedelta(hours=h), "view", 2.0) for u in range(0, 1500, 150) for h in (0, 3999)]
+    events += [(0, None, "view", 1.0), (None, START, "view", 1.0)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(events, "user_id bigint, ts timestamp_ntz, event_type string, value double").write.parquet(path)
+    rows = add_calendar(events_readings(spark, str(tmp_path)))
+    scores = score_candidates(rows, fit_bounds(rows, KEY), KEY)
+    assert len(scores.collect()) == 81 * (2 * 10 + 1)
+    final = scores._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.findall(r"(\w+)Join \[building_id#\d+, DATE#\d+\]", final) == ["SortMerge"] * 2
+    assert rows.count() == 40_001
+
+
+@pytest.mark.parametrize("n", [0, 1, 52, 2000])
+def test_candidate_losses_are_those_of_each_candidate(n):
+    rng = np.random.default_rng(n)
+    t, i, p = rng.uniform(-10, 30, n), rng.uniform(0, 600, n), rng.uniform(-5, 100, n)
+    t[::9], i[::13] = np.nan, np.nan
+    theta = np.array([c[1:] for c in candidate_fractions(3)]) * np.array([-3.0, -0.2, 100.0, 100.0])
+    fitted = np.maximum(np.maximum(theta[:, 2:3] + theta[:, :1] * t + theta[:, 1:2] * i, theta[:, 3:]), 0.0)
+    millionths = np.floor(np.abs(np.where(np.isnan(t) | np.isnan(i), 0.0, fitted) - p) * 1e6 + 0.5)
+    assert (candidate_losses(theta, t, i, p, 3) == millionths.sum(axis=1) / 1e6).all()
