@@ -2,9 +2,9 @@
 
 The loss is the sum of absolute residuals, minimised inside bounds that follow
 from the group's own range. The relational part (bounds, scoring a coarse set
-of candidates, picking the best) uses built-in functions. The full fit is one
-grouped map: Spark shuffles the readings once by group and each task searches the
-box of a group by branch and bound with numpy (``certify.py``). It is
+of candidates, picking the best) uses built-in functions. For the full fit Spark
+shuffles the readings once by group and each task searches the
+boxes of its groups by branch and bound with numpy (``certify.py``). It is
 deterministic, and every fit comes with a proven lower bound of the loss.
 
 Groups are bounded by the calendar: one building has at most 53 readings a year
@@ -13,17 +13,21 @@ for an hour of the week and 366 for an hour of a day type.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loadsig.functions.signature import PARAMETERS
 from loadsig.operators import certify
 
 WIDE_FACTOR = 4.0
 CANDIDATE_WORK = 1 << 15  # candidates times readings per step
+GROUPS = 256  # groups whose results are kept as Python objects at a time
 
 
 def fit_bounds(df: DataFrame, keys: list[str], bounds: str = "reference") -> DataFrame:
@@ -84,21 +88,16 @@ def score_candidates(df: DataFrame, bounds: DataFrame, keys: list[str], levels:
         [df.schema[k] for k in keys] + [T.StructField("candidate", T.IntegerType())]
         + [T.StructField(name, T.DoubleType()) for name in ["loss", *PARAMETERS]])
     share = np.array([c[1:] for c in candidate_fractions(levels)])
+    number = list(range(len(share)))
 
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        t, i, p = (_column(table, c) for c in ("Temperature", "Solar_Irradiation", "Power"))
-        limit = [table.column(c)[0].as_py() for c in edges]
-        if None in limit:
-            loss, theta = [None] * len(share), [[None] * len(share)] * 4
-        else:
-            theta = share * np.array(limit) + 0.0
-            loss, theta = candidate_losses(theta, t, i, p, levels), theta.T
-        fields = [*(table.schema.field(k) for k in keys), pa.field("candidate", pa.int32()),
-                  *(pa.field(n, pa.float64()) for n in ["loss", *PARAMETERS])]
-        columns = [*([k.as_py()] * len(share) for k in key), np.arange(len(share), dtype=np.int32), loss, *theta]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
+    def score(t: np.ndarray, i: np.ndarray, p: np.ndarray, *limits: np.ndarray) -> list[list]:
+        limit = np.array([v[0] for v in limits])
+        if np.isnan(limit).any():
+            return [number, *[[None] * len(share)] * 5]
+        theta = share * limit + 0.0
+        return [number, candidate_losses(theta, t, i, p, levels).tolist(), *theta.T.tolist()]
 
-    return rows.groupBy(keys).applyInArrow(score, schema)
+    return map_groups(rows.sortWithinPartitions(*keys), keys, ["Temperature", "Solar_Irradiation", "Power", *edges], score, schema)
 
 
 def candidate_losses(theta: np.ndarray, t: np.ndarray, i: np.ndarray, p: np.ndarray, levels: int) -> np.ndarray:
@@ -148,24 +147,64 @@ def fit_changepoint(df: DataFrame, keys: list[str], bounds: str = "reference", e
         + [T.StructField("n_rows", T.LongType()), T.StructField("status", T.StringType())]
     )
 
-    def fit_group(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("DATE")
-        t, i, p = (_column(table, c) for c in ("Temperature", "Solar_Irradiation", "Power"))
+    def fit_group(t: np.ndarray, i: np.ndarray, p: np.ndarray) -> list[list]:
         params, loss, bound, status = fit_arrays(t, i, p, wide, effort)
-        values = [k.as_py() for k in key] + list(params) + [loss, bound, table.num_rows, status]
-        fields = [table.schema.field(k) for k in keys] + [
-            *(pa.field(n, pa.float64()) for n in [*PARAMETERS, "loss", "bound"]),
-            pa.field("n_rows", pa.int64()), pa.field("status", pa.string()),
-        ]
-        return pa.table([pa.array([v], f.type) for v, f in zip(values, fields)], schema=pa.schema(fields))
+        return [[v] for v in (*params, loss, bound, len(p), status)]
+
+    rows = spread(data, keys).sortWithinPartitions(*keys, F.col("DATE").asc_nulls_last())
+    return map_groups(rows, keys, ["Temperature", "Solar_Irradiation", "Power"], fit_group, schema)
+
 
-    return spread(data, keys).groupBy(keys).applyInArrow(fit_group, schema)
+def map_groups(rows: DataFrame, keys: list[str], columns: list[str], fn: Callable[..., list[list]], schema: T.StructType) -> DataFrame:
+    """``fn`` of the columns of each group, as arrays with NaN for null; it returns
+    the columns that follow the keys in ``schema``.
+
+    The rows of a group must follow each other in one partition. Groups are found in
+    batches of many, since a call of its own per group takes Spark about a
+    millisecond; a group that a batch ends in waits for the next one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            starts = _starts(held, keys)
+            if len(starts) > 1:
+                yield from results(held, starts)
+                # a copy, so that the rows already done do not stay in memory
+                held = held.take(pa.array(np.arange(starts[-1], held.num_rows)))
+        if held is not None and held.num_rows:
+            yield from results(held, [0, held.num_rows])
+
+    def results(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+        arrays = [_column(table, c) for c in columns]
+        fields = [*(table.schema.field(k) for k in keys),
+                  *(pa.field(f.name, to_arrow_type(f.dataType)) for f in schema[len(keys):])]
+        for first in range(0, len(starts) - 1, GROUPS):
+            out = [[] for _ in fields]
+            for at, end in zip(starts[first:first + GROUPS], starts[first + 1:]):
+                values = fn(*(a[at:end] for a in arrays))
+                names = [[table.column(k)[at].as_py()] * len(values[0]) for k in keys]
+                for column, more in zip(out, [*names, *values]):
+                    column.extend(more)
+            yield pa.record_batch([pa.array(v, f.type) for v, f in zip(out, fields)], schema=pa.schema(fields))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> list[int]:
+    """Where a group begins; null is a key as any other."""
+    new = np.arange(table.num_rows) == 0
+    for k in keys:
+        code = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new).tolist()
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition by key with a fixed number of partitions.
 
-    The grouped map reuses this partitioning. Fitting is bound by arithmetic,
+    The groups of a partition are fitted in one task. Fitting is bound by arithmetic,
     not by bytes, so adaptive coalescing, which goes by bytes, must not merge
     the groups into a few tasks.
     """

@@ -8,11 +8,13 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from builders import START, reading, readings
 from loadsig.functions.calendar import add_calendar
 from loadsig.operators import certify
-from loadsig.operators.fit import best_candidate, candidate_fractions, candidate_losses, fit_bounds, fit_changepoint, score_candidates
+from loadsig.operators.fit import (best_candidate, candidate_fractions, candidate_losses, fit_bounds, fit_changepoint, map_groups,
+                                   score_candidates, spread)
 from loadsig.sources.fixtures import events_readings
 
 KEY = ["building_id", "DATE_hour_week"]
@@ -192,3 +194,20 @@ def test_few_boxes_prove_a_fit(monkeypatch):
         best, loss, bound = certify.solve(t, i, p, lower, upper, effort=certify.FULL_EFFORT)
         assert best == pytest.approx([-1.5, -0.03, 104.0, 92.0], abs=1e-4) and 0.98 * loss < bound <= loss
     assert sum(boxes) / 8 < 1000, boxes
+
+
+def test_groups_are_whole_across_batches(spark):
+    """Groups of 1 to 40 rows with batches of 7; null is a key as any other."""
+    rows = [(None if b == 2 else f"B{b}", None if h == 3 else h, float(n)) for b in range(4) for h in range(5) for n in range((b * 5 + h) * 2 + 1)]
+    df = spark.createDataFrame(rows + [("X", 1, None)], "building_id string, hour int, v double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        keys = ["building_id", "hour"]
+        schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType())])
+        once = map_groups(spread(df, keys).sortWithinPartitions(*keys), keys, ["v"], lambda v: [[len(v)], [None if np.isnan(v).all() else v.sum()]], schema)
+        got = sorted(map(tuple, once.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = df.groupBy(keys).agg(F.count(F.lit(1)), F.sum("v")).collect()
+    assert got == sorted(map(tuple, want), key=str) and len(got) == 21
